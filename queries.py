@@ -97,7 +97,7 @@ def entries_of(p: DataFrame) -> DataFrame:
 def log_lines(alerts: DataFrame) -> DataFrame:
     """The alerts as log lines, each followed by a blank line or a damaged copy."""
     line = alert_log.alert_lines(alerts)
-    bare = F.to_json(F.struct(iso(F.col("ts_us")).alias("timestamp"), F.concat(F.lit("?"), F.col("rule")).alias("rule"),
+    bare = F.to_json(F.struct(iso().alias("timestamp"), F.concat(F.lit("?"), F.col("rule")).alias("rule"),
                               "src_ip"))
     return alerts.select(F.explode(F.array(
         line, F.when(F.col("packet_id") % 2 == 0, F.lit("  ")).otherwise(F.concat(F.lit("{bad "), line)), bare)).alias("value"))
@@ -106,6 +106,7 @@ def log_lines(alerts: DataFrame) -> DataFrame:
 # Sources and sinks
 
 def a1_read_packets(spark, d):
+    """The packets in three formats; each must read back unchanged."""
     path = shared_dir(spark, "packets")
     for fmt in ("parquet", "csv", "json"):
         S.write_packets(packets(spark, d), f"{path}/{fmt}", fmt)

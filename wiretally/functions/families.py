@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wiretally.functions.predicates import compile_conditions
-
-
-def _values(want) -> set | None:
-    """The finite set of values a condition admits, or None when it is open-ended."""
-    if isinstance(want, dict):
-        return None
-    return set(want) if isinstance(want, (list, tuple)) else {want}
+from wiretally.functions.predicates import conditions_sql, values_of
 
 
 def exclusive(a: dict, b: dict) -> bool:
     """True when some field admits disjoint values, so no packet satisfies both."""
     for name in a.keys() & b.keys():
-        x, y = _values(a[name]), _values(b[name])
+        x, y = values_of(a[name]), values_of(b[name])
         if x is not None and y is not None and not x & y:
             return True
     return False
@@ -37,13 +30,8 @@ def families(condition_sets: list[dict]) -> list[list[int]]:
     return out
 
 
-def match_columns(condition_sets: list[dict]) -> list[Column]:
-    """One INT column per family: index of the set the packet satisfies, else null."""
-    out = []
-    for group in families(condition_sets):
-        c = None
-        for i in group:
-            p = compile_conditions(condition_sets[i])
-            c = F.when(p, i) if c is None else c.when(p, i)
-        out.append(c)
-    return out
+def matched(condition_sets: list[dict]) -> Column:
+    """Array with, per family, the index of the set the packet satisfies, else null."""
+    cases = ["CASE " + " ".join(f"WHEN {conditions_sql(condition_sets[i])} THEN {i}" for i in group) + " END"
+             for group in families(condition_sets)]
+    return F.expr(f"array({', '.join(cases)})")

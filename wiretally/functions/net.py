@@ -16,10 +16,8 @@ _HEX = r"[0-9a-fA-F]{1,4}"
 
 
 def protocol_name(protocol: Column) -> Column:
-    c = F.when(F.lit(False), F.lit(""))
-    for number, name in PROTOCOL_NAMES.items():
-        c = c.when(protocol == number, name)
-    return c.otherwise(protocol.cast("string"))
+    names = F.expr("map(" + ", ".join(f"{k}, '{v}'" for k, v in PROTOCOL_NAMES.items()) + ")")
+    return F.coalesce(F.try_element_at(names, protocol.cast("int")), protocol.cast("string"))
 
 
 def flag_letters(bits: Column, protocol: Column | None = None) -> Column:
@@ -47,14 +45,13 @@ def is_ip(ip: Column) -> Column:
 
 def ip_to_num(ip: Column) -> Column:
     """Dotted quad to BIGINT; null when it is not a valid IPv4 address."""
-    octet = F.split(ip, r"\.")
-    n = sum((F.try_element_at(octet, F.lit(i + 1)).try_cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)),
-            F.lit(0).cast("bigint"))
+    n = F.aggregate(F.split(ip, r"\."), F.expr("0L"), lambda acc, octet: acc * 256 + octet.cast("bigint"))
     return F.when(is_ipv4(ip), n)
 
 
 def num_to_ip(n: Column) -> Column:
-    return F.concat_ws(".", *[F.shiftright(n, 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in range(4)])
+    return F.array_join(F.transform(F.expr("array(24, 16, 8, 0)"),
+                                    lambda s: F.call_function("shiftright", n, s).bitwiseAND(F.lit(255)).cast("string")), ".")
 
 
 def prefix_length(suffix: Column) -> Column:

@@ -1,87 +1,114 @@
-"""Rule conditions compiled to Catalyst predicates that never evaluate to NULL."""
+"""Rule conditions compiled to Catalyst predicates that never evaluate to NULL.
 
-from __future__ import annotations
+Predicates are built as SQL text and parsed in one call: a catalogue has hundreds of
+comparisons, and creating each one as a Column object costs a round trip to the JVM.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wiretally.schema import sql_literal
+
 TEXT = {"src_ip", "dst_ip", "flags"}
 NUMBER = {"protocol", "length", "ttl", "src_port", "dst_port", "flags_int", "icmp_type"}
+MOST_TERMS = 8
 
 
-def _actual(name: str) -> Column:
+def _actual(name: str) -> str:
     if name in TEXT | NUMBER:
-        return F.col(name)
+        return name
     if name == "timestamp":
-        return F.col("ts_us") / F.lit(1e6)
-    return F.lit(None).cast("string")  # a field packets do not have is always missing
+        return "(ts_us / 1e6D)"
+    return "CAST(NULL AS STRING)"  # a field packets do not have is always missing
 
 
-def _check(name: str, v) -> None:
-    if v is None:
-        return
+def _literal(name: str, v) -> str:
     text = isinstance(v, str)
-    if (name in TEXT and not text) or (name in NUMBER | {"timestamp"} and text):
+    if v is not None and ((name in TEXT and not text) or (name in NUMBER | {"timestamp"} and text)):
         raise ValueError(f"condition on {name}: literal {v!r} has the wrong type")
+    return sql_literal(v)
 
 
-def _known(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
+def _member(name: str, values) -> str:
+    a = _actual(name)
+    concrete = ", ".join(_literal(name, v) for v in values if v is not None)
+    c = f"coalesce({a} IN ({concrete}), false)" if concrete else "false"
+    return f"({c} OR {a} IS NULL)" if None in values else c
 
-def _plain(c: Column) -> Column:
-    return c
 
-
-def _member(a: Column, values: list, known=_known) -> Column:
-    concrete = [v for v in values if v is not None]
-    c = known(a.isin(concrete)) if concrete else F.lit(False)
-    return c | a.isNull() if len(concrete) < len(values) else c
+def _known(form: str):
+    return lambda name, v: "coalesce(" + form.format(a=_actual(name), v=_literal(name, v)) + ", false)"
 
 
 _COMPARE = {
-    ">": lambda a, v, known: known(a > v),
-    ">=": lambda a, v, known: known(a >= v),
-    "<": lambda a, v, known: known(a < v),
-    "<=": lambda a, v, known: known(a <= v),
-    "!=": lambda a, v, known: ~a.eqNullSafe(F.lit(v)),
-    "not_in": lambda a, v, known: ~_member(a, v),
-    "mask": lambda a, v, known: known(a.bitwiseAND(F.lit(v)) == v),
+    ">": _known("{a} > {v}"),
+    ">=": _known("{a} >= {v}"),
+    "<": _known("{a} < {v}"),
+    "<=": _known("{a} <= {v}"),
+    "!=": lambda name, v: f"NOT ({_actual(name)} <=> {_literal(name, v)})",
+    "not_in": lambda name, v: f"NOT {_member(name, v)}",
+    "mask": _known("({a} & {v}) = {v}"),
 }
 _ALIAS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "not": "!="}
 
 
-def compile_conditions(conditions: dict, in_filter: bool = False) -> Column:
-    """AND of all conditions. Forms: scalar (equal), list (member), {op: value}.
-
-    With `in_filter` an unknown comparison stays NULL, which a filter drops anyway;
-    that form is the one Parquet scans can push down.
-    """
-    known = _plain if in_filter else _known
+def conditions_sql(conditions: dict) -> str:
+    """AND of all conditions. Forms: scalar (equal), list (member), {op: value}."""
     parts = []
     for name, want in conditions.items():
-        a = _actual(name)
         if isinstance(want, dict):
             for op, v in want.items():
                 op = _ALIAS.get(op, op)
                 if op not in _COMPARE:
                     raise ValueError(f"condition on {name}: unknown operator {op!r}")
-                for item in v if isinstance(v, (list, tuple)) else [v]:
-                    _check(name, item)
-                parts.append(_COMPARE[op](a, v, known))
+                parts.append(_COMPARE[op](name, v))
         elif isinstance(want, (list, tuple)):
-            for item in want:
-                _check(name, item)
-            parts.append(_member(a, list(want), known))
+            parts.append(_member(name, want))
         else:
-            _check(name, want)
-            parts.append(a == want if in_filter and want is not None else a.eqNullSafe(F.lit(want)))
-    return reduce(lambda x, y: x & y, parts) if parts else F.lit(True)
+            parts.append(f"({_actual(name)} <=> {_literal(name, want)})")
+    return " AND ".join(parts) or "true"
+
+
+def compile_conditions(conditions: dict) -> Column:
+    return F.expr(conditions_sql(conditions))
+
+
+def values_of(want) -> set | None:
+    """The finite set of values a condition admits, or None when it is open-ended."""
+    if isinstance(want, dict):
+        return None
+    return set(want) if isinstance(want, (list, tuple)) else {want}
+
+
+def implies(a: dict, b: dict) -> bool:
+    """True when every packet satisfying `a` clearly satisfies `b`."""
+    for name, want in b.items():
+        if name not in a:
+            return False
+        x, y = values_of(a[name]), values_of(want)
+        if not (a[name] == want or (x is not None and y is not None and x <= y)):
+            return False
+    return True
 
 
 def matches_any(condition_sets: list[dict]) -> Column:
-    """Filter keeping rows that satisfy at least one condition set, broadest sets first."""
-    ordered = sorted(condition_sets, key=len)
-    return reduce(lambda x, y: x | y, [compile_conditions(c, in_filter=True) for c in ordered], F.lit(False))
+    """Filter keeping (at least) the rows that satisfy some condition set.
+
+    Sets implied by broader ones are left out. It serves scan pushdown, so beyond a few
+    terms, which no scan can use, it lets every row pass.
+    """
+    broad: list[dict] = []
+    for c in sorted(condition_sets, key=len):
+        if not any(implies(c, b) for b in broad):
+            broad.append(c)
+    if not all(broad) or len(broad) > MOST_TERMS:
+        return F.lit(True)
+    terms = []
+    for c in broad:
+        # Plain comparisons: unknown counts as false in a filter, and scans accept them.
+        plain = [f"{n} IN ({', '.join(_literal(n, v) for v in sorted(values_of(w), key=str))})"
+                 for n, w in c.items() if n in TEXT | NUMBER and values_of(w) and None not in values_of(w)]
+        terms.append("(" + " AND ".join(plain or [conditions_sql(c)]) + ")")
+    return F.expr(" OR ".join(terms))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wiretally.operators.greedy import openers
 from wiretally.operators.slabs import US, at_home, with_slabs
-from wiretally.schema import SEVERITIES, severity_rank
+from wiretally.rules import SEVERITIES
+from wiretally.schema import RANK, severity_rank
 
 COOLDOWN_S = 30
 BATCH_S = 3
@@ -38,22 +39,21 @@ def suppressed_total(cooled: DataFrame) -> DataFrame:
 
 
 def notify_filter(alerts: DataFrame, min_severity: str = "HIGH") -> DataFrame:
-    return alerts.filter(severity_rank(F.col("severity")) >= SEVERITIES.index(min_severity))
+    return alerts.filter(severity_rank() >= SEVERITIES.index(min_severity))
 
 
 def batch(alerts: DataFrame, keys=(), span_s: int = BATCH_S) -> DataFrame:
     """Add `batch_id`, the time of the alert that opened the batch: everything less than
     `span_s` after that first alert joins it."""
     span, slab_us = span_s * US, 60 * span_s * US
-    reach = F.lit(span - 1).cast("bigint")
-    starts = (with_slabs(openers(alerts, list(keys), span).select(*keys, "ts_us").distinct(), slab_us, reach)
+    starts = (with_slabs(openers(alerts, list(keys), span).select(*keys, "ts_us").distinct(), slab_us, span - 1)
               .withColumn("kind", F.lit(0)))
-    rows = (with_slabs(alerts, slab_us, F.expr("0L")).withColumn("kind", F.lit(1))
+    rows = (with_slabs(alerts, slab_us, 0).withColumn("kind", F.lit(1))
             .unionByName(starts, allowMissingColumns=True))
     w = (Window.partitionBy(*keys, "slab").orderBy("ts_us", "kind")
          .rowsBetween(Window.unboundedPreceding, 0))
     opened = F.last(F.when(F.col("kind") == 0, F.col("ts_us")), ignorenulls=True).over(w)
-    return (rows.withColumn("batch_id", opened).filter((F.col("kind") == 1) & at_home(slab_us)).drop("kind", "slab"))
+    return (rows.withColumn("batch_id", opened).filter(f"kind = 1 AND {at_home(slab_us)}").drop("kind", "slab"))
 
 
 def pending(batched: DataFrame, keys=(), max_alerts: int = MAX_PENDING) -> DataFrame:
@@ -71,11 +71,10 @@ def digest(batched: DataFrame, keys=(), max_alerts: int = MAX_PENDING, prefix: s
     kept = pending(batched, keys, max_alerts)
     item = F.struct("ts_us", "packet_id", "rule", "severity", "src_ip", "dst_ip", "dst_port", "count",
                     "threat_score", "also_triggered")
+    rank = RANK.replace("severity", "a.severity")
     out = (kept.groupBy(*keys, "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-           .withColumn("n", F.size("items"))
-           .withColumn("top", F.array_min(F.transform("items", lambda a, i: F.struct(
-               (-severity_rank(a["severity"])).alias("r"), i.alias("i"), a["severity"].alias("severity"),
-               a["rule"].alias("rule"))))))
+           .selectExpr("*", "size(items) AS n", f"""array_min(transform(items, (a, i) ->
+               named_struct('r', -{rank}, 'i', i, 'severity', a.severity, 'rule', a.rule))) AS top"""))
     severity, rule, n = F.col("top.severity"), F.col("top.rule"), F.col("n")
 
     # The wording and layout of a notification.

@@ -1,108 +1,130 @@
-"""Per-packet correlation and the per-source threat score."""
+"""Per-packet correlation and the per-source threat score.
+
+A raw alert names its rule by `ord`, the position in the rule list. Shuffles and
+aggregates carry that number only: the rules a packet fired are bits of BIGINT masks and
+the leader the minimum of a number, so a hash aggregate does the regrouping. Names and
+severities come from literal arrays at the end.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally.operators.slabs import US, at_home, slab_of, with_slabs
-from wiretally.schema import arrival, severity_rank
+from wiretally.rules import RULES, as_rules
+from wiretally.schema import ARRIVAL, RANK, literal_array
 
 THREAT_WINDOW_S = 300
 SLAB_S = 600
-_RULE = ["ord", "rule", "id", "severity", "cnt"]
+BITS = 62           # rule bits per mask
+COUNT_SPACE = 2**44  # a packed leader is place * COUNT_SPACE + count + 1, or + 0 without a count
 _PACKET = ["packet_id", "ts_us", "src_ip", "dst_ip", "dst_port", "protocol"]
+_SCORE = "CAST(least(100, active * 10) AS INT)"
+
+# Raise the severity of a source that has fired many distinct rules.
+_ESCALATED = f"""CASE WHEN threat_score >= 80 AND {RANK} < 3 THEN 'CRITICAL' WHEN threat_score >= 50 AND {RANK} < 2 THEN 'HIGH'
+    WHEN threat_score >= 30 AND {RANK} < 1 THEN 'MEDIUM' ELSE severity END"""
+
+
+def escalate(severity: str = "severity", score: str = "threat_score") -> Column:
+    """The severity column raised by the threat score column."""
+    return F.expr(_ESCALATED.replace("severity", severity).replace("threat_score", score))
+
+
+def _places(rules) -> list[int]:
+    """Rule positions, best leader first: highest severity, then first in the list."""
+    return sorted(range(len(rules)), key=lambda i: (-rules[i].rank, i))
+
+
+def _masks(rules) -> range:
+    return range((len(rules) + BITS - 1) // BITS)
 
 
-def escalate(severity: Column, score: Column) -> Column:
-    """Raise the severity of a source that has fired many distinct rules."""
-    rank = severity_rank(severity)
-    return (F.when((score >= 80) & (rank < 3), "CRITICAL")
-            .when((score >= 50) & (rank < 2), "HIGH")
-            .when((score >= 30) & (rank < 1), "MEDIUM")
-            .otherwise(severity))
+def _fired(rules) -> list[Column]:
+    """Aggregates over the raw alerts of a packet: rule masks and the packed leader."""
+    order = _places(rules)
+    place = literal_array([order.index(i) for i in range(len(rules))], "bigint")
+    masks = [F.expr(f"bit_or(CASE WHEN ord div {BITS} = {m} THEN shiftleft(1L, ord % {BITS}) ELSE 0L END) AS m{m}")
+             for m in _masks(rules)]
+    return [*masks, F.expr(f"min(element_at({place}, ord + 1) * {COUNT_SPACE}L + coalesce(cnt + 1, 0L)) AS packed")]
 
 
-def _fired() -> Column:
-    return F.sort_array(F.collect_list(F.struct(*_RULE)))  # at most one entry per rule
+def _lead(packets: DataFrame, rules, *keep: str) -> DataFrame:
+    """Unpack the leader and the names of the other rules."""
+    fired = "+".join(f"bit_count(m{m})" for m in _masks(rules))
+    has = " ".join(f"WHEN o < {(m + 1) * BITS} THEN shiftright(m{m}, o - {m * BITS}) & 1L = 1" for m in _masks(rules))
+    ords, names = literal_array(list(range(len(rules))), "int"), literal_array([r.name for r in rules], "string")
 
+    def of_leader(values):
+        return f"element_at({literal_array(values, 'string')}, leader + 1)"
 
-def _lead(packets: DataFrame, keep: list[str]) -> DataFrame:
-    """Pick the leader out of `fired` (sorted by ord): highest severity, first in rule order."""
-    leader = F.array_min(F.transform("fired", lambda f: F.struct(
-        (-severity_rank(f["severity"])).alias("r"), f["ord"].alias("ord"), f.alias("f"))))["f"]
-    return (packets.withColumn("leader", leader)
-            .select("packet_id", "ts_us", "leader.rule", "leader.severity", "src_ip", "dst_ip", "dst_port", "protocol",
-                    (F.size("fired") > 1).alias("correlated"),
-                    F.transform(F.filter("fired", lambda f: f["ord"] != F.col("leader.ord")),
-                                lambda f: f["rule"]).alias("also_triggered"),
-                    F.col("leader.cnt").alias("count"), F.col("leader.id").alias("id"), *keep))
+    return (packets.selectExpr(
+                "*", f"element_at({literal_array(_places(rules), 'int')}, CAST(packed div {COUNT_SPACE}L AS INT) + 1) AS leader",
+                f"nullif(packed % {COUNT_SPACE}L, 0L) - 1 AS count", f"{fired} > 1 AS correlated")
+            .selectExpr("packet_id", "ts_us", f"{of_leader([r.name for r in rules])} AS rule",
+                        f"{of_leader([r.severity for r in rules])} AS severity",
+                        "src_ip", "dst_ip", "dst_port", "protocol", "correlated",
+                        f"""CASE WHEN correlated THEN transform(filter({ords}, o -> o <> leader AND CASE {has} END),
+                            o -> element_at({names}, o + 1)) ELSE CAST(array() AS array<string>) END AS also_triggered""",
+                        "count", f"{of_leader([r.id for r in rules])} AS id", *keep))
 
 
-def _first(*names: str) -> list[Column]:
-    return [F.first(n).alias(n) for n in names]  # constant within a packet
+def _by_packet(raw: DataFrame, rules) -> DataFrame:
+    return raw.groupBy(*_PACKET).agg(*_fired(rules))  # the rest is constant within a packet
 
 
-def lead(raw: DataFrame) -> DataFrame:
+def lead(raw: DataFrame, rules=None) -> DataFrame:
     """One row per packet: the leading alert and the names of the others."""
-    grouped = raw.groupBy("packet_id").agg(
-        _fired().alias("fired"), *_first("ts_us", "src_ip", "dst_ip", "dst_port", "protocol"))
-    return _lead(grouped, [])
+    rules = as_rules(RULES if rules is None else rules)
+    return _lead(_by_packet(raw, rules), rules)
 
 
-def _scored(raw: DataFrame, window_s: int, slab_s: int) -> DataFrame:
-    """One row per packet with `fired` and the number of rules its source has active."""
+def _scored(raw: DataFrame, rules, window_s: int, slab_s: int) -> DataFrame:
+    """One row per packet with its masks and the number of rules its source has active."""
     span, slab_us = window_s * US, slab_s * US
     # One shuffle serves both windows and the regrouping: all cluster by (src_ip, slab).
-    rows = (with_slabs(raw.select(*_PACKET, *_RULE), slab_us, F.lit(span).cast("bigint"))
-            .repartition("src_ip", "slab"))
-    same_rule = Window.partitionBy("src_ip", "slab", "rule").orderBy("ts_us", "packet_id")
-    t = F.col("ts_us")
-    rows = rows.select("*", F.lag(t).over(same_rule).alias("before"), F.lead(t).over(same_rule).alias("after"))
-    fresh = F.col("before").isNull() | (t - F.col("before") > span)
-    ends = F.col("after").isNull() | (F.col("after") - t > span)
-    expiry = t + span + 1
+    rows = with_slabs(raw.select(*_PACKET, "ord", "cnt"), slab_us, span).repartition("src_ip", "slab")
+    same_rule = "OVER (PARTITION BY src_ip, slab, ord ORDER BY ts_us, packet_id)"
     # A rule counts from its firing until one microsecond past the window's inclusive bound.
-    expired = F.when(ends & (slab_of(expiry, slab_us) == F.col("slab")),
-                     F.struct(F.lit(0).alias("phase"), expiry.alias("at"), F.lit(-1).cast("bigint").alias("delta")))
-    rows = (rows.withColumn("d", F.explode(F.array(
-        F.struct(F.lit(1).alias("phase"), t.alias("at"), F.when(fresh, 1).otherwise(0).cast("bigint").alias("delta")),
-        expired))).filter(F.col("d").isNotNull()))
-    so_far = (Window.partitionBy("src_ip", "slab").orderBy("d.at", "d.phase", "packet_id", "ord")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    rows = (rows.withColumn("active", F.sum("d.delta").over(so_far))
-            .filter((F.col("d.phase") == 1) & at_home(slab_us)))
-    return (rows.groupBy("src_ip", "slab", "packet_id")
-            .agg(F.max("active").alias("active"), _fired().alias("fired"),
-                 *_first("ts_us", "dst_ip", "dst_port", "protocol")))
-
-
-def _scored_ever(raw: DataFrame) -> DataFrame:
+    expiry = f"(ts_us + {span + 1})"
+    rows = (rows.selectExpr("*", f"lag(ts_us) {same_rule} AS before", f"lead(ts_us) {same_rule} AS after")
+            .selectExpr(*_PACKET, "ord", "cnt", "slab", f"""inline(array(
+                named_struct('phase', 1, 'at', ts_us,
+                             'delta', CASE WHEN before IS NULL OR ts_us - before > {span} THEN 1L ELSE 0L END),
+                CASE WHEN (after IS NULL OR after - ts_us > {span}) AND {slab_of(expiry, slab_us)} = slab
+                     THEN named_struct('phase', 0, 'at', {expiry}, 'delta', -1L) END))""")
+            .filter("phase IS NOT NULL")
+            .selectExpr("*", "sum(delta) OVER (PARTITION BY src_ip, slab ORDER BY at, phase, packet_id, ord "
+                             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active")
+            .filter(f"phase = 1 AND {at_home(slab_us)}"))
+    return rows.groupBy("slab", *_PACKET).agg(F.expr("max(active) AS active"), *_fired(rules))
+
+
+def _scored_ever(raw: DataFrame, rules) -> DataFrame:
     """As `_scored`, but a rule stays active for good once its source has fired it."""
-    at = arrival(F.col("ts_us"), F.col("packet_id"))
-    firsts = (raw.groupBy("src_ip", "rule").agg(F.min(at).alias("at"))
+    firsts = (raw.groupBy("src_ip", "ord").agg(F.expr(f"min({ARRIVAL}) AS at"))
               .groupBy("src_ip").agg(F.collect_list("at").alias("firsts")))  # at most one per rule
-    grouped = raw.groupBy("packet_id").agg(
-        _fired().alias("fired"), *_first("ts_us", "src_ip", "dst_ip", "dst_port", "protocol"))
-    return (grouped.join(firsts, "src_ip")
-            .withColumn("active", F.size(F.filter("firsts", lambda a: a <= at)).cast("bigint")).drop("firsts"))
+    return (_by_packet(raw, rules).join(firsts, "src_ip")
+            .selectExpr("*", f"CAST(size(filter(firsts, a -> a <= {ARRIVAL})) AS BIGINT) AS active"))
 
 
-def _score() -> Column:
-    return F.least(F.lit(100), F.col("active") * 10).cast("int")
+def _score(raw: DataFrame, rules, window_s: int | None, slab_s: int) -> DataFrame:
+    return _scored_ever(raw, rules) if window_s is None else _scored(raw, rules, window_s, slab_s)
 
 
-def threat_score(raw: DataFrame, window_s: int | None = THREAT_WINDOW_S, slab_s: int = SLAB_S) -> DataFrame:
+def threat_score(raw: DataFrame, window_s: int | None = THREAT_WINDOW_S, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     """(packet_id, ts_us, src_ip, threat_score) for every packet that fired a rule."""
-    scored = _scored_ever(raw) if window_s is None else _scored(raw, window_s, slab_s)
-    return scored.select("packet_id", "ts_us", "src_ip", _score().alias("threat_score"))
+    rules = as_rules(RULES if rules is None else rules)
+    return _score(raw, rules, window_s, slab_s).selectExpr("packet_id", "ts_us", "src_ip", f"{_SCORE} AS threat_score")
 
 
-def correlate(raw: DataFrame, threat_window_s: int | None = THREAT_WINDOW_S, slab_s: int = SLAB_S) -> DataFrame:
+def correlate(raw: DataFrame, threat_window_s: int | None = THREAT_WINDOW_S, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     """One alert per packet: leader, co-fired rules, threat score and escalated severity.
 
-    `threat_window_s=None` counts the rules a source has fired in the whole capture.
+    `rules` is the list the raw alerts were detected with. `threat_window_s=None` counts
+    the rules a source has fired in the whole capture.
     """
-    scored = _scored_ever(raw) if threat_window_s is None else _scored(raw, threat_window_s, slab_s)
-    return (_lead(scored.withColumn("threat_score", _score()), ["threat_score"])
-            .withColumn("severity", escalate(F.col("severity"), F.col("threat_score"))))
+    rules = as_rules(RULES if rules is None else rules)
+    return (_lead(_score(raw, rules, threat_window_s, slab_s), rules, f"{_SCORE} AS threat_score")
+            .withColumn("severity", escalate()))

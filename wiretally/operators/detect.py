@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.functions.families import match_columns
+from wiretally.functions.families import matched
 from wiretally.functions.net import protocol_name
 from wiretally.functions.predicates import matches_any
 from wiretally.operators.slabs import US, at_home, floor_div, slab_of, with_slabs
 from wiretally.rules import RULES, Rule, as_rules
-from wiretally.schema import arrival
+from wiretally.schema import ARRIVAL, literal_array
 
 SLAB_S = 300
 PAYLOAD = ["packet_id", "ts_us", "src_ip", "dst_ip", "dst_port", "protocol"]
@@ -28,16 +28,15 @@ def _key(conditions: dict) -> tuple:
     return tuple(sorted((k, repr(v)) for k, v in conditions.items()))
 
 
-def _lookup(values: list, type_: str, index: Column) -> Column:
-    """values[index] from a literal array."""
-    return F.element_at(F.array(*[F.lit(v).cast(type_) for v in values]), index + 1)
+def _lookup(values: list, type_: str, index: str) -> str:
+    """SQL text of values[index] from a literal array."""
+    return f"element_at({literal_array(values, type_)}, {index} + 1)"
 
 
 def _matches(packets: DataFrame, sets: list[dict], columns: list) -> DataFrame:
     """One row per (packet, satisfied set); `set` is the index into `sets`."""
-    return (packets.filter(matches_any(sets))
-            .select(*columns, F.explode(F.array(*match_columns(sets))).alias("set"))
-            .filter(F.col("set").isNotNull()))
+    return (packets.filter(matches_any(sets)).select(*columns, F.explode(matched(sets)).alias("set"))
+            .filter("set IS NOT NULL"))
 
 
 def hits(packets: DataFrame, rules=None, slab_s: int = SLAB_S) -> DataFrame:
@@ -47,9 +46,8 @@ def hits(packets: DataFrame, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     windowed = [(i, r) for i, r in enumerate(rules) if r.type != "pattern"]
     parts = []
     if stateless:
-        parts.append(_matches(packets, [r.conditions for _, r in stateless], PAYLOAD)
-                     .select(*PAYLOAD, _lookup([i for i, _ in stateless], "int", F.col("set")).alias("ord"),
-                             F.lit(None).cast("bigint").alias("cnt")))
+        parts.append(_matches(packets, [r.conditions for _, r in stateless], PAYLOAD).selectExpr(
+            *PAYLOAD, _lookup([i for i, _ in stateless], "int", "set") + " AS ord", "CAST(NULL AS BIGINT) AS cnt"))
     if windowed:
         parts.append(_windowed(packets, windowed, slab_s * US))
     return reduce(DataFrame.unionByName, parts)
@@ -69,42 +67,39 @@ def _windowed(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us: int) -
     is_rate = [rs[0][1].type == "rate" for rs in by_set]
     distinct = [(s, rs[0][1]) for s, rs in enumerate(by_set) if not is_rate[s]]
 
-    s = F.col("set")
     rows = _matches(packets, sets, PAYLOAD)
     for track in sorted({r.track for _, r in distinct}):
-        untracked = [k for k, r in distinct if r.track == track]
-        rows = rows.filter(~(s.isin(untracked) & F.col(track).isNull()))
+        tracking = ", ".join(str(k) for k, r in distinct if r.track == track)
+        rows = rows.filter(f"NOT (set IN ({tracking}) AND {track} IS NULL)")
     # An event reaches ahead as long as the longest rate window of its set.
     reach = [max(r.window_us for _, r in rs) - 1 if rate else 0 for rs, rate in zip(by_set, is_rate)]
-    rows = (with_slabs(rows, slab_us, _lookup(reach, "bigint", s))
-            .select(*PAYLOAD, "set", "slab", F.lit(1).alias("phase"), F.lit(True).alias("event"),
-                    _lookup([int(rate) for rate in is_rate], "bigint", s).alias("delta")))
+    rows = (with_slabs(rows, slab_us, _lookup(reach, "bigint", "set"))
+            .selectExpr(*PAYLOAD, "set", "slab", "1 AS phase", "true AS event",
+                        _lookup([int(rate) for rate in is_rate], "bigint", "set") + " AS delta"))
     if distinct:
         rows = rows.unionByName(_distinct_deltas(packets, distinct, slab_us), allowMissingColumns=True)
 
-    part = Window.partitionBy("src_ip", "slab", "set")
-    so_far = part.orderBy("ts_us", "phase", "packet_id", "event").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("level", F.sum("delta").over(so_far))
+    part = "PARTITION BY src_ip, slab, set"
+    rows = rows.selectExpr("*", f"sum(delta) OVER ({part} ORDER BY ts_us, phase, packet_id, event "
+                                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level")
     # Second, so that it reuses the first window's sort, of which its order is a prefix.
     spans = sorted({r.window_s for rs, rate in zip(by_set, is_rate) if rate for _, r in rs})
-    by_time = part.orderBy("ts_us")
-    rows = rows.select("*", *[
-        F.coalesce(F.sum("delta").over(by_time.rangeBetween(Window.unboundedPreceding, -w * US)),
-                   F.expr("0L")).alias(f"gone{w}") for w in spans])
-    rows = rows.filter(F.col("event") & at_home(slab_us))
+    rows = rows.selectExpr("*", *[
+        f"coalesce(sum(delta) OVER ({part} ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND {w * US}L PRECEDING), 0L)"
+        f" AS gone{w}" for w in spans])
+    rows = rows.filter(f"event AND {at_home(slab_us)}")
 
     # The j-th rule of each set, decided from literal lookup tables.
-    gone = F.array(F.expr("0L"), *[F.col(f"gone{w}") for w in spans])
     outcomes = []
     for j in range(max(len(rs) for rs in by_set)):
-        nth = [rs[j] if j < len(rs) else None for rs in by_set]
-        back = _lookup([0 if x is None or x[1].type != "rate" else spans.index(x[1].window_s) + 1 for x in nth], "int", s)
-        n = F.col("level") - F.element_at(gone, back + 1)
-        outcomes.append(F.when(
-            n >= _lookup([None if x is None else x[1].threshold for x in nth], "bigint", s),
-            F.struct(_lookup([None if x is None else x[0] for x in nth], "int", s).alias("ord"), n.alias("cnt"))))
-    return (rows.select(*PAYLOAD, F.explode(F.array(*outcomes)).alias("hit"))
-            .filter(F.col("hit").isNotNull()).select(*PAYLOAD, "hit.ord", "hit.cnt"))
+        nth = [rs[j] if j < len(rs) else (None, None) for rs in by_set]
+        back = [spans.index(r.window_s) + 1 if r and r.type == "rate" else 0 for _, r in nth]
+        outcomes.append(
+            f"named_struct('ord', element_at({literal_array([i for i, _ in nth], 'int')}, set + 1),"
+            f" 'least', element_at({literal_array([r and r.threshold for _, r in nth], 'bigint')}, set + 1),"
+            f" 'cnt', level - element_at(array(0L{''.join(f', gone{w}' for w in spans)}), element_at({literal_array(back, 'int')}, set + 1) + 1))")
+    return (rows.select(*PAYLOAD, F.expr(f"inline(array({', '.join(outcomes)}))"))
+            .filter("cnt >= least").select(*PAYLOAD, "ord", "cnt"))
 
 
 def _distinct_deltas(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us: int) -> DataFrame:
@@ -114,52 +109,42 @@ def _distinct_deltas(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us:
     value within one w-long bucket are never w apart, so (first, last) per bucket is
     enough: the aggregate combines on the map side and is what gets shuffled.
     """
-    s, w = F.col("set"), F.col("w")
-    numbers = [k for k, _ in rules]
-    value = F.coalesce(*[F.when(s.isin([n for n, (_, r) in enumerate(rules) if r.track == t]), F.col(t).cast("string"))
-                         for t in sorted({r.track for _, r in rules})])
+    tracked = [f"CASE WHEN set IN ({', '.join(str(n) for n, (_, r) in enumerate(rules) if r.track == t)}) "
+               f"THEN CAST({t} AS STRING) END" for t in sorted({r.track for _, r in rules})]
     runs = (_matches(packets, [r.conditions for _, r in rules], ["src_ip", "dst_ip", "dst_port", "ts_us", "packet_id"])
-            .select("src_ip", "ts_us", "packet_id", _lookup(numbers, "int", s).alias("set"), value.alias("value"),
-                    _lookup([r.window_us for _, r in rules], "bigint", s).alias("w"))
-            .filter(F.col("value").isNotNull())
-            .groupBy("src_ip", "set", "value", "w", floor_div(F.col("ts_us"), w).alias("bucket"))
-            .agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"),
-                 F.min(arrival(F.col("ts_us"), F.col("packet_id"))).alias("opener"))
-            .withColumn("first_id", (F.col("opener") - arrival(F.col("first"), F.expr("0L"))).cast("bigint")))
-
-    order = Window.partitionBy("src_ip", "set", "value").orderBy("bucket")
-    runs = runs.select(
-        "src_ip", "set", "w", "first", "last", "first_id",
-        F.coalesce(F.col("first") - F.lag("last").over(order) < w, F.lit(False)).alias("goes_on"),
-        F.coalesce(F.lead("first").over(order) - F.col("last") < w, F.lit(False)).alias("lasts"),
-        F.lead("first").over(order).alias("next"))
-
-    def row(slab, at, phase, pid, delta):
-        return F.struct(slab.alias("slab"), at.alias("ts_us"), F.lit(phase).alias("phase"),
-                        pid.alias("packet_id"), F.lit(delta).cast("bigint").alias("delta"))
-
-    none = F.expr("-1L")
-    home = slab_of(F.col("first"), slab_us)
-    end_slab = F.when(F.col("lasts"), slab_of(F.col("next"), slab_us)) \
-        .otherwise(slab_of(F.col("last") + w - 1, slab_us))
-    carried = F.when(end_slab > home, F.sequence(home + 1, end_slab)).otherwise(F.array().cast("array<bigint>"))
-    deltas = F.concat(
-        F.array(F.when(~F.col("goes_on"), row(home, F.col("first"), 1, F.col("first_id"), 1)),
-                F.when(~F.col("lasts"), row(end_slab, F.col("last") + w, 0, none, -1))),
-        F.transform(carried, lambda b: row(b, b * slab_us, -1, none, 1)))
-    return (runs.select("src_ip", "set", F.explode(deltas).alias("d")).filter(F.col("d").isNotNull())
-            .select("src_ip", "set", "d.*", F.lit(False).alias("event")))
+            .selectExpr("src_ip", "ts_us", "packet_id", _lookup([k for k, _ in rules], "int", "set") + " AS set",
+                        f"coalesce({', '.join(tracked)}) AS value",
+                        _lookup([r.window_us for _, r in rules], "bigint", "set") + " AS w")
+            .filter("value IS NOT NULL")
+            .groupBy("src_ip", "set", "value", "w", F.expr(floor_div("ts_us", "w")).alias("bucket"))
+            .agg(F.expr("min(ts_us) AS first"), F.expr("max(ts_us) AS last"),
+                 F.expr(f"min({ARRIVAL}) AS opener"))
+            .withColumn("first_id", F.expr(f"CAST(opener - {ARRIVAL.replace('ts_us', 'first').replace('packet_id', '0')} AS BIGINT)")))
+
+    run = "OVER (PARTITION BY src_ip, set, value ORDER BY bucket)"
+    end_slab = (f"CASE WHEN lasts THEN {slab_of('next', slab_us)} ELSE {slab_of('(last + w - 1)', slab_us)} END")
+    return (runs.selectExpr("src_ip", "set", "w", "first", "last", "first_id", f"lead(first) {run} AS next",
+                            f"coalesce(first - lag(last) {run} < w, false) AS goes_on",
+                            f"coalesce(lead(first) {run} - last < w, false) AS lasts")
+            .selectExpr("*", f"{slab_of('first', slab_us)} AS home", f"{end_slab} AS end_slab")
+            .selectExpr("src_ip", "set", f"""inline(concat(
+                array(CASE WHEN NOT goes_on THEN
+                        named_struct('slab', home, 'ts_us', first, 'phase', 1, 'packet_id', first_id, 'delta', 1L) END,
+                      CASE WHEN NOT lasts THEN
+                        named_struct('slab', end_slab, 'ts_us', last + w, 'phase', 0, 'packet_id', -1L, 'delta', -1L) END),
+                transform(CASE WHEN end_slab > home THEN sequence(home + 1, end_slab) ELSE CAST(array() AS array<bigint>) END,
+                          s -> named_struct('slab', s, 'ts_us', s * {slab_us}L, 'phase', -1, 'packet_id', -1L, 'delta', 1L))))""")
+            .filter("slab IS NOT NULL").selectExpr("*", "false AS event"))
 
 
 def detect(packets: DataFrame, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     """Raw alerts: one row per (packet, fired rule)."""
     rules = as_rules(RULES if rules is None else rules)
-    o = F.col("ord")
     return hits(packets, rules, slab_s).select(
         "packet_id", "ts_us", "ord",
-        _lookup([r.name for r in rules], "string", o).alias("rule"),
-        _lookup([r.id for r in rules], "string", o).alias("id"),
-        _lookup([r.severity for r in rules], "string", o).alias("severity"),
+        F.expr(_lookup([r.name for r in rules], "string", "ord")).alias("rule"),
+        F.expr(_lookup([r.id for r in rules], "string", "ord")).alias("id"),
+        F.expr(_lookup([r.severity for r in rules], "string", "ord")).alias("severity"),
         "src_ip", "dst_ip", "dst_port", protocol_name(F.col("protocol")).alias("protocol"), "cnt")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.functions.net import cidr_range, ip_to_num
-from wiretally.rules import RULES, rules_df
+from wiretally.functions.net import ip_to_num
+from wiretally.rules import RULES, as_rules, rules_df
 from wiretally.schema import iso, literal_table
 
 LOOPBACK = ("127.0.0.1", "::1")
@@ -68,16 +68,22 @@ def rules_dim(spark: SparkSession, rules=None) -> DataFrame:
     return F.broadcast(rules_df(spark, rules))  # one row per rule of a Python list
 
 
+def _dim(spark: SparkSession, rules, attribute: str) -> DataFrame:
+    """(rule, _v): one attribute of each rule of a Python list."""
+    rows = [(r.name, getattr(r, attribute)) for r in as_rules(RULES if rules is None else rules)]
+    return F.broadcast(literal_table(spark, rows, "rule string, _v string"))
+
+
 def with_category(df: DataFrame, rules=None) -> DataFrame:
     """Set `category` from the rule name, `Other` for an unknown rule."""
-    dim = rules_dim(df.sparkSession, rules).select(F.col("name").alias("rule"), F.col("category").alias("_c"))
-    return (df.drop("category").join(dim, "rule", "left")
-            .withColumn("category", F.coalesce("_c", F.lit("Other"))).drop("_c"))
+    have = [c for c in df.columns if c != "category"]
+    return (df.join(_dim(df.sparkSession, rules, "category"), "rule", "left")
+            .selectExpr(*have, "coalesce(_v, 'Other') AS category"))
 
 
 def with_mitre(df: DataFrame, rules=None) -> DataFrame:
-    dim = rules_dim(df.sparkSession, rules).select(F.col("name").alias("rule"), "mitre")
-    return df.drop("mitre").join(dim, "rule", "left")
+    have = [c for c in df.columns if c != "mitre"]
+    return df.join(_dim(df.sparkSession, rules, "mitre"), "rule", "left").selectExpr(*have, "_v AS mitre")
 
 
 def enrich(alerts: DataFrame, geo: DataFrame | None = None, rules=None) -> DataFrame:
@@ -89,7 +95,7 @@ def enrich(alerts: DataFrame, geo: DataFrame | None = None, rules=None) -> DataF
     def given(name):
         return F.nullif(F.col(name).cast("string"), F.lit("")) if name in have else F.lit(None).cast("string")
 
-    stamp = F.col("timestamp") if "timestamp" in have else iso(F.col("ts_us"))
+    stamp = F.col("timestamp") if "timestamp" in have else iso()
     dim = rules_dim(spark, RULES if rules is None else rules).select(
         F.col("name").alias("rule"), F.col("category").alias("_c"), F.col("mitre").alias("_m"))
     places = geo.select(F.col("ip").alias("src_ip"), F.col("country").alias("_g"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wiretally.operators.enrich import geo_df, rules_dim, with_category, with_mitre
 from wiretally.operators.slabs import US
 from wiretally.rules import SEVERITIES
-from wiretally.schema import arrival, iso, literal_table, severity_name, severity_rank
+from wiretally.schema import ARRIVAL, iso, literal_table, severity_name, severity_rank
 
 HOUR_US = 3600 * US
 
@@ -23,15 +23,15 @@ def _n() -> Column:
 
 
 def _at() -> Column:
-    return arrival(F.col("ts_us"), F.col("packet_id"))
+    return F.expr(ARRIVAL)
 
 
 def _of(level: str) -> Column:
-    return F.count_if(F.col("severity") == level)
+    return F.expr(f"count_if(severity = '{level}')")
 
 
 def _by_level() -> list[Column]:
-    return [_of(s).alias(s.lower()) for s in reversed(SEVERITIES)]
+    return [F.expr(f"count_if(severity = '{s}') AS {s.lower()}") for s in reversed(SEVERITIES)]
 
 
 def recent(alerts: DataFrame, limit: int = 500, severity: str | None = None, ip: str | None = None,
@@ -44,13 +44,13 @@ def recent(alerts: DataFrame, limit: int = 500, severity: str | None = None, ip:
     if rule:
         alerts = alerts.filter(F.contains(F.lower("rule"), F.lit(rule.lower())))
     if since:
-        alerts = alerts.filter(iso(F.col("ts_us")) > since)
+        alerts = alerts.filter(iso() > since)
     return alerts.orderBy(F.desc("ts_us"), F.desc("packet_id")).limit(min(limit, 2000))
 
 
 def severity_totals(alerts: DataFrame, today: str) -> DataFrame:
     """One row: total, alerts of the UTC date `today`, and a count per severity."""
-    return alerts.agg(_n().alias("total"), F.count_if(F.startswith(iso(F.col("ts_us")), F.lit(today))).alias("today"),
+    return alerts.agg(_n().alias("total"), F.count_if(F.startswith(iso(), F.lit(today))).alias("today"),
                       *_by_level())
 
 
@@ -103,7 +103,7 @@ def investigate(alerts: DataFrame, ip: str | None = None) -> DataFrame:
               .agg(F.sort_array(F.collect_list(F.struct("position", "packet_id", "ts_us", "rule", "severity")))
                    .alias("recent")))
     return (summary.join(rules, "src_ip").join(newest, "src_ip")
-            .withColumn("first_seen", iso(F.col("first_us"))).withColumn("last_seen", iso(F.col("last_us")))
+            .withColumn("first_seen", iso("first_us")).withColumn("last_seen", iso("last_us"))
             .drop("first_us", "last_us"))
 
 
@@ -136,34 +136,34 @@ def _categorised(alerts: DataFrame, rules=None) -> DataFrame:
 def top_rules_first_severity(alerts: DataFrame, n: int = 15, rules=None) -> DataFrame:
     """Top rules with category and the severity of the rule's first alert."""
     grouped = alerts.groupBy("rule").agg(
-        _n().alias("count"), F.min(_at()).alias("_at"), F.min_by(severity_rank(F.col("severity")), _at()).alias("_r"))
+        _n().alias("count"), F.min(_at()).alias("_at"), F.min_by(severity_rank(), _at()).alias("_r"))
     top = grouped.orderBy(F.desc("count"), "_at").limit(n)
-    return (with_category(top, rules).withColumn("severity", severity_name(F.col("_r")))
+    return (with_category(top, rules).withColumn("severity", severity_name("_r"))
             .orderBy(F.desc("count"), "_at").select("rule", "count", "severity", "category"))
 
 
 def top_attackers(alerts: DataFrame, n: int = 20, rules=None) -> DataFrame:
     """Sources by worst severity, then threat score, then count; with category and rule lists."""
     per_rule = alerts.groupBy("src_ip", "rule").agg(
-        _n().alias("n"), F.max(severity_rank(F.col("severity"))).alias("r"),
+        _n().alias("n"), F.max(severity_rank()).alias("r"),
         F.max("threat_score").alias("s"), F.min(_at()).alias("at"))
     return (with_category(per_rule, rules).groupBy("src_ip").agg(
                 F.sum("n").alias("count"), F.max("r").alias("_r"), F.max("s").alias("score"), F.min("at").alias("_at"),
                 F.sort_array(F.collect_set("category")).alias("categories"),
                 F.sort_array(F.collect_set("rule")).alias("rules"))
             .orderBy(F.desc("_r"), F.desc("score"), F.desc("count"), "_at").limit(n)
-            .select("src_ip", "count", severity_name(F.col("_r")).alias("worst_severity"), "score", "categories", "rules"))
+            .select("src_ip", "count", severity_name("_r").alias("worst_severity"), "score", "categories", "rules"))
 
 
 def minute_timeline(alerts: DataFrame) -> DataFrame:
-    return (alerts.groupBy(F.substring(iso(F.col("ts_us")), 1, 16).alias("minute")).agg(*_by_level()).orderBy("minute"))
+    return (alerts.groupBy(F.substring(iso(), 1, 16).alias("minute")).agg(*_by_level()).orderBy("minute"))
 
 
 def alert_meta(alerts: DataFrame) -> DataFrame:
     def short(t):
         return F.coalesce(F.replace(F.substring(iso(t), 1, 19), F.lit("T"), F.lit(" ")), F.lit("—"))
     return (alerts.agg(_n().alias("total_alerts"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-            .select("total_alerts", short(F.col("a")).alias("first_ts"), short(F.col("b")).alias("last_ts")))
+            .select("total_alerts", short("a").alias("first_ts"), short("b").alias("last_ts")))
 
 
 def ip_drilldown(alerts: DataFrame, ip: str) -> DataFrame:
@@ -202,8 +202,8 @@ def capture_overview(packets: DataFrame, alerts: DataFrame, skipped: DataFrame |
     return (rows.agg(*[f(c).alias(c) for c, f in (("ip", F.sum), ("non_ip", F.sum), ("first", F.min), ("last", F.max),
                                                   ("alerts", F.sum), ("attackers", F.sum))])
             .select((F.col("ip") + F.col("non_ip")).alias("total_packets"), F.col("ip").alias("ip_packets"),
-                    F.col("non_ip").alias("non_ip_packets"), iso(F.col("first")).alias("capture_start"),
-                    iso(F.col("last")).alias("capture_end"),
+                    F.col("non_ip").alias("non_ip_packets"), iso("first").alias("capture_start"),
+                    iso("last").alias("capture_end"),
                     F.coalesce(F.col("last") - F.col("first"), zero).alias("duration_us"),
                     "alerts", F.col("attackers").alias("unique_attackers")))
 
@@ -269,11 +269,11 @@ def attack_map(alerts: DataFrame, geo: DataFrame | None = None) -> DataFrame:
     """Per source with a known position: count, worst severity, critical count, country."""
     geo = geo_df(alerts.sparkSession) if geo is None else geo
     per_ip = alerts.groupBy("src_ip").agg(
-        _n().alias("count"), F.coalesce(F.max(severity_rank(F.col("severity"))), F.lit(0)).alias("_r"),
+        _n().alias("count"), F.coalesce(F.max(severity_rank()), F.lit(0)).alias("_r"),
         _of("CRITICAL").alias("critical"), F.min(_at()).alias("_at"))
     return (per_ip.join(geo, per_ip.src_ip == geo.ip)
             .orderBy(F.desc("count"), "_at")
-            .select("src_ip", "lon", "lat", "country", "count", severity_name(F.col("_r")).alias("worst_severity"), "critical"))
+            .select("src_ip", "lon", "lat", "country", "count", severity_name("_r").alias("worst_severity"), "critical"))
 
 
 def attack_map_totals(alerts: DataFrame, geo: DataFrame | None = None) -> DataFrame:

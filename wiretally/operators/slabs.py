@@ -8,28 +8,27 @@ sends a third of all traffic is spread over as many tasks as there are slabs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 US = 1_000_000
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    """Integer floor division, exact for negative numbers too."""
-    return F.call_function("div", a - F.pmod(a, b), b)
+def floor_div(a: str, b: str | int) -> str:
+    """SQL text of integer floor division, exact for negative numbers too."""
+    return f"((({a}) - pmod({a}, {b})) div {b})"
 
 
-def slab_of(ts_us: Column, slab_us: int) -> Column:
-    return floor_div(ts_us, F.lit(slab_us).cast("bigint"))
+def slab_of(ts_us: str, slab_us: int) -> str:
+    return floor_div(ts_us, f"{slab_us}L")
 
 
-def with_slabs(df: DataFrame, slab_us: int, reach_us: Column) -> DataFrame:
+def with_slabs(df: DataFrame, slab_us: int, reach_us: str | int) -> DataFrame:
     """Add `slab`, one copy of the row per slab that [ts_us, ts_us + reach_us] touches."""
-    first = slab_of(F.col("ts_us"), slab_us)
-    last = slab_of(F.col("ts_us") + reach_us, slab_us)
-    return df.withColumn("slab", F.explode(F.sequence(first, last)))
+    last = slab_of(f"(ts_us + {reach_us})", slab_us)
+    return df.withColumn("slab", F.expr(f"explode(sequence({slab_of('ts_us', slab_us)}, {last}))"))
 
 
-def at_home(slab_us: int) -> Column:
-    """True for the original of a row, false for its copies in later slabs."""
-    return F.col("slab") == slab_of(F.col("ts_us"), slab_us)
+def at_home(slab_us: int) -> str:
+    """Predicate that is true for the original of a row, false for its copies in later slabs."""
+    return f"slab = {slab_of('ts_us', slab_us)}"

@@ -21,7 +21,7 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def offline(packets: DataFrame, rules=None, threat_window_s: int | None = THREAT_WINDOW_S) -> DataFrame:
     """Every firing packet of a capture is an alert."""
-    return with_category(correlate(detect(packets, rules), threat_window_s), rules)
+    return with_category(correlate(detect(packets, rules), threat_window_s, rules), rules)
 
 
 def live(packets: DataFrame, allow: DataFrame | None = None, local_ips=(), rules=None,

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiretally.rules import SEVERITIES
 
 PACKETS = T.StructType([
     T.StructField("packet_id", T.LongType(), False),
@@ -41,27 +40,22 @@ ALERT_LOG = T.StructType([
 ])
 
 
-def severity_rank(severity: Column) -> Column:
-    """LOW=0 .. CRITICAL=3; null for an unknown level."""
-    c = F.when(severity == SEVERITIES[0], 0)
-    for i, s in enumerate(SEVERITIES[1:], 1):
-        c = c.when(severity == s, i)
-    return c
+# LOW=0 .. CRITICAL=3; null for an unknown level.
+RANK = "CAST(nullif(array_position(array('LOW', 'MEDIUM', 'HIGH', 'CRITICAL'), severity), 0) - 1 AS INT)"
 
 
-def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
+def severity_rank(severity: str = "severity") -> Column:
+    return F.expr(RANK.replace("severity", severity))
 
 
-def wall(ts_us: Column) -> Column:
-    """UTC wall-clock time, whatever the session time zone."""
-    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.expr("INTERVAL '0.000001' SECOND") * ts_us
+def severity_name(rank: str) -> Column:
+    return F.expr(f"element_at(array('LOW', 'MEDIUM', 'HIGH', 'CRITICAL'), {rank} + 1)")
 
 
-def iso(ts_us: Column) -> Column:
-    """UTC ISO-8601 text; the fraction has six digits and is left out when zero."""
-    text = F.regexp_replace(wall(ts_us).cast("string"), " ", "T")
-    return F.concat(F.when(ts_us % 1_000_000 == 0, text).otherwise(F.rpad(text, 26, "0")), F.lit("+00:00"))
+def iso(ts_us: str = "ts_us") -> Column:
+    """UTC ISO-8601 text whatever the session time zone; six fraction digits, left out when zero."""
+    text = f"replace(CAST(TIMESTAMP_NTZ'1970-01-01 00:00:00' + INTERVAL '0.000001' SECOND * {ts_us} AS STRING), ' ', 'T')"
+    return F.expr(f"concat(CASE WHEN {ts_us} % 1000000 = 0 THEN {text} ELSE rpad({text}, 26, '0') END, '+00:00')")
 
 
 def micros(text: Column) -> Column:
@@ -69,26 +63,28 @@ def micros(text: Column) -> Column:
     return F.unix_micros(text.try_cast("timestamp"))
 
 
-def arrival(ts_us: Column, packet_id: Column) -> Column:
-    """(ts_us, packet_id) packed into one DECIMAL(38,0).
+# (ts_us, packet_id) packed into one DECIMAL(38,0): ordering by it is ordering by time,
+# then id. Unlike a struct it may sit in a hash-aggregate buffer, so min and max over it
+# combine on the map side.
+ARRIVAL = "CAST(CAST(ts_us AS DECIMAL(18, 0)) * 10000000000000000000BD + packet_id AS DECIMAL(38, 0))"
 
-    Ordering by it is ordering by time, then id. Unlike a struct it may sit in a
-    hash-aggregate buffer, so min/max over it combine on the map side.
-    """
-    return (ts_us.cast("decimal(18,0)") * F.expr("10000000000000000000BD") + packet_id).cast("decimal(38,0)")
+
+def sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
+
+
+def literal_array(values: list, type_: str) -> str:
+    """SQL text of a constant array."""
+    return f"CAST(array({', '.join(sql_literal(v) for v in values)}) AS array<{type_}>)"
 
 
 def literal_table(spark, rows, ddl: str):
     """A small constant DataFrame as a VALUES relation, so Catalyst knows its size."""
     names, types = zip(*[c.strip().split(" ", 1) for c in ddl.split(",")])
-
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        return str(v)
-
-    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
     casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types))
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(names)})")

@@ -54,7 +54,7 @@ def alert_lines(alerts: DataFrame, offline: bool = False) -> Column:
     Offline records carry the category instead of the rule id.
     """
     body = F.to_json(F.struct(
-        (F.col("timestamp") if "timestamp" in alerts.columns else iso(F.col("ts_us"))).alias("timestamp"),
+        (F.col("timestamp") if "timestamp" in alerts.columns else iso()).alias("timestamp"),
         "rule", "severity", "src_ip", "dst_ip", "dst_port", "protocol", "correlated", "also_triggered", "threat_score",
         *(["category"] if offline else [])), {"ignoreNullFields": "false"})
     optional = ["count"] if offline else ["count", "id"]
@@ -65,13 +65,13 @@ def alert_lines(alerts: DataFrame, offline: bool = False) -> Column:
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append", offline: bool = False) -> None:
     """Append JSON lines below `path`, partitioned by UTC date."""
-    (alerts.select(alert_lines(alerts, offline).alias("value"), F.substring(iso(F.col("ts_us")), 1, 10).alias("date"))
+    (alerts.select(alert_lines(alerts, offline).alias("value"), F.substring(iso(), 1, 10).alias("date"))
      .write.mode(mode).partitionBy("date").text(path))
 
 
 def export_csv(alerts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Enriched alerts as CSV with a header; null becomes empty."""
     have = set(alerts.columns)
-    stamp = {"timestamp": iso(F.col("ts_us"))} if "timestamp" not in have else {}
+    stamp = {"timestamp": iso()} if "timestamp" not in have else {}
     cols = [stamp.get(c, F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS]
     (alerts.select(*cols).write.mode(mode).options(header=True, nullValue="", emptyValue="").csv(path))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import ipaddress
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.functions.net import cidr_range, cidr_text
 
+# Executors need not have this package installed: ship its functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def parse_entries(entries: DataFrame) -> DataFrame:
     """(entry, lo, hi, len) of the valid IPv4 entries in `entries(entry)`; bad ones are dropped.

@@ -11,15 +11,15 @@ from wiretally.schema import PACKETS
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A packet table with the fixed schema; csv, json, orc and parquet."""
     if fmt == "csv":
-        # An empty flag string (TCP without flags) differs from a missing one (not TCP).
-        options = {"header": True, "nullValue": "\\N", "emptyValue": "", **options}
+        # An empty flag string (TCP without flags) must stay apart from a missing one (not TCP).
+        options = {"header": True, "nullValue": "\\N", **options}
     return spark.read.schema(PACKETS).options(**options).format(fmt).load(path)
 
 
 def write_packets(packets: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     w = packets.select(*PACKETS.fieldNames()).write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.options(header=True, nullValue="\\N", emptyValue="")
+        w = w.options(header=True, nullValue="\\N")
     w.save(path)
 
 

@@ -32,6 +32,9 @@ from wiretally.schema import PACKETS
 from wiretally.sources.alert_log import write_alerts
 
 _META = "version bigint, watermark bigint, captured bigint, late bigint, alerts bigint, logged bigint, suppressed bigint"
+_RAW = ("packet_id bigint, ts_us bigint, ord int, src_ip string, dst_ip string, dst_port int, protocol string, cnt bigint")
+_RAW_COLUMNS = [c.split()[0] for c in _RAW.split(", ")]
+_PACKETS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKETS.fields)
 _END = 2**62
 ALERT = ("packet_id bigint, ts_us bigint, rule string, severity string, src_ip string, dst_ip string, dst_port int, "
          "protocol string, correlated boolean, also_triggered array<string>, count bigint, id string, "
@@ -80,7 +83,7 @@ class Detector:
     def _save(self, df: DataFrame, name: str, version: int) -> DataFrame:
         path = self._table(name, version)
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)  # a version's folder has no partition column
 
     def _evict(self, version: int) -> None:
         """Drop state versions that no later micro-batch can read."""
@@ -113,7 +116,7 @@ class Detector:
                 packets = drop_allowlisted(packets, self.allow())
         packets = packets.select(*PACKETS.fieldNames()).persist()
         t = F.col("ts_us")
-        held = self._load("packets", previous, PACKETS.simpleString()[7:-1].replace(":", " "))
+        held = self._load("packets", previous, _PACKETS)
         seen = (packets.agg(F.count(F.lit(1)).alias("n"), F.count_if(t < done).alias("late"), F.max(t).alias("newest"))
                 .first())
         newest = max(x for x in (seen["newest"], held.agg(F.max(t)).first()[0], done) if x is not None)
@@ -122,12 +125,11 @@ class Detector:
         late = packets.filter(t < done)
         late.write.mode("overwrite").parquet(f"{self.sink}/late/version={version}")
         known = held.unionByName(packets.filter(t >= done))
-        raw = detect(known.filter(t < mark), self._rules).filter(t >= done)
-
-        old_fired = self._load("fired", previous, raw.schema.simpleString()[7:-1].replace(":", " "))
+        raw = detect(known.filter(t < mark), self._rules).filter(t >= done).select(*_RAW_COLUMNS)
+        old_fired = self._load("fired", previous, _RAW)
         # Only a rule's latest firing matters to later threat scores, so the state keeps that.
         raw = self._save(raw, "alerts", version)
-        alerts = with_category(correlate(old_fired.unionByName(raw)), self._rules).filter(t >= done)
+        alerts = with_category(correlate(old_fired.unionByName(raw), rules=self._rules), self._rules).filter(t >= done)
         if self.mode == "live":
             key = ["rule", "src_ip"]
             old_passed = self._load("passed", previous, "rule string, src_ip string, ts_us bigint, packet_id bigint")
@@ -141,12 +143,10 @@ class Detector:
         counts = [alerts.count(), logged.count()]
 
         self._save(known.filter((t >= mark) | ((t >= mark - self._reach) & self._relevant)), "packets", version)
-        latest = old_fired.unionByName(raw).groupBy("src_ip", "rule").agg(
-            F.max("ts_us").alias("ts_us"), *[F.first(c).alias(c) for c in ("ord", "id", "severity")])
-        self._save(latest.filter(t >= mark - THREAT_WINDOW_S * US).select(
-            F.lit(-1).cast("bigint").alias("packet_id"), "ts_us", "ord", "rule", "id", "severity", "src_ip",
-            F.lit("").alias("dst_ip"), F.lit(None).cast("int").alias("dst_port"), F.lit("").alias("protocol"),
-            F.lit(None).cast("bigint").alias("cnt")), "fired", version)
+        latest = old_fired.unionByName(raw).groupBy("src_ip", "ord").agg(F.max("ts_us").alias("ts_us"))
+        self._save(latest.filter(t >= mark - THREAT_WINDOW_S * US).selectExpr(
+            "-1L AS packet_id", "ts_us", "ord", "src_ip", "'' AS dst_ip", "CAST(NULL AS INT) AS dst_port", "'' AS protocol",
+            "CAST(NULL AS BIGINT) AS cnt"), "fired", version)
         if self.mode == "live":
             self._save(old_passed.unionByName(logged.select(*old_passed.columns))
                        .filter(t > mark - COOLDOWN_S * US), "passed", version)
@@ -174,13 +174,13 @@ class Detector:
 
     def alerts(self) -> DataFrame:
         """All alerts logged so far."""
-        return self.spark.read.schema(ALERT).parquet(f"{self.sink}/alerts")
+        return self.spark.read.schema(ALERT).parquet(f"{self.sink}/alerts").drop("version")
 
     def late(self) -> DataFrame:
-        return self.spark.read.schema(PACKETS).parquet(f"{self.sink}/late")
+        return self.spark.read.schema(PACKETS).parquet(f"{self.sink}/late").drop("version")
 
     def digests(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sink}/digests")
+        return self.spark.read.parquet(f"{self.sink}/digests").drop("version")
 
 
 def run_stream(source: DataFrame, detector: Detector, checkpoint: str, trigger: dict | None = None):
