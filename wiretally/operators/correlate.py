@@ -53,8 +53,16 @@ def _fired(rules) -> list[Column]:
 def _lead(packets: DataFrame, rules, *keep: str) -> DataFrame:
     """Unpack the leader and the names of the other rules."""
     fired = "+".join(f"bit_count(m{m})" for m in _masks(rules))
-    has = " ".join(f"WHEN o < {(m + 1) * BITS} THEN shiftright(m{m}, o - {m * BITS}) & 1L = 1" for m in _masks(rules))
-    ords, names = literal_array(list(range(len(rules))), "int"), literal_array([r.name for r in rules], "string")
+    names = literal_array([r.name for r in rules], "string")
+
+    def named(m):
+        """Names of the set bits but the leader's, lowest bit first; one step per set bit."""
+        rest = f"(m{m} & ~(CASE WHEN leader div {BITS} = {m} THEN shiftleft(1L, leader % {BITS}) ELSE 0L END))"
+        lowest = f"CAST(bit_count((a.m & -a.m) - 1L) AS INT) + {m * BITS + 1}"
+        return f"""CASE WHEN {rest} = 0L THEN CAST(array() AS array<string>) ELSE aggregate(sequence(1, bit_count({rest})),
+            named_struct('m', {rest}, 'names', CAST(array() AS array<string>)),
+            (a, i) -> named_struct('m', a.m & (a.m - 1L), 'names', concat(a.names, array(element_at({names}, {lowest})))),
+            a -> a.names) END"""
 
     def of_leader(values):
         return f"element_at({literal_array(values, 'string')}, leader + 1)"
@@ -65,8 +73,7 @@ def _lead(packets: DataFrame, rules, *keep: str) -> DataFrame:
             .selectExpr("packet_id", "ts_us", f"{of_leader([r.name for r in rules])} AS rule",
                         f"{of_leader([r.severity for r in rules])} AS severity",
                         "src_ip", "dst_ip", "dst_port", "protocol", "correlated",
-                        f"""CASE WHEN correlated THEN transform(filter({ords}, o -> o <> leader AND CASE {has} END),
-                            o -> element_at({names}, o + 1)) ELSE CAST(array() AS array<string>) END AS also_triggered""",
+                        f"concat({', '.join(named(m) for m in _masks(rules))}) AS also_triggered",
                         "count", f"{of_leader([r.id for r in rules])} AS id", *keep))
 
 
