@@ -251,7 +251,7 @@ def b16_enrich(spark, d):
 def b17_ip_literals(spark, d):
     ip = F.when(F.col("packet_id") % 7 == 0, F.concat("src_ip", F.lit("9"))).otherwise(F.col("src_ip"))
     return packets(spark, d).select("packet_id", ip.alias("ip")).withColumn("valid", is_ipv4(F.col("ip"))) \
-        .withColumn("num", ip_to_num(F.col("ip")))
+        .withColumn("num", ip_to_num("ip"))
 
 
 # Detection and correlation

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # IP protocol numbers that have a name in alerts.
@@ -10,8 +10,8 @@ PROTOCOL_NAMES = {1: "ICMP", 6: "TCP", 17: "UDP"}
 # TCP flag letters, lowest bit first.
 FLAG_LETTERS = "FSRPAUECN"
 
-_OCTET = r"(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-_IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+_OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+_IPV4 = f"^{_OCTET}([.]{_OCTET}){{3}}$"
 _HEX = r"[0-9a-fA-F]{1,4}"
 
 
@@ -43,37 +43,45 @@ def is_ip(ip: Column) -> Column:
     return is_ipv4(ip) | is_ipv6(ip)
 
 
-def ip_to_num(ip: Column) -> Column:
-    """Dotted quad to BIGINT; null when it is not a valid IPv4 address."""
-    n = F.aggregate(F.split(ip, r"\."), F.expr("0L"), lambda acc, octet: acc * 256 + octet.cast("bigint"))
-    return F.when(is_ipv4(ip), n)
+def ip_num(ip: str) -> str:
+    """SQL text: dotted quad to BIGINT; null when it is not a valid IPv4 address."""
+    return (f"CASE WHEN {ip} RLIKE '{_IPV4}' THEN "
+            f"aggregate(split({ip}, '[.]'), 0L, (n, octet) -> n * 256 + CAST(octet AS BIGINT)) END")
 
 
-def num_to_ip(n: Column) -> Column:
-    return F.array_join(F.transform(F.expr("array(24, 16, 8, 0)"),
-                                    lambda s: F.call_function("shiftright", n, s).bitwiseAND(F.lit(255)).cast("string")), ".")
+def num_ip(n: str) -> str:
+    """SQL text: BIGINT to dotted quad."""
+    octets = ", ".join(f"CAST(shiftright({n}, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0))
+    return f"concat_ws('.', {octets})"
 
 
-def prefix_length(suffix: Column) -> Column:
-    """Length from `/24`, a netmask or a host mask; a missing suffix means 32, a bad one null."""
-    mask = ip_to_num(suffix)
-    inverse = F.lit(0xFFFFFFFF) - mask
-    return (F.when(suffix.isNull(), 32)
-            .when(suffix.rlike(r"^0*[0-9]{1,2}$") & (suffix.try_cast("int") <= 32), suffix.try_cast("int"))
-            .when(mask.isNotNull() & (inverse.bitwiseAND(inverse + 1) == 0), 32 - F.bit_count(inverse))
-            .when(mask.isNotNull() & (mask.bitwiseAND(mask + 1) == 0), 32 - F.bit_count(mask)))
+def ip_to_num(ip: str = "src_ip") -> Column:
+    """The address column as BIGINT; null when it is not a valid IPv4 address."""
+    return F.expr(ip_num(ip))
 
 
-def cidr_range(entry: Column) -> Column:
-    """STRUCT<lo, hi, len> of an IPv4 address or network, host bits ignored; null when invalid."""
-    parts = F.split(entry, "/")
-    base = ip_to_num(F.element_at(parts, 1))
-    length = prefix_length(F.try_element_at(parts, F.lit(2)))
-    size = F.expr("1L") * F.pow(F.lit(2), 32 - length).cast("bigint")
-    lo = base - F.pmod(base, size)
-    return F.when((F.size(parts) <= 2) & base.isNotNull() & length.isNotNull(),
-                  F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"), length.cast("int").alias("len")))
+def num_to_ip(n: str) -> Column:
+    return F.expr(num_ip(n))
 
 
-def cidr_text(r: Column) -> Column:
-    return F.concat(num_to_ip(r["lo"]), F.lit("/"), r["len"].cast("string"))
+def prefix_length(suffix: str, mask: str) -> str:
+    """SQL text: prefix length of a `/24` suffix, or of a netmask or host mask given as number.
+
+    A missing suffix means 32, a bad one is null.
+    """
+    inverse = f"(4294967295L - {mask})"
+    return f"""CASE WHEN {suffix} IS NULL THEN 32
+        WHEN {suffix} RLIKE '^0*[0-9]{{1,2}}$' THEN CASE WHEN CAST({suffix} AS INT) <= 32 THEN CAST({suffix} AS INT) END
+        WHEN {inverse} & ({inverse} + 1) = 0 THEN 32 - bit_count({inverse})
+        WHEN {mask} & ({mask} + 1) = 0 THEN 32 - bit_count({mask}) END"""
+
+
+def networks(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """Add lo, hi and len of the IPv4 address or network in `entry`, host bits ignored; null when invalid."""
+    return (entries.selectExpr("*", f"split({entry}, '/') AS _p")
+            .selectExpr("*", f"CASE WHEN size(_p) <= 2 THEN {ip_num('_p[0]')} END AS _base", "get(_p, 1) AS _suffix",
+                        f"{ip_num('get(_p, 1)')} AS _mask")
+            .selectExpr("*", f"{prefix_length('_suffix', '_mask')} AS _len")
+            .selectExpr("*", "CASE WHEN _base IS NOT NULL THEN shiftleft(1L, 32 - _len) END AS _size")
+            .selectExpr("* EXCEPT (_p, _base, _suffix, _mask, _len, _size)", "_base - _base % _size AS lo",
+                        "_base - _base % _size + _size - 1 AS hi", "CASE WHEN _size IS NOT NULL THEN _len END AS len"))

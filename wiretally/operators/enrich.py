@@ -53,14 +53,12 @@ def drop_allowlisted(packets: DataFrame, allow: DataFrame) -> DataFrame:
     """
     nets = allow.select("lo", "len").distinct()
     lengths = {r["len"]: r["n"] for r in nets.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = packets.withColumn("_n", ip_to_num(F.col("src_ip")))
+    out = packets.withColumn("_n", ip_to_num("src_ip"))
     for length in sorted(lengths):
-        size = 1 << (32 - length)
-        side = nets.filter(F.col("len") == length).select((F.col("lo") / size).cast("bigint").alias("_net"))
+        side = nets.filter(F.col("len") == length).selectExpr(f"shiftright(lo, {32 - length}) AS _net")
         if lengths[length] <= BROADCAST_ROWS:
             side = F.broadcast(side)
-        net = F.shiftright(F.col("_n"), 32 - length)
-        out = out.join(side, net == F.col("_net"), "left_anti")
+        out = out.join(side, F.expr(f"shiftright(_n, {32 - length}) = _net"), "left_anti")
     return out.drop("_n")
 
 

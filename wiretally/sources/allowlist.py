@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.functions.net import cidr_range, cidr_text
+from wiretally.functions.net import networks, num_ip
 
 # Executors need not have this package installed: ship its functions by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,8 +22,7 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     An address without a suffix is a /32 and host bits are ignored. IPv6 networks
     cannot contain an IPv4 source, so they have no range here.
     """
-    return (entries.select("entry", cidr_range(F.col("entry")).alias("r")).filter(F.col("r").isNotNull())
-            .select("entry", "r.lo", "r.hi", "r.len"))
+    return networks(entries.select("entry")).filter("len IS NOT NULL")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +49,8 @@ def _ipv6_networks(batches):
 def canonical(entries: DataFrame) -> DataFrame:
     """(entry, canonical): the network text of each entry, null when invalid."""
     v6 = F.contains(F.col("entry"), F.lit(":"))
-    v4 = entries.filter(~v6).select("entry", cidr_text(cidr_range(F.col("entry"))).alias("canonical"))
+    v4 = networks(entries.filter(~v6).select("entry")).selectExpr(
+        "entry", f"CASE WHEN len IS NOT NULL THEN concat({num_ip('lo')}, '/', CAST(len AS STRING)) END AS canonical")
     return v4.unionByName(entries.filter(v6).select("entry")
                           .mapInPandas(_ipv6_networks, "entry string, canonical string"))
 

@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.functions.net import flag_letters, num_to_ip
+from wiretally.functions.net import flag_letters, num_ip
 
 
-def _number(raw: Column, offset: Column, n: int) -> Column:
-    """Big-endian unsigned integer of n bytes at a zero-based offset."""
-    return F.conv(F.hex(F.substring(raw, offset + 1, F.lit(n))), 16, 10).cast("bigint")
+def _number(offset: str, n: int) -> str:
+    """SQL text: big-endian unsigned integer of n bytes of `raw` at a zero-based offset."""
+    return f"CAST(conv(hex(substring(raw, {offset} + 1, {n})), 16, 10) AS BIGINT)"
 
 
-def _is_ip(raw: Column, at: Column) -> Column:
-    ethertype = _number(raw, at - 2, 2)
-    return ((F.octet_length(raw) >= at + 20)
-            & (F.shiftright(_number(raw, at, 1), 4) == 4)
-            & ((at < 14) | (ethertype == 0x0800)))
+_IS_IP = f"""coalesce(octet_length(raw) >= link_offset + 20 AND shiftright({_number('link_offset', 1)}, 4) = 4
+    AND (link_offset < 14 OR {_number('link_offset - 2', 2)} = 2048), false)"""
 
 
 def split_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(IPv4 frames, skipped frames) of `frames(ts_us, packet_id, raw, link_offset)`."""
-    ip = F.coalesce(_is_ip(F.col("raw"), F.col("link_offset")), F.lit(False))
-    return frames.filter(ip), frames.filter(~ip)
+    return frames.filter(_IS_IP), frames.filter(f"NOT ({_IS_IP})")
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:
     """One row: total, IPv4 and skipped frames."""
-    ip = F.coalesce(_is_ip(F.col("raw"), F.col("link_offset")), F.lit(False))
+    ip = F.expr(_IS_IP)
     return frames.agg(F.count(F.lit(1)).alias("total"), F.count_if(ip).alias("ip"), F.count_if(~ip).alias("skipped"))
 
 
@@ -39,32 +35,28 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     transport header that is absent, cut off or belongs to a later fragment leaves
     its fields null and `flags_int` 0.
     """
-    raw, at = F.col("raw"), F.col("link_offset")
-    head = split_frames(frames)[0].select(
-        "packet_id", "ts_us", raw, at,
-        (F.col("link_offset") + _number(raw, at, 1).bitwiseAND(F.lit(15)) * 4).cast("int").alias("l4"),
-        _number(raw, at + 2, 2).alias("length"),
-        _number(raw, at + 6, 2).bitwiseAND(F.lit(0x1FFF)).alias("fragment"),
-        _number(raw, at + 8, 1).alias("ttl"), _number(raw, at + 9, 1).alias("protocol"),
-        _number(raw, at + 12, 4).alias("src"), _number(raw, at + 16, 4).alias("dst"))
-    l4, protocol = F.col("l4"), F.col("protocol")
-    captured = F.octet_length(raw) - l4
-    declared = F.col("length") - (l4 - at)
-    payload = F.when(declared < 0, captured).otherwise(F.least(captured, declared))
-
-    def present(number, size):
-        return (protocol == number) & (F.col("fragment") == 0) & (payload >= size)
-
-    tcp, udp, icmp = present(6, 20), present(17, 8), present(1, 8)
-    bits = _number(raw, l4 + 12, 2).bitwiseAND(F.lit(0x1FF))
-    return head.select(
-        "packet_id", "ts_us", num_to_ip(F.col("src")).alias("src_ip"), num_to_ip(F.col("dst")).alias("dst_ip"),
-        protocol.cast("int").alias("protocol"), F.col("length").cast("int").alias("length"), F.col("ttl").cast("int").alias("ttl"),
-        F.when(tcp | udp, _number(raw, l4, 2)).cast("int").alias("src_port"),
-        F.when(tcp | udp, _number(raw, l4 + 2, 2)).cast("int").alias("dst_port"),
-        F.when(tcp, flag_letters(bits)).alias("flags"),
-        F.when(tcp, bits).otherwise(F.lit(0)).cast("int").alias("flags_int"),
-        F.when(icmp, _number(raw, l4, 1)).cast("int").alias("icmp_type"))
+    at = "link_offset"
+    head = split_frames(frames)[0].selectExpr(
+        "packet_id", "ts_us", "raw", at, f"CAST({at} + ({_number(at, 1)} & 15) * 4 AS INT) AS l4",
+        f"{_number(f'{at} + 2', 2)} AS length", f"{_number(f'{at} + 6', 2)} & 8191 AS fragment",
+        f"{_number(f'{at} + 8', 1)} AS ttl", f"{_number(f'{at} + 9', 1)} AS protocol",
+        f"{_number(f'{at} + 12', 4)} AS src", f"{_number(f'{at} + 16', 4)} AS dst")
+    # Payload: what was captured, cut at the declared length unless that is nonsense.
+    head = head.selectExpr("*", f"length - (l4 - {at}) AS declared", "octet_length(raw) - l4 AS captured").selectExpr(
+        "*", "fragment = 0 AND CASE protocol WHEN 6 THEN 20 WHEN 17 THEN 8 WHEN 1 THEN 8 END <= "
+             "CASE WHEN declared < 0 THEN captured ELSE least(captured, declared) END AS whole")
+    head = head.selectExpr("*", "coalesce(whole AND protocol = 6, false) AS tcp", "coalesce(whole AND protocol = 1, false) AS icmp",
+                           "coalesce(whole AND protocol IN (6, 17), false) AS ported",
+                           f"{_number('l4 + 12', 2)} & 511 AS bits")
+    return head.selectExpr(
+        "packet_id", "ts_us", f"{num_ip('src')} AS src_ip", f"{num_ip('dst')} AS dst_ip", "CAST(protocol AS INT) AS protocol",
+        "CAST(length AS INT) AS length", "CAST(ttl AS INT) AS ttl",
+        f"CAST(CASE WHEN ported THEN {_number('l4', 2)} END AS INT) AS src_port",
+        f"CAST(CASE WHEN ported THEN {_number('l4 + 2', 2)} END AS INT) AS dst_port",
+        "tcp", "bits", f"CAST(CASE WHEN icmp THEN {_number('l4', 1)} END AS INT) AS icmp_type").select(
+        "packet_id", "ts_us", "src_ip", "dst_ip", "protocol", "length", "ttl", "src_port", "dst_port",
+        F.when(F.col("tcp"), flag_letters(F.col("bits"))).alias("flags"),
+        F.expr("CAST(CASE WHEN tcp THEN bits ELSE 0 END AS INT)").alias("flags_int"), "icmp_type")
 
 
 def encode_frames(packets: DataFrame) -> DataFrame:
