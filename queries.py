@@ -172,7 +172,7 @@ def a9_allowlist_remove(spark, d):
     return allowlist.allowlist_remove(current, entries_of(p.filter("protocol = 6")))
 
 
-def _stream(spark, d, mode="live", slices=3, lateness_s=0, reorder=False, rules=None):
+def _stream(spark, d, mode="live", slices=2, lateness_s=0, reorder=False, rules=None):
     """Packets arriving in time slices; each arrival is one run of the stream."""
     base = shared_dir(spark, "stream")
     det = Detector(spark, f"{base}/sink", f"{base}/state", mode=mode, rules=rules, lateness_s=lateness_s,
@@ -211,7 +211,7 @@ PREDICATES = {
     "b6_less_equal": {"dst_port": {"lte": 443}},
     "b7_not_equal": {"dst_port": {"!=": 80}},
     "b8_not_in": {"flags": {"not_in": ["S", "PA"]}},
-    "b9_mask": {"flags_int": {"mask": 18}},
+    "b9_mask": {"flags_int": {"mask": 3}},
     "b10_conjunction": {"protocol": [6, 17], "dst_port": {">": 50, "<=": 9000}, "flags_int": {"!=": 2}},
 }
 
@@ -366,17 +366,17 @@ def g2_stream_alerts(spark, d):
 
 def g1_late_packets(spark, d):
     """Slices arriving newest first: all but the first to arrive are late."""
-    return _stream(spark, d, mode="offline", slices=2, reorder=True, rules=[r for r in RULES if r.type == "pattern"]) \
+    return _stream(spark, d, mode="offline", reorder=True, rules=[r for r in RULES if r.type == "pattern"]) \
         .late().select("packet_id", "ts_us")
 
 
 def g6_lateness_and_drain(spark, d):
     """Slices arriving newest first within the lateness bound: nothing is lost."""
-    return _stream(spark, d, mode="offline", slices=2, lateness_s=100_000, reorder=True).alerts()
+    return _stream(spark, d, mode="offline", lateness_s=100_000, reorder=True).alerts()
 
 
 def g7_counters(spark, d):
-    return _stream(spark, d, slices=2).counters()
+    return _stream(spark, d).counters()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,7 +45,7 @@ def notify_filter(alerts: DataFrame, min_severity: str = "HIGH") -> DataFrame:
 def batch(alerts: DataFrame, keys=(), span_s: int = BATCH_S) -> DataFrame:
     """Add `batch_id`, the time of the alert that opened the batch: everything less than
     `span_s` after that first alert joins it."""
-    span, slab_us = span_s * US, 60 * span_s * US
+    span, slab_us = span_s * US, 4 * span_s * US
     starts = (with_slabs(openers(alerts, list(keys), span).select(*keys, "ts_us").distinct(), slab_us, span - 1)
               .withColumn("kind", F.lit(0)))
     rows = (with_slabs(alerts, slab_us, 0).withColumn("kind", F.lit(1))
