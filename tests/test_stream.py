@@ -46,7 +46,8 @@ def test_stream_equals_batch(spark):
 
 def test_late_packets_are_set_aside_and_unordered_ones_wait(spark):
     base = shared_dir(spark, "stream")
-    det = Detector(spark, f"{base}/sink", f"{base}/state", mode="offline", lateness_s=10)
+    det = Detector(spark, f"{base}/sink", f"{base}/state", mode="offline", lateness_s=10,
+                   rules=[r for r in RULES if r.type == "pattern"])
     from model import packet
     null = dict(flags="", flags_int=0)
     S.write_packets(frame(spark, [packet(1, 100 * US, **null), packet(2, 95 * US, **null)]), f"{base}/in")

@@ -99,6 +99,8 @@ def matches_any(condition_sets: list[dict]) -> Column:
     Sets implied by broader ones are left out. It serves scan pushdown, so beyond a few
     terms, which no scan can use, it lets every row pass.
     """
+    if not condition_sets:
+        return F.lit(False)
     broad: list[dict] = []
     for c in sorted(condition_sets, key=len):
         if not any(implies(c, b) for b in broad):
