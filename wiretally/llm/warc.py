@@ -275,5 +275,4 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_page("page") != "", _page("page").cast("long")).alias("page_id"),
         F.when(revisit, F.col("told_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.substring_index("told", ":", -1)).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("kind").alias("record_type"), F.when(revisit, _page("refers").cast("long")).alias("refers_to"),
-        (F.col("told") == F.concat(F.lit("sha1:"), F.col("digest"))).alias("digest_holds"))
+        F.col("kind").alias("record_type"), F.when(revisit, _page("refers").cast("long")).alias("refers_to"))
