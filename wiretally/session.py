@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,13 +28,12 @@ def local_session(cpus: int | str = 8, app: str = "wiretally", shuffle_partition
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's `spark.checkpoint.dir`.
+    """A fresh folder below the cluster's `spark.checkpoint.dir`, removed when the session ends.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Where that is not set, below the warehouse, which a cluster's executors share as well.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="wiretally-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) \
+        or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
