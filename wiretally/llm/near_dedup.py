@@ -5,8 +5,8 @@ Rows with equal sets are one class from the start. Inside a bucket of classes no
 pairs are formed. Every class is first tested against one head, the smallest key it meets
 in its buckets, which settles most of a large group of near copies. What is left are
 pairs of classes of one bucket that are not yet connected: they are formed from the
-classes outside a bucket's largest component. While these are too many, further rounds
-test one more head per class; no pair that could connect two components is left out.
+classes outside a bucket's largest component. While these are many, rounds with a growing
+number of heads a bucket come first; no pair that could connect two components is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ WIDTH = 4                # words of a shingle
 LIKE = 80                # per cent of the union that linked documents share
 HOPELESS = 0.55          # likelihood estimate below which a pair is not confirmed; five deviations below LIKE
 FAN = 256                # members that are confirmed against one copy of a head's text
-PAIRS_PER_MEMBER = 8     # pairs left, for each row of a bucket, above which another round of heads comes first
+HEADS = 4                # a bucket's heads in the first round of several; each round has so many times more
 
 
 def token_hash(token: bytes) -> int:
@@ -117,17 +117,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def first_heads(members: DataFrame, order) -> DataFrame:
-    """One pair (a: head, b: class) per class: the first in `order` of all heads of its buckets that are not in its component."""
-    spot = F.struct(order.alias("o"), F.col("key").alias("head"), F.col("root").alias("head_root"))
-    top = members.groupBy("band").agg(F.min(spot).alias("first"))
-    # the first head of another component than the first one's
-    second = members.join(top, "band").where(F.col("root") != F.col("first.head_root")).groupBy("band").agg(F.min(spot).alias("second"))
-    own = members.join(top.join(second, "band"), "band")
-    head = F.when(F.col("root") != F.col("first.head_root"), F.col("first")).otherwise(F.col("second"))
-    return own.withColumn("h", head).groupBy("key").agg(F.min("h").alias("h")).select(F.col("h.head").alias("a"), F.col("key").alias("b"))
-
-
 def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (key, id: smallest doc_id, n, registers, bands) and links (a, b) that connect every component."""
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(
@@ -147,28 +136,32 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = members.groupBy("band").agg(F.min("key").alias("head"))
     tested = cut(members.join(heads, "band").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")).where("a <> b"), "tested")
     links = test(tested)
-    turn, budget = 0, None
+    turn = 0
     while True:
         roots = components(links)
         placed = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
         # buckets that hold several components, and the largest of each
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most")).where("roots > 1")
+        mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
         open_ = cut(placed.join(mixed, "band"), "open")
         left, held = open_.agg(F.sum(F.when(F.col("root") != F.col("main"), F.col("all")).otherwise(0)), F.count("*")).first()
         if not left:
             return classes, links
-        if left <= PAIRS_PER_MEMBER * held or budget == left:
-            break
-        turn, budget = turn + 1, left
-        more = first_heads(open_.select("band", "key", "root"), F.xxhash64("key", F.lit(turn)))
-        more = cut(_new(more, tested), "more")
-        tested = cut(tested.unionByName(more), "tested")
+        turn, heads_each = turn + 1, HEADS**(turn + 1)
+        last = left <= heads_each * held
+        if last:       # all pairs of classes outside a bucket's largest component with the others
+            heads = open_.where("root <> main")
+        else:          # about `heads_each` heads a bucket, drawn by a hash
+            heads = open_.where(F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.col("all")) < heads_each)
+        heads = heads.select("band", F.col("key").alias("a"), F.col("root").alias("root_a"))
+        twice = (F.col("root") == F.col("main")) | (F.col("a") < F.col("b")) if last else F.lit(True)
+        pairs = heads.join(open_.select("band", F.col("key").alias("b"), "root", "main"), "band") \
+            .where((F.col("root_a") != F.col("root")) & twice).select("a", "b").distinct()
+        more = cut(_new(pairs, tested), "tested")
         links = cut(links.unionByName(test(more)), "links")
-    outside = open_.where("root <> main").select("band", F.col("key").alias("a"), F.col("root").alias("root_a"))
-    rest = outside.join(open_.select("band", F.col("key").alias("b"), "root", "main"), "band") \
-        .where((F.col("root_a") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    return classes, cut(links.unionByName(test(_new(rest, tested))), "links")
+        if last:
+            return classes, links
+        tested = tested.unionByName(more)
 
 
 def _new(pairs: DataFrame, tested: DataFrame) -> DataFrame:
