@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.shared import TokenHash, cut, rolling, slices
+from wiretally.llm.shared import BITMAP_BITS, TokenHash, bitmap_of, cut, in_bitmap, rolling, slices
 
 LEAST = 5             # words of a tile and of a seed
 COVERAGE = 0.5        # share of an item's words under tiles from which a text is contaminated
-BITMAP_BITS = 24
 
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -124,15 +123,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def bitmap(items: DataFrame) -> np.ndarray:
-    """Bits of the slots of all seeds: 2 MB, whatever the number of items."""
-    place = F.shiftrightunsigned("seed", 64 - BITMAP_BITS) + 1
-    rows = items.select(F.explode("seeds").alias("seed")).select(place.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")) \
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    for r in rows:      # bucket b >= 1 starts at slot (b - 1) * 32768
-        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        bits[(r["bucket"] - 1) * len(part) + np.flatnonzero(part)] = True
-    return np.packbits(bits)
+    """Bits of the slots of all seeds, of a size that does not depend on the number of items."""
+    return bitmap_of(items.select(F.explode("seeds").alias("seed")).select(F.shiftrightunsigned("seed", 64 - BITMAP_BITS).alias("slot")))
 
 
 def _text_key(text: str | None) -> str:
@@ -155,8 +147,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     w = words_of(x, known)
                     seeds = rolling(w, LEAST)
-                    place = slot(seeds)
-                    hit = (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+                    hit = in_bitmap(packed, slot(seeds))
                     if found := stretches_of(w, seeds, hit):
                         own = np.unique(np.concatenate([s for _, s in found])).view(np.int64)
                         rows.append({"key": _text_key(x), "doc_id": doc_id, "stretches": [s.tobytes() for s, _ in found], "seeds": own.tolist()})

@@ -62,6 +62,24 @@ def rolling(x: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.nda
     return out
 
 
+BITMAP_BITS = 24
+
+
+def bitmap_of(slots: DataFrame) -> np.ndarray:
+    """Packed bits of the slots (one column, below 2**BITMAP_BITS) that occur: 2 MB, however many rows."""
+    c = F.col(slots.columns[0]) + 1      # bucket b >= 1 starts at slot (b - 1) * 32768
+    rows = slots.groupBy(F.bitmap_bucket_number(c).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("bits")).collect()
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    for r in rows:
+        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        bits[(r["bucket"] - 1) * len(part) + np.flatnonzero(part)] = True
+    return np.packbits(bits)
+
+
+def in_bitmap(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+
+
 class TokenHash(dict):
     """64-bit hash of a token (bytes), remembered up to a number of tokens."""
 

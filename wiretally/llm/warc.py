@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wiretally.llm.shared import cut
+from wiretally.llm.shared import BITMAP_BITS, bitmap_of, cut, in_bitmap
 from wiretally.session import shared_dir
 
 VERSION = "WARC/1.1\r\n"
@@ -47,9 +47,18 @@ def marked(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")) \
         .withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     repeated = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # AQE splits a digest that many rows share
-    return rows.join(repeated, "digest", "left").select(
+    # only payloads that may be repeated are shuffled: a bitmap of fixed size tells the others; AQE splits a digest that many rows share
+    slot = F.conv(F.substring("digest", 1, BITMAP_BITS // 4), 16, 10).cast("long")
+    bits = pages.sparkSession.sparkContext.broadcast(bitmap_of(repeated.select(slot.alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(slots: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, slots.to_numpy()))
+
+    told = rows.withColumn("maybe", may_repeat(slot))
+    joined = told.where("maybe").join(repeated, "digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("of")), F.col("of")).alias("refers_to"))
+    return told.where("not maybe").select("page_id", "url", "payload", "payload_bytes", "digest", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
 
 
 def record(rows: DataFrame) -> Column:
@@ -98,7 +107,7 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-CANDIDATE = ("file string, block long, seq long, size long, span long, whole boolean, page string, kind string, refers string, "
+CANDIDATE = ("file long, block long, seq long, size long, span long, whole boolean, page string, kind string, refers string, "
              "told string, told_bytes long, uri string, digest string, payload_bytes long")
 
 
@@ -167,16 +176,16 @@ def _reached(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The bytes between version lines, with their place: value, file, block (start of the split), seq."""
+    """The bytes between version lines, with their place: value, file (hash of the path), block (start of the split), seq."""
     return spark.read.option("lineSep", VERSION).text(path).select(
-        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().alias("seq"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records that the chains from the files' starts reach.
 
-    Columns: file, at (offset), kind, page, refers (their ids as written), uri, told (digest as
+    Columns: file (hash of its path), at (offset), kind, page, refers (their ids as written), uri, told (digest as
     written), told_bytes, digest and payload_bytes (of the payload that is there). A chain that
     breaks, or leads past the end of its file, ends there: what lies behind is no record.
     """
@@ -191,10 +200,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("at", F.col("start") + F.col("shift") - len(VERSION)).where("at >= 0") \
         .withColumn("goal", F.coalesce(F.col("at") + F.col("span"), F.lit(-1)))
     placed = cut(placed, "placed")
-    exits = placed.select("file", "block", "at", "goal", "end").groupBy("file", "block").applyInPandas(_exits, "file string, block long, at long, exit long")
+    exits = placed.select("file", "block", "at", "goal", "end").groupBy("file", "block").applyInPandas(_exits, "file long, block long, at long, exit long")
     entries = cut(_entries(exits, blocks), "entries")
     reached = placed.select("file", "block", "seq", "at", "goal").join(entries, ["file", "block"]) \
-        .groupBy("file", "block").applyInPandas(_reached, "file string, block long, seq long, at long, goal long")
+        .groupBy("file", "block").applyInPandas(_reached, "file long, block long, seq long, at long, goal long")
     records = cut(placed.drop("goal", "shift", "start", "end", "bytes", "size", "span").join(reached.select("file", "block", "seq", "goal"), ["file", "block", "seq"]), "records")
     done = records.where("whole").select(*RECORD)
     torn = records.where("not whole")
@@ -259,7 +268,7 @@ def _joined(spark: SparkSession, path: str, placed: DataFrame, torn: DataFrame)
                                | {"at": r["owner"], "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([_CANDIDATE.field(c) if c != "at" else pa.field("at", pa.int64()) for c in RECORD]))
 
-    return whole.mapInArrow(digest, ", ".join(f"{c} {'long' if c in ('at', 'told_bytes', 'payload_bytes') else 'string'}" for c in RECORD))
+    return whole.mapInArrow(digest, ", ".join(f"{c} {'long' if c in ('file', 'at', 'told_bytes', 'payload_bytes') else 'string'}" for c in RECORD))
 
 
 def _page(c: str) -> Column:
