@@ -218,26 +218,20 @@ NOTIFY = "notify AS MATERIALIZED (SELECT * FROM passed WHERE severity IN ('HIGH'
 
 def batched(source: str) -> str:
     return f"""{chain(source, [], 3_000_000, "start")},
-batched AS MATERIALIZED (SELECT a.*, s.ts_us AS batch_id FROM {source} a ASOF JOIN (SELECT ts_us FROM start) s ON a.ts_us >= s.ts_us),
-pending AS MATERIALIZED (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts_us DESC, packet_id DESC)
-  AS place FROM batched) WHERE place <= 100)"""
+batched AS MATERIALIZED (SELECT a.*, s.ts_us AS batch_id FROM {source} a ASOF JOIN (SELECT ts_us FROM start) s ON a.ts_us >= s.ts_us)"""
 
 
 SUBJECT = f"""CASE WHEN n = 1 THEN severity || ' — ' || rule
   ELSE CAST(n AS VARCHAR) || ' alerts — highest: ' || severity || ' ' || rule END AS subject"""
 TOP = f"""tops AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n,
-  row_number() OVER (PARTITION BY batch_id ORDER BY {RANK} DESC, ts_us, packet_id) AS place FROM pending) WHERE place = 1)"""
+  row_number() OVER (PARTITION BY batch_id ORDER BY {RANK} DESC, ts_us, packet_id) AS place FROM batched) WHERE place = 1)"""
 ICON = "CASE WHEN severity = 'CRITICAL' THEN ':rotating_light:' ELSE ':warning:' END AS icon"
 
-BODY = """bodies AS (SELECT batch_id, string_agg(body, chr(10) || chr(10) ORDER BY i) AS body FROM (
-  SELECT batch_id, i, concat_ws(chr(10),
-    CASE WHEN n > 1 THEN '[' || CAST(i AS VARCHAR) || '/' || CAST(n AS VARCHAR) || '] ' ELSE '' END || 'Severity  : ' || severity,
-    '  Rule      : ' || rule, '  Source IP : ' || src_ip, '  Dest IP   : ' || dst_ip,
-    '  Dest Port : ' || CAST(dst_port AS VARCHAR), '  Count     : ' || CAST(count AS VARCHAR) || ' packets in window',
-    CASE WHEN threat_score <> 0 THEN '  Threat    : ' || CAST(threat_score AS VARCHAR) || '/100' END,
-    CASE WHEN also_triggered <> '' THEN '  Also fired: ' || replace(also_triggered, '|', ', ') END) AS body
-  FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts_us, packet_id) AS i,
-        count(*) OVER (PARTITION BY batch_id) AS n FROM pending)) GROUP BY batch_id)"""
+DIGEST_LINE = """concat_ws(chr(10), 'Severity  : ' || severity,
+  '  Rule      : ' || rule, '  Source IP : ' || src_ip, '  Dest IP   : ' || dst_ip,
+  '  Dest Port : ' || CAST(dst_port AS VARCHAR), '  Count     : ' || CAST(count AS VARCHAR) || ' packets in window',
+  CASE WHEN threat_score <> 0 THEN '  Threat    : ' || CAST(threat_score AS VARCHAR) || '/100' END,
+  CASE WHEN also_triggered <> '' THEN '  Also fired: ' || replace(also_triggered, '|', ', ') END) AS line"""
 
 
 def jstr(c: str) -> str:
@@ -342,9 +336,10 @@ def oracle_sql() -> dict[str, str]:
         "e3_notify": on_live(f"SELECT {ALERT_COLS} FROM passed WHERE severity IN ('HIGH', 'CRITICAL')"),
         "e4_batches": on_live("SELECT packet_id, batch_id FROM batched", f",\n{NOTIFY},\n{batched('notify')}"),
         "e4_batches_undeduplicated": f"WITH RECURSIVE {packets()},\n{alerts()},\n{batched('alerts')}\nSELECT packet_id, batch_id FROM batched",
-        "e5_digest": on_live(f"SELECT t.batch_id, n AS n_alerts, {SUBJECT}, b.body, {ICON} FROM tops t JOIN bodies b ON t.batch_id = b.batch_id",
-                             f",\n{NOTIFY},\n{batched('notify')},\n{TOP},\n{BODY}"),
-        "e6_pending": f"WITH RECURSIVE {packets()},\n{alerts()},\n{batched('alerts')}\nSELECT packet_id, batch_id FROM pending",
+        "e5_digest": on_live(f"SELECT batch_id, n AS n_alerts, {SUBJECT}, {ICON} FROM tops", f",\n{NOTIFY},\n{batched('notify')},\n{TOP}"),
+        "e5_digest_lines": on_live(f"SELECT batch_id, packet_id, {DIGEST_LINE} FROM batched", f",\n{NOTIFY},\n{batched('notify')}"),
+        "e6_pending": f"WITH RECURSIVE {packets()},\n{alerts()},\n{batched('alerts')}\nSELECT packet_id, batch_id FROM batched "
+                      "QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY ts_us DESC, packet_id DESC) <= 100",
         "e7_icons": f"WITH RECURSIVE {packets()},\n{alerts()},\n{batched('alerts')},\n{TOP}\n"
                     f"SELECT batch_id, n AS n_alerts, {SUBJECT}, {ICON} FROM tops",
         "f1_recent": on_alerts(f"SELECT {ALERT_COLS} FROM alerts ORDER BY ts_us DESC, packet_id DESC LIMIT 500"),
@@ -373,8 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "f7_risk_label": on_alerts(
             f"""SELECT src_ip, risk_score, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH'
               WHEN risk_score >= 20 THEN 'ELEVATED' ELSE 'LOW' END AS risk_label FROM (SELECT *, {RISK} AS risk_score FROM (
-              SELECT src_ip, {total}, {levels()} FROM (SELECT * FROM alerts WHERE severity IN ('CRITICAL', 'HIGH')
-              ORDER BY ts_us, packet_id LIMIT 60) GROUP BY src_ip))"""),
+              SELECT src_ip, {total}, {levels()} FROM alerts GROUP BY src_ip))"""),
         "f8_techniques": on_alerts("SELECT src_ip, count(DISTINCT mitre) AS n_techniques, string_agg(DISTINCT mitre, '|' ORDER BY mitre) "
                                    "AS techniques FROM alerts GROUP BY src_ip"),
         "f8_ip_top_rules": on_alerts(

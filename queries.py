@@ -325,8 +325,12 @@ def e5_digest(spark, d):
     return A.digest(_batched(spark, d))
 
 
+def e5_digest_lines(spark, d):
+    return A.digest_lines(_batched(spark, d)).select("batch_id", "packet_id", "line")
+
+
 def e6_pending(spark, d):
-    return A.pending(A.batch(P.cut(offline(spark, d), "alerts"))).select("packet_id", "batch_id")
+    return A.pending(A.batch(P.cut(offline(spark, d), "alerts")), 100).select("packet_id", "batch_id")
 
 
 def e7_icons(spark, d):
@@ -421,6 +425,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e4_batches": e4_batches,
         "e4_batches_undeduplicated": e4_batches_undeduplicated,
         "e5_digest": e5_digest,
+        "e5_digest_lines": e5_digest_lines,
         "e6_pending": e6_pending,
         "e7_icons": e7_icons,
         "f1_recent": lambda s, d: R.recent(offline(s, d)),
@@ -431,7 +436,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f4_top_rules": lambda s, d: R.top_rules(offline(s, d)),
         "f5_investigate": f5_investigate,
         "f6_risk_score": lambda s, d: R.risk_score(live(s, d)),
-        "f7_risk_label": lambda s, d: R.risk_score(R.critical_high(offline(s, d), 60)).select("src_ip", "risk_score", "risk_label"),
+        "f7_risk_label": lambda s, d: R.risk_score(offline(s, d)).select("src_ip", "risk_score", "risk_label"),
         "f8_techniques": f8_techniques,
         "f8_ip_top_rules": lambda s, d: R.ip_top_rules(offline(s, d)),
         "f9_by_severity": lambda s, d: R.by_severity(offline(s, d)),

@@ -3,7 +3,7 @@ import random
 import pytest
 from model import US, greedy
 
-from wiretally.operators.alerts import batch, cooldown, digest, notify_filter, pending, suppressed, suppressed_total
+from wiretally.operators.alerts import batch, cooldown, digest, digest_lines, notify_filter, pending, suppressed, suppressed_total
 from wiretally.operators.greedy import openers
 
 ALERTS = ("packet_id bigint, ts_us bigint, rule string, severity string, src_ip string, dst_ip string, dst_port int, "
@@ -61,12 +61,19 @@ def test_digest_text(spark):
     got = digest(batch(alerts(spark, rows))).orderBy("batch_id").collect()
     assert [r.subject for r in got] == ["3 alerts — highest: CRITICAL Null Scan", "HIGH — Null Scan"]
     assert [r.icon for r in got] == [":rotating_light:", ":warning:"]
-    assert got[0].body.split("\n\n")[0] == (
-        "[1/3] Severity  : HIGH\n  Rule      : Port Scan (SYN)\n  Source IP : 1.1.1.1\n  Dest IP   : 2.2.2.2\n"
+    body = {r.packet_id: r.line for r in digest_lines(batch(alerts(spark, rows))).collect()}
+    assert body[1] == (
+        "Severity  : HIGH\n  Rule      : Port Scan (SYN)\n  Source IP : 1.1.1.1\n  Dest IP   : 2.2.2.2\n"
         "  Dest Port : 22\n  Count     : 120 packets in window\n  Threat    : 30/100\n  Also fired: Null Scan, FIN Scan")
-    assert got[1].body == "Severity  : HIGH\n  Rule      : Null Scan\n  Source IP : 1.1.1.1\n  Dest IP   : 2.2.2.2"
+    assert body[4] == "Severity  : HIGH\n  Rule      : Null Scan\n  Source IP : 1.1.1.1\n  Dest IP   : 2.2.2.2"
+
+
+def test_digest_covers_the_whole_batch(spark):
+    rows = [(0, 0, "Null Scan", "CRITICAL")] + [(i, i / 1000, "r", "HIGH") for i in range(1, 300)]
+    got = digest(batch(alerts(spark, rows))).collect()
+    assert [(r.n_alerts, r.subject, r.icon) for r in got] == [(300, "300 alerts — highest: CRITICAL Null Scan", ":rotating_light:")]
 
 
 def test_pending_keeps_the_newest(spark):
-    kept = pending(batch(alerts(spark, [(i, i / 1000, "r", "HIGH") for i in range(130)])))
+    kept = pending(batch(alerts(spark, [(i, i / 1000, "r", "HIGH") for i in range(130)])), 100)
     assert sorted(r.packet_id for r in kept.collect()) == list(range(30, 130))

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from wiretally.operators.greedy import openers
 from wiretally.operators.slabs import US, at_home, with_slabs
 from wiretally.rules import SEVERITIES
-from wiretally.schema import RANK, severity_rank
+from wiretally.schema import severity_rank
 
 COOLDOWN_S = 30
 BATCH_S = 3
-MAX_PENDING = 100
 
 
 def cooldown(alerts: DataFrame, keys=("rule", "src_ip"), span_s: int = COOLDOWN_S) -> DataFrame:
@@ -56,8 +55,8 @@ def batch(alerts: DataFrame, keys=(), span_s: int = BATCH_S) -> DataFrame:
     return (rows.withColumn("batch_id", opened).filter(f"kind = 1 AND {at_home(slab_us)}").drop("kind", "slab"))
 
 
-def pending(batched: DataFrame, keys=(), max_alerts: int = MAX_PENDING) -> DataFrame:
-    """The newest `max_alerts` of each batch, as a bounded notification queue keeps."""
+def pending(batched: DataFrame, max_alerts: int, keys=()) -> DataFrame:
+    """The newest `max_alerts` of each batch: a report of a queue of that size."""
     newest = Window.partitionBy(*keys, "batch_id").orderBy(F.desc("ts_us"), F.desc("packet_id"))
     return batched.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= max_alerts).drop("_n")
 
@@ -66,37 +65,35 @@ def _line(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value.cast("string"))
 
 
-def digest(batched: DataFrame, keys=(), max_alerts: int = MAX_PENDING, prefix: str = "") -> DataFrame:
-    """One notification per batch: subject, body and icon over its newest `max_alerts`."""
-    kept = pending(batched, keys, max_alerts)
-    item = F.struct("ts_us", "packet_id", "rule", "severity", "src_ip", "dst_ip", "dst_port", "count",
-                    "threat_score", "also_triggered")
-    rank = RANK.replace("severity", "a.severity")
-    out = (kept.groupBy(*keys, "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-           .selectExpr("*", "size(items) AS n", f"""array_min(transform(items, (a, i) ->
-               named_struct('r', -{rank}, 'i', i, 'severity', a.severity, 'rule', a.rule))) AS top"""))
-    severity, rule, n = F.col("top.severity"), F.col("top.rule"), F.col("n")
-
-    # The wording and layout of a notification.
-    def text(a, i):
-        number = F.when(n > 1, F.concat(F.lit("["), (i + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit("] "))) \
-            .otherwise(F.lit(""))
-        return F.concat_ws(
-            "\n",
-            F.concat(number, F.lit("Severity  : "), a["severity"]),
-            _line("  Rule      : ", a["rule"]),
-            _line("  Source IP : ", a["src_ip"]),
-            _line("  Dest IP   : ", a["dst_ip"]),
-            _line("  Dest Port : ", a["dst_port"]),
-            F.concat(F.lit("  Count     : "), a["count"].cast("string"), F.lit(" packets in window")),
-            F.when(a["threat_score"] != 0, F.concat(F.lit("  Threat    : "), a["threat_score"].cast("string"), F.lit("/100"))),
-            F.when(F.size(a["also_triggered"]) > 0,
-                   F.concat(F.lit("  Also fired: "), F.array_join(a["also_triggered"], ", "))))
+def digest(batched: DataFrame, keys=(), prefix: str = "") -> DataFrame:
+    """One notification per batch: number of alerts, subject and icon, over all its alerts.
 
+    The highest severity leads, the earliest alert of it. A hash aggregate: nothing of a
+    batch is collected; `digest_lines` has the body.
+    """
+    top = F.min(F.struct((-severity_rank()).alias("r"), "ts_us", "packet_id", "rule", "severity")).alias("top")
+    out = batched.groupBy(*keys, "batch_id").agg(F.count(F.lit(1)).alias("n"), top)
+    severity, rule, n = F.col("top.severity"), F.col("top.rule"), F.col("n")
+    # The wording of a notification.
     return out.select(
-        *keys, "batch_id", F.col("n").cast("bigint").alias("n_alerts"),
+        *keys, "batch_id", n.cast("bigint").alias("n_alerts"),
         F.when(n == 1, F.concat(F.lit(prefix), severity, F.lit(" — "), rule))
          .otherwise(F.concat(F.lit(prefix), n.cast("string"), F.lit(" alerts — highest: "), severity, F.lit(" "), rule))
          .alias("subject"),
-        F.array_join(F.transform("items", text), "\n\n").alias("body"),
         F.when(severity == "CRITICAL", ":rotating_light:").otherwise(":warning:").alias("icon"))
+
+
+def digest_lines(batched: DataFrame, keys=()) -> DataFrame:
+    """The body of the notifications: the text of every alert, in order of (ts_us, packet_id) within its batch."""
+    # The layout of a notification.
+    line = F.concat_ws(
+        "\n",
+        _line("Severity  : ", F.col("severity")),
+        _line("  Rule      : ", F.col("rule")),
+        _line("  Source IP : ", F.col("src_ip")),
+        _line("  Dest IP   : ", F.col("dst_ip")),
+        _line("  Dest Port : ", F.col("dst_port")),
+        F.concat(F.lit("  Count     : "), F.col("count").cast("string"), F.lit(" packets in window")),
+        F.when(F.col("threat_score") != 0, F.concat(F.lit("  Threat    : "), F.col("threat_score").cast("string"), F.lit("/100"))),
+        F.when(F.size("also_triggered") > 0, F.concat(F.lit("  Also fired: "), F.array_join("also_triggered", ", "))))
+    return batched.select(*keys, "batch_id", "ts_us", "packet_id", line.alias("line"))

@@ -45,7 +45,7 @@ def recent(alerts: DataFrame, limit: int = 500, severity: str | None = None, ip:
         alerts = alerts.filter(F.contains(F.lower("rule"), F.lit(rule.lower())))
     if since:
         alerts = alerts.filter(iso() > since)
-    return alerts.orderBy(F.desc("ts_us"), F.desc("packet_id")).limit(min(limit, 2000))
+    return alerts.orderBy(F.desc("ts_us"), F.desc("packet_id")).limit(limit)
 
 
 def severity_totals(alerts: DataFrame, today: str) -> DataFrame:

@@ -24,7 +24,8 @@ def parse_alert_lines(lines: DataFrame, keep_category: bool = False, rules=None)
     """
     schema = T.StructType([*ALERT_LOG.fields, T.StructField(_CORRUPT, T.StringType())])
     a = F.from_json(F.trim("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    rows = (lines.filter(F.trim("value") != "").select(a.alias("a")).select("a.*")
+    folder = [c for c in lines.columns if c == "date"]
+    rows = (lines.filter(F.trim("value") != "").select(a.alias("a"), *folder).select("a.*", *folder)
             .filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT))
     rows = rows.withColumns({
         "also_triggered": F.coalesce("also_triggered", F.array().cast("array<string>")),
