@@ -348,6 +348,12 @@ def test_setsketch():
     assert SK.cardinality(k[0]) == pytest.approx(len(a), rel=0.4)
     assert (SK.merged(k[0], k[1]) == SK.registers(np.union1d(a, b), np.array([0]))[0]).all()
     assert SK.jaccard(k[:1], k[:1], np.array([4000.]), np.array([4000.]))[0] == 1
+    parts = [np.unique(pool[i * 40:i * 40 + 400 + 60 * (i % 3)]) for i in range(120)]
+    k, n = SK.registers(np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts[:-1]])), np.array([float(len(x)) for x in parts])
+    for step in (1, 2, 3):
+        j = SK.jaccard(k[step:], k[:-step], n[step:], n[:-step])
+        clear = abs(j - 0.55) > 0.01
+        assert (SK.reaches(k[step:], k[:-step], n[step:], n[:-step], 0.55) == (j >= 0.55))[clear].all()
 
 
 def test_near_groups_equal_all_pairs(spark, none, monkeypatch):

@@ -5,8 +5,9 @@ Rows with equal sets are one class from the start. Inside a bucket of classes no
 pairs are formed. Every class is first tested against one head, the smallest key it meets
 in its buckets, which settles most of a large group of near copies. What is left are
 pairs of classes of one bucket that are not yet connected: they are formed from the
-classes outside a bucket's largest component. While these are many, rounds with a growing
-number of heads a bucket come first; no pair that could connect two components is left out.
+classes outside a bucket's largest component, if their sizes allow a link. While these are
+many, rounds with a growing number of heads a bucket come first, as long as each leaves at
+most half of them; no pair that could connect two components is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import setsketch
@@ -71,17 +72,22 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
+def _sizes(a: str, b: str) -> Column:
+    """Whether sets of these sizes can share LIKE per cent of their union."""
+    return 100 * F.least(a, b) >= LIKE * F.greatest(a, b)
+
+
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow a link."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"k_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {LIKE} * greatest(n_a, n_b)")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes("n_a", "n_b"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 k = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("k_a", "k_b")]
-                j = setsketch.jaccard(*k, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
-                yield batch.select(["a", "b"]).filter(pa.array(j >= HOPELESS))
+                n = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
+                yield batch.select(["a", "b"]).filter(pa.array(setsketch.reaches(*k, *n, HOPELESS)))
 
     return both.mapInArrow(run, "a binary, b binary")
 
@@ -121,7 +127,7 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (key, id: smallest doc_id, n, registers, bands) and links (a, b) that connect every component."""
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    exploded = classes.select(F.explode("bands").alias("band"), "key")
+    exploded = classes.select(F.explode("bands").alias("band"), "key", "n")
     shared = exploded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     members = cut(exploded.join(shared, "band"), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "id"), "key")
@@ -136,10 +142,10 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = members.groupBy("band").agg(F.min("key").alias("head"))
     tested = cut(members.join(heads, "band").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")).where("a <> b"), "tested")
     links = test(tested)
-    turn = 0
+    turn, before = 0, None
     while True:
         roots = components(links)
-        placed = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        placed = members.join(roots, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
         # buckets that hold several components, and the largest of each
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
         mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
@@ -148,15 +154,16 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not left:
             return classes, links
         turn, heads_each = turn + 1, HEADS**(turn + 1)
-        last = left <= heads_each * held
+        last = left <= heads_each * held or (before is not None and 2 * left > before)
+        before = left
         if last:       # all pairs of classes outside a bucket's largest component with the others
             heads = open_.where("root <> main")
         else:          # about `heads_each` heads a bucket, drawn by a hash
             heads = open_.where(F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.col("all")) < heads_each)
-        heads = heads.select("band", F.col("key").alias("a"), F.col("root").alias("root_a"))
+        heads = heads.select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
         twice = (F.col("root") == F.col("main")) | (F.col("a") < F.col("b")) if last else F.lit(True)
-        pairs = heads.join(open_.select("band", F.col("key").alias("b"), "root", "main"), "band") \
-            .where((F.col("root_a") != F.col("root")) & twice).select("a", "b").distinct()
+        pairs = heads.join(open_.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), "root", "main"), "band") \
+            .where((F.col("root_a") != F.col("root")) & twice & _sizes("n_a", "n_b")).select("a", "b").distinct()
         more = cut(_new(pairs, tested), "tested")
         links = cut(links.unionByName(test(more)), "links")
         if last:

@@ -58,17 +58,35 @@ def band_keys(k: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def jaccard(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Jaccard similarity of each pair of rows by maximum likelihood, from how many registers
-    are larger, smaller and equal, given both set sizes."""
+def _counts(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many registers of each pair of rows are larger, smaller and equal, and each set's share of both sizes."""
     more, less = (ku > kv).sum(-1), (ku < kv).sum(-1)
-    equal = ku.shape[-1] - more - less
-    u = nu / (nu + nv)
-    v = 1 - u
-    top = np.minimum(u / v, v / u)
-    j = top[:, None] * np.linspace(0, 1, steps + 1)
+    return more, less, ku.shape[-1] - more - less, nu / (nu + nv), nv / (nu + nv)
+
+
+def _likelihood(j: np.ndarray, more, less, equal, u, v) -> np.ndarray:
+    """Logarithm of the joint likelihood of the registers if the Jaccard similarity is j."""
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
-    above, below = p(u[:, None] - v[:, None] * j), p(v[:, None] - u[:, None] * j)
+    above, below = p(u - v * j), p(v - u * j)
     log = lambda x: np.log(np.maximum(x, 1e-12))
-    likelihood = more[:, None] * log(above) + less[:, None] * log(below) + equal[:, None] * log(1 - above - below)
+    return more * log(above) + less * log(below) + equal * log(1 - above - below)
+
+
+def jaccard(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Jaccard similarity of each pair of rows by maximum likelihood, given both set sizes."""
+    more, less, equal, u, v = _counts(ku, kv, nu, nv)
+    j = np.minimum(u / v, v / u)[:, None] * np.linspace(0, 1, steps + 1)
+    likelihood = _likelihood(j, *(x[:, None] for x in (more, less, equal, u, v)))
     return j[np.arange(len(j)), likelihood.argmax(1)]
+
+
+def reaches(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray, least: float, step: float = 1e-3) -> np.ndarray:
+    """Whether the likeliest Jaccard similarity of each pair of rows is `least` or more.
+
+    The likelihood has one peak, so it tells which side of `least` the peak is on.
+    """
+    of = _counts(ku, kv, nu, nv)
+    u, v = of[3:]
+    top = np.minimum(u / v, v / u)
+    at = np.full(len(u), least)
+    return (top >= least) & (_likelihood(at, *of) >= _likelihood(at - step, *of))
