@@ -113,6 +113,13 @@ def test_hmm_forward_and_counts_equal_sums_over_paths():
             assert np.allclose(a, b / total, atol=1e-5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 9, 50])
+def test_most_frequent_words(spark, n):
+    rows = [(bytes([97 + i]), c) for i, c in enumerate([8, 1, 7, 8, 16, 1, 1, 2, 1000, 4])]
+    got = H.most_frequent(spark.createDataFrame(rows, "word binary, c long"), n).collect()
+    assert [(bytes(r["word"]), r["c"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+
+
 def test_scores(spark, docs, none):
     got = H.score(docs, states=3, own_words=50, iterations=2).collect()
     assert len(got) == len(TEXTS)
