@@ -1,13 +1,17 @@
 """Near-duplicate groups with SetSketch registers: equal bands of registers give candidates,
 the joint likelihood of the registers drops the hopeless ones, full sets confirm links.
 
-Rows with equal sets are one class from the start. Inside a bucket of classes not all
-pairs are formed. Every class is first tested against one head, the smallest key it meets
-in its buckets, which settles most of a large group of near copies. What is left are
-pairs of classes of one bucket that are not yet connected: they are formed from the
-classes outside a bucket's largest component, if their sizes allow a link. While these are
-many, rounds with a growing number of heads a bucket come first, as long as each leaves at
-most half of them; no pair that could connect two components is left out.
+Rows with equal sets are one class from the start. Every class is first tested against
+one head, the smallest key it meets in its buckets. What is left are pairs of classes of
+one bucket that are not yet connected: classes outside a bucket's largest component meet
+the others. While these are many, rounds with a growing number of heads a bucket come
+first, as long as each leaves at most half of them; no pair that could connect two
+components is left out.
+
+Such pairs never become rows before they are judged. A bucket is dealt into tiles of some
+heads and some members; a task holds a tile's heads, reads its members in batches and
+compares sizes, parity bitmaps (their distance bounds the intersection from above, so this
+loses nothing) and the likelihood of the registers. Only pairs that pass go to the full sets.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from wiretally.llm.shared import TokenHash, cut, mix, rolling, slices
 WIDTH = 4                # words of a shingle
 LIKE = 80                # per cent of the union that linked documents share
 HOPELESS = 0.55          # likelihood estimate below which a pair is not confirmed; five deviations below LIKE
+PARITY_BITS = 1024       # bits of a set's parity bitmap
 FAN = 256                # members that are confirmed against one copy of a head's text
 HEADS = 4                # a bucket's heads in the first round of several; each round has so many times more
+TILE = 512               # heads of a tile, and members of a tile
 
 
 def token_hash(token: bytes) -> int:
@@ -46,7 +52,23 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-SKETCH = "doc_id long, text_key binary, n long, key binary, registers binary, bands array<long>"
+def parities(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[sets, PARITY_BITS / 8]: for each of PARITY_BITS slots, whether an odd number of a set's elements is in it."""
+    slot = (elements >> np.uint64(64 - (PARITY_BITS.bit_length() - 1))).astype(np.int64)
+    slot += np.repeat(np.arange(len(sizes)) * PARITY_BITS, sizes)
+    odd = np.bincount(slot, minlength=len(sizes) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sizes), PARITY_BITS), axis=1)
+
+
+def apart(distance: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of `both` elements together, whose bitmaps differ in `distance` slots, cannot be linked.
+
+    Each differing slot holds an element that only one of the sets has.
+    """
+    return (100 + LIKE) * distance > (100 - LIKE) * both
+
+
+SKETCH = "doc_id long, text_key binary, n long, key binary, registers binary, parity binary, bands array<long>"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -60,14 +82,16 @@ def sketched(docs: DataFrame) -> DataFrame:
                 sets = [shingles(x, known) for x in texts]
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
-                regs = setsketch.registers(np.concatenate([sets[i] for i in full]), np.concatenate([[0], np.cumsum(n[full])[:-1]])) if len(full) else np.empty((0, setsketch.M), np.uint16)
+                every = np.concatenate([sets[i] for i in full]) if len(full) else np.empty(0, np.uint64)
+                regs = setsketch.registers(every, np.concatenate([[0], np.cumsum(n[full])[:-1]])) if len(full) else np.empty((0, setsketch.M), np.uint16)
+                odd = parities(every, n[full]) if len(full) else []
                 bands = setsketch.band_keys(regs).view(np.int64).tolist()
-                key, raw, keys = [None] * len(n), [None] * len(n), [None] * len(n)
+                key, raw, bits, keys = ([None] * len(n) for _ in range(4))
                 for j, i in enumerate(full):
-                    key[i], raw[i], keys[i] = set_key(sets[i]), regs[j].tobytes(), bands[j]
+                    key[i], raw[i], bits[i], keys[i] = set_key(sets[i]), regs[j].tobytes(), odd[j].tobytes(), bands[j]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([hashlib.sha1((x or "").encode("utf-8", "replace")).digest() for x in texts], pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "n", "key", "registers", "bands"])
+                    [part.column("doc_id"), pa.array([hashlib.sha1((x or "").encode("utf-8", "replace")).digest() for x in texts], pa.binary()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(raw, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n", "key", "registers", "parity", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
@@ -77,21 +101,106 @@ def _sizes(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= LIKE * F.greatest(a, b)
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    """A row of `kind` for each value of a column of equally long binaries."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and registers allow a link."""
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"k_{x}"))
+    """Pairs (a, b) whose sizes, bitmaps and registers allow a link."""
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"k_{x}"), F.col("parity").alias(f"p_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes("n_a", "n_b"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                k = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("k_a", "k_b")]
+                k = [_matrix(batch.column(c), np.uint16) for c in ("k_a", "k_b")]
+                p = [_matrix(batch.column(c), np.uint64) for c in ("p_a", "p_b")]
                 n = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
-                yield batch.select(["a", "b"]).filter(pa.array(setsketch.reaches(*k, *n, HOPELESS)))
+                far = apart(np.bitwise_count(p[0] ^ p[1]).sum(-1, dtype=np.int64), n[0] + n[1])
+                yield batch.select(["a", "b"]).filter(pa.array(~far & setsketch.reaches(*k, *n, HOPELESS)))
 
     return both.mapInArrow(run, "a binary, b binary")
 
 
+class _Rows:
+    """Classes of a bucket as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        self.key, self.root = _matrix(batch.column("key"), np.uint64), _matrix(batch.column("root"), np.uint64)
+        self.registers, self.parity = _matrix(batch.column("registers"), np.uint16), _matrix(batch.column("parity"), np.uint64)
+        self.n, self.main = batch.column("n").to_numpy(), batch.column("is_main").to_numpy(zero_copy_only=False)
+
+
+def _between(a: _Rows, b: _Rows, band: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of heads `a` and members `b` of a band's bucket that may be linked.
+
+    With `every`, all of them: members outside the largest component are paired from one
+    side, and a pair that shares several bands counts in the first. Else each member's best head.
+    """
+    both = a.n[:, None] + b.n[None, :]
+    meet = (a.root[:, None] != b.root[None, :]).any(-1) & (100 * np.minimum(a.n[:, None], b.n[None, :]) >= LIKE * np.maximum(a.n[:, None], b.n[None, :]))
+    if every:
+        (a0, a1), (b0, b1) = a.key.T, b.key.T
+        meet &= b.main[None, :] | (a0[:, None] < b0) | ((a0[:, None] == b0) & (a1[:, None] < b1))
+    i, j = np.nonzero(meet)
+    distance = np.bitwise_count(a.parity[i] ^ b.parity[j]).sum(-1, dtype=np.int64)
+    near = ~apart(distance, both[i, j])
+    i, j, distance = i[near], j[near], distance[near]
+    if every and len(i):
+        shared = (a.registers[i] == b.registers[j]).reshape(len(i), setsketch.BANDS, -1).all(-1)
+        first = shared.argmax(-1) == band
+        i, j, distance = i[first], j[first], distance[first]
+    if len(i):
+        likely = setsketch.reaches(a.registers[i], b.registers[j], a.n[i].astype(float), b.n[j].astype(float), HOPELESS)
+        i, j, distance = i[likely], j[likely], distance[likely]
+    if not every and len(i):
+        order = np.lexsort((distance / both[i, j], j))
+        order = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+        i, j = i[order], j[order]
+    return i, j
+
+
+def met(rows: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of heads and members of one bucket that are in different components and may be linked.
+
+    rows: band, at (position of the band), key, root, is_main, is_head. Heads and members of
+    a bucket are dealt into tiles of about TILE each, whatever the size of the bucket.
+    """
+    dealt = rows.groupBy("band").agg(F.count_if("is_head").alias("h"), F.count("*").alias("m")).where("h > 0").select(
+        "band", F.ceil(F.col("h") / TILE).cast("int").alias("h_parts"), F.ceil(F.col("m") / TILE).cast("int").alias("m_parts"))
+    placed = rows.join(dealt, "band").join(classes.select("key", "n", "registers", "parity"), "key")
+    own = lambda n: F.pmod(F.xxhash64("key", "band"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["band", "at", "key", "root", "is_main", "n", "registers", "parity"]
+    heads = placed.where("is_head").select(*cols, F.lit(0).alias("role"), own("h_parts").alias("h"), all_("m_parts").alias("m"))
+    members = placed.select(*cols, F.lit(1).alias("role"), all_("h_parts").alias("h"), own("m_parts").alias("m"))
+
+    def run(batches):
+        tile, parts, a = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("band", "h", "m", "role")], 1)
+            edges = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist(), len(of)]
+            out = [[], []]
+            for start, end in zip(edges, edges[1:]):
+                this, role, part = tuple(of[start, :3]), of[start, 3], batch.slice(start, end - start)
+                if this != tile:
+                    tile, parts, a = this, [], None
+                if role == 0:
+                    parts.append(part)
+                elif parts:
+                    a, b = a or _Rows(pa.Table.from_batches(parts)), _Rows(part)
+                    i, j = _between(a, b, part.column("at")[0].as_py(), every)
+                    out[0] += [a.key[x].tobytes() for x in i]
+                    out[1] += [b.key[x].tobytes() for x in j]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
+    tiles = heads.unionByName(members).repartition("band", "h", "m").sortWithinPartitions("band", "h", "m", "role")
+    return tiles.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets share LIKE per cent of their union.
 
@@ -124,58 +233,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (key, id: smallest doc_id, n, registers, bands) and links (a, b) that connect every component."""
+    """Classes (key, id: smallest doc_id, n, registers, parity, bands) and links (a, b) that connect every component."""
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "classes")
-    exploded = classes.select(F.explode("bands").alias("band"), "key", "n")
+        F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "registers", "parity", "bands"))), "classes")
+    exploded = classes.select(F.posexplode("bands").alias("at", "band"), "key")
     shared = exploded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     members = cut(exploded.join(shared, "band"), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "id"), "key")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = cut(source.join(wanted, "id").select("key", "text").distinct(), "texts")
-    slim = classes.select("key", "n", "registers")
-
-    def test(pairs):
-        return cut(confirmed(promising(pairs, slim), texts), "links")
+    slim = classes.select("key", "n", "registers", "parity")
 
     # round 1: the smallest key in a class's buckets; keys are hashes, so heads are drawn at random
     heads = members.groupBy("band").agg(F.min("key").alias("head"))
-    tested = cut(members.join(heads, "band").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")).where("a <> b"), "tested")
-    links = test(tested)
+    first = members.join(heads, "band").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")).where("a <> b")
+    links = cut(confirmed(promising(first, slim), texts), "links")
     turn, before = 0, None
     while True:
         roots = components(links)
-        placed = members.join(roots, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
+        placed = members.join(roots, "key", "left").select("band", "at", "key", F.coalesce("root", "key").alias("root"))
         # buckets that hold several components, and the largest of each
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
         mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
-        open_ = cut(placed.join(mixed, "band"), "open")
-        left, held = open_.agg(F.sum(F.when(F.col("root") != F.col("main"), F.col("all")).otherwise(0)), F.count("*")).first()
+        open_ = cut(placed.join(mixed, "band").select("band", "at", "key", "root", "all", (F.col("root") == F.col("main")).alias("is_main")), "open")
+        left, held = open_.agg(F.sum(F.when(~F.col("is_main"), F.col("all")).otherwise(0)), F.count("*")).first()
         if not left:
             return classes, links
         turn, heads_each = turn + 1, HEADS**(turn + 1)
         last = left <= heads_each * held or (before is not None and 2 * left > before)
         before = left
-        if last:       # all pairs of classes outside a bucket's largest component with the others
-            heads = open_.where("root <> main")
-        else:          # about `heads_each` heads a bucket, drawn by a hash
-            heads = open_.where(F.pmod(F.xxhash64("key", "band", F.lit(turn)), F.col("all")) < heads_each)
-        heads = heads.select("band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        twice = (F.col("root") == F.col("main")) | (F.col("a") < F.col("b")) if last else F.lit(True)
-        pairs = heads.join(open_.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), "root", "main"), "band") \
-            .where((F.col("root_a") != F.col("root")) & twice & _sizes("n_a", "n_b")).select("a", "b").distinct()
-        more = cut(_new(pairs, tested), "tested")
-        links = cut(links.unionByName(test(more)), "links")
+        # in the last round all classes outside a bucket's largest component, before it about
+        # `heads_each` a bucket; a hash of the key draws the same ones in all buckets of a group
+        is_head = ~F.col("is_main") if last else F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) / (1 << 30) < heads_each / F.col("all")
+        pairs = met(open_.withColumn("is_head", is_head), slim, last)
+        links = cut(links.unionByName(confirmed(pairs, texts)), "links")
         if last:
             return classes, links
-        tested = tested.unionByName(more)
-
-
-def _new(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs that were not tested, either way round."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    old = tested.select(low.alias("low"), high.alias("high"))
-    return pairs.join(old, (F.least(pairs["a"], pairs["b"]) == old["low"]) & (F.greatest(pairs["a"], pairs["b"]) == old["high"]), "left_anti")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
