@@ -1,12 +1,12 @@
 """Near-duplicate groups with SetSketch registers: equal bands of registers give candidates,
 the joint likelihood of the registers drops the hopeless ones, full sets confirm links.
 
-Rows with equal sets are one class from the start. Every class is first tested against
-one head, the smallest key it meets in its buckets. What is left are pairs of classes of
-one bucket that are not yet connected: classes outside a bucket's largest component meet
-the others. While these are many, rounds with a growing number of heads a bucket come
-first, as long as each leaves at most half of them; no pair that could connect two
-components is left out.
+Rows with equal sets are one class from the start. In a first round every class is tested
+against the likest of up to HEADS classes, drawn by a hash, of each of its buckets, which
+settles most of a large group of near copies. What is left are pairs of classes of one
+bucket that are not yet connected: classes outside a bucket's largest component meet the
+others. While these are many, rounds with more heads come first, as long as each leaves at
+most half of them; no pair that could connect two components is left out.
 
 Such pairs never become rows before they are judged. A bucket is dealt into tiles of some
 heads and some members; a task holds a tile's heads, reads its members in batches and
@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import setsketch
@@ -32,7 +32,7 @@ LIKE = 80                # per cent of the union that linked documents share
 HOPELESS = 0.55          # likelihood estimate below which a pair is not confirmed; five deviations below LIKE
 PARITY_BITS = 1024       # bits of a set's parity bitmap
 FAN = 256                # members that are confirmed against one copy of a head's text
-HEADS = 4                # a bucket's heads in the first round of several; each round has so many times more
+HEADS = 64               # a bucket's heads in the first round; each round has so many times more
 TILE = 512               # heads of a tile, and members of a tile
 
 
@@ -96,33 +96,11 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
-def _sizes(a: str, b: str) -> Column:
-    """Whether sets of these sizes can share LIKE per cent of their union."""
-    return 100 * F.least(a, b) >= LIKE * F.greatest(a, b)
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     """A row of `kind` for each value of a column of equally long binaries."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes, bitmaps and registers allow a link."""
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"k_{x}"), F.col("parity").alias(f"p_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes("n_a", "n_b"))
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                k = [_matrix(batch.column(c), np.uint16) for c in ("k_a", "k_b")]
-                p = [_matrix(batch.column(c), np.uint64) for c in ("p_a", "p_b")]
-                n = [batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")]
-                far = apart(np.bitwise_count(p[0] ^ p[1]).sum(-1, dtype=np.int64), n[0] + n[1])
-                yield batch.select(["a", "b"]).filter(pa.array(~far & setsketch.reaches(*k, *n, HOPELESS)))
-
-    return both.mapInArrow(run, "a binary, b binary")
-
-
 class _Rows:
     """Classes of a bucket as arrays."""
 
@@ -207,9 +185,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A head's members are dealt into parts of about FAN with a copy of its text each; a task
     holds one head's set and reads members one after the other.
     """
+    pairs = cut(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
-    dealt = cut(dealt, "pairs")
     heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == texts["key"]).select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
     members = dealt.join(texts, F.col("b") == texts["key"]).select("a", "part", "b", "text")
 
@@ -244,29 +222,28 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut(source.join(wanted, "id").select("key", "text").distinct(), "texts")
     slim = classes.select("key", "n", "registers", "parity")
 
-    # round 1: the smallest key in a class's buckets; keys are hashes, so heads are drawn at random
-    heads = members.groupBy("band").agg(F.min("key").alias("head"))
-    first = members.join(heads, "band").groupBy("key").agg(F.min("head").alias("a")).select("a", F.col("key").alias("b")).where("a <> b")
-    links = cut(confirmed(promising(first, slim), texts), "links")
-    turn, before = 0, None
+    links, turn, before = None, 0, None
     while True:
-        roots = components(links)
-        placed = members.join(roots, "key", "left").select("band", "at", "key", F.coalesce("root", "key").alias("root"))
+        if links is None:
+            placed = members.withColumn("root", F.col("key"))
+        else:
+            placed = members.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
         # buckets that hold several components, and the largest of each
         sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
         mixed = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main")).where("roots > 1")
         open_ = cut(placed.join(mixed, "band").select("band", "at", "key", "root", "all", (F.col("root") == F.col("main")).alias("is_main")), "open")
         left, held = open_.agg(F.sum(F.when(~F.col("is_main"), F.col("all")).otherwise(0)), F.count("*")).first()
-        if not left:
+        if links is not None and not left:
             return classes, links
         turn, heads_each = turn + 1, HEADS**(turn + 1)
-        last = left <= heads_each * held or (before is not None and 2 * left > before)
-        before = left
+        last = links is not None and (left <= heads_each * held or 2 * left > before)
+        before = left or 0
         # in the last round all classes outside a bucket's largest component, before it about
         # `heads_each` a bucket; a hash of the key draws the same ones in all buckets of a group
         is_head = ~F.col("is_main") if last else F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) / (1 << 30) < heads_each / F.col("all")
         pairs = met(open_.withColumn("is_head", is_head), slim, last)
-        links = cut(links.unionByName(confirmed(pairs, texts)), "links")
+        found = confirmed(pairs, texts)
+        links = cut(links.unionByName(found) if links is not None else found, "links")
         if last:
             return classes, links
 
