@@ -465,3 +465,21 @@ def test_least_squares_meets_a_histogram_of_combinations():
     h = np.bincount(combos.ravel(), np.repeat(x, 3) * (combos > 0).ravel(), 16)
     got = PK.least_squares(combos, h, 2000)
     assert (got >= 0).all() and np.abs(np.bincount(combos.ravel(), np.repeat(got, 3) * (combos > 0).ravel(), 16) - h)[1:].max() < 0.5
+
+
+def test_parity_bound_loses_no_link():
+    rng = np.random.default_rng(5)
+    linked = dropped = 0
+    for _ in range(400):
+        size, new = int(rng.integers(1, 900)), int(rng.integers(0, 200))
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() / 3], rng.integers(0, 2**64, new, dtype=np.uint64)]))
+        if not len(b):
+            continue
+        bits = N.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        far = bool(N.apart(np.bitwise_count(bits[0] ^ bits[1]).sum(dtype=np.int64), len(a) + len(b)))
+        common = len(np.intersect1d(a, b))
+        link = 100 * common >= N.LIKE * (len(a) + len(b) - common)
+        assert not (link and far)
+        linked, dropped = linked + link, dropped + far
+    assert linked > 50 and dropped > 50
