@@ -233,6 +233,29 @@ def test_secrets(spark, docs, none):
     assert clean.where("doc_id <> 10 or doc_id is null").exceptAll(docs.where("doc_id <> 10 or doc_id is null")).count() == 0
 
 
+def test_random_strings_of_every_form():
+    enc = S.encoding(open(RANKS, "rb").read(), PATTERN)
+    found = lambda t: ",".join(t[a:b] for a, k, b in S.find(t, enc) if k == 3)
+    key, letters = "i0VpEBOWfbZAVaBSo63bbH6x", "lvblwzmmlxpbRCHjZSgrLKWvRIpETSAE"
+    for s in (letters, "q7Xv2LkP9sTz", "kqzvxwjpfhgtbnmcqdkz", "QZKXVJWPHGFTBNMCQDKZ", "aB3xZ/yK9+Lq2W"):
+        assert found(f"see {s} there") == s
+    assert found(f"/documents/customers/reports/download/signature/{key}") == key
+    assert found(f"/documents/customers/reports/{key}/v2/archive/signature/download") == key
+    assert found("/objects/550e8400-e29b-41d4-a716-446655440000/" + key) == key and found("/o/550e8400-e29b-41d4-a716-446655440000/x") == ""
+    assert found("x q7Xv2LkP9sTzAKIA" + "A" * 16) == "q7Xv2LkP9sTz"
+    assert found("f" * 24 + "/" + key) == key and found("f" * 24 + "Zq8xT4wP") == "Zq8xT4wP"
+    base = S.find("token=abcdefgh " + "f" * 24 + key, enc)
+    assert [k for _, k, _ in base] == [0, 2, 3]
+    for s in ("internationalization INTERNATIONALIZATION Bundesverfassungsgericht anticonstitutionnellement getElementById StackOverflowException",
+              "2024-01-15T10:30 a_b_c_d_e_f_g_h_i_j_k_l my_variable_name_2024_version 4785380592391139 1234-5678-9012-3456-7890", "/usr/share/documents/reports/2024/archive"):
+        assert found(s) == ""
+    r = random.Random(12)
+    for n, least in ((12, 0.99), (16, 0.99), (20, 0.99), (32, 0.99)):
+        for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+            keys = ["".join(r.choices(alphabet, k=n)) for _ in range(300)]
+            assert sum(found(f"see {k} there") == k for k in keys) >= least * 300
+
+
 # 6
 
 def test_tiling_equals_a_plain_version():

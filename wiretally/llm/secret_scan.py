@@ -3,7 +3,8 @@
 Text that people write falls into long tokens; keys and passwords drawn at random fall
 into short ones. A string is suspect if its characters per token, under a vocabulary of
 byte pairs, are few. Digests, UUIDs, numbers and identifiers made of words are excluded
-first: they are random or odd as well, but no secrets.
+first: they are random or odd as well, but no secrets. A run that is not random as a whole
+is tested by its parts between separators, so a key in a path is found.
 """
 
 from __future__ import annotations
@@ -27,11 +28,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")              # the longest run
 KINDS = ("assign", "access", "hex", "random")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")    # without one of them nothing is assigned
 
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LEAST = 12              # characters of a random string
 LEAST_RATIO = 2.3       # characters per token below which a string is random
+# Strings that also arise without chance have a lower bound: letters of one case (rare words), short strings of several parts (times, versions).
+LONG = 20               # characters from which the second bound of words and the common one of parts hold
+WORD_RATIOS = (1.8, 2.1)
+PARTS_RATIO = 1.6
+LEAST_REST = 6          # characters of a string that touches a base span
 DIGEST_SIZES = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+INNER_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+=*")
 WORDY = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+")       # a part of an identifier
 
 
@@ -42,26 +51,82 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 def excluded(s: str) -> bool:
-    """Known digests, UUIDs, numbers, and identifiers or paths made of words."""
+    """Known digests, UUIDs, numbers, and identifiers or paths made of words. A single word is left to its ratio."""
     core = s.rstrip("=")
     if DIGEST.fullmatch(core) and len(core) in DIGEST_SIZES or UUID.fullmatch(core):
         return True
-    if not (re.search(r"[0-9]", core) and re.search(r"[A-Za-z]", core)):
+    if not re.search(r"[A-Za-z]", core):
         return True
-    return all(WORDY.fullmatch(p) for p in re.split(r"[-_/+]", core))
+    return not core.isalpha() and all(WORDY.fullmatch(p) for p in re.split(r"[-_/+]", core))
 
 
-def random_spans(text: str, enc: tiktoken.Encoding, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int]]:
+def is_random(s: str, enc: tiktoken.Encoding, least_ratio: float) -> bool:
+    core = s.rstrip("=")
+    if len(core) < LEAST or excluded(s):
+        return False
+    if core.isalpha() and WORDY.fullmatch(core):
+        s, bound = core.lower(), WORD_RATIOS[len(core) >= LONG]     # capitals are spelled in short tokens
+    else:
+        bound = PARTS_RATIO if len(core) < LONG and not core.isalnum() else least_ratio
+    return len(s) < min(bound, least_ratio) * len(enc.encode_ordinary(s))
+
+
+def random_in(text: str, a: int, b: int, enc: tiktoken.Encoding, least_ratio: float) -> list[tuple[int, int]]:
+    """The random spans of a run: all of it, or else parts; parts side by side that the vocabulary finds hard are one string."""
+    if b - a < LEAST:
+        return []
+    if is_random(text[a:b], enc, least_ratio):
+        return [(a, b)]
+    groups = [[]]
+    for m in PART.finditer(text, a, b):
+        s = m.group()
+        if len(s) < least_ratio * len(enc.encode_ordinary(s)):
+            groups[-1].append(m.span())
+        else:
+            groups.append([])
     out = []
+    for g in groups:
+        long = [k for k, (i, j) in enumerate(g) if j - i >= 4]      # short parts at the ends, as of a path, belong to what is around
+        g = g[long[0]:long[-1] + 1] if long else []
+        if g and is_random(text[g[0][0]:g[-1][1]], enc, least_ratio):
+            out.append((g[0][0], g[-1][1]))
+        else:
+            out += [(i, j) for i, j in g if is_random(text[i:j], enc, least_ratio)]
+    return out
+
+
+def random_spans(text: str, enc: tiktoken.Encoding, least_ratio: float = LEAST_RATIO, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Random strings outside the base spans (start, kind, end; ascending); what a base span or a UUID leaves of a run is a run of its own."""
+    out, k = [], 0
     for m in RUN.finditer(text):
-        s = m.group()
-        if not excluded(s) and len(s) < least_ratio * len(enc.encode_ordinary(s)):
-            out.append(m.span())
+        a, b = m.span()
+        if b - a < LEAST:
+            continue
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        cuts, i = [], k
+        while i < len(base) and base[i][0] < b:
+            cuts.append((base[i][0], base[i][2]))
+            i += 1
+        known = [u.span() for u in INNER_UUID.finditer(text, a, b)]
+        if not cuts and not known:
+            out += random_in(text, a, b, enc, least_ratio)
+            continue
+        for x, y in [*sorted(cuts + known), (b, b)]:
+            s = text[a:x].strip("-_/+") if a < x else ""
+            if s:
+                at = text.index(s, a)
+                more = random_in(text, at, at + len(s), enc, least_ratio)
+                touches = any(e == at or c == at + len(s) for c, e in cuts)
+                if not more and touches and LEAST_REST <= len(s) < LEAST and s.isalnum() and not WORDY.fullmatch(s) and len(s) < PARTS_RATIO * len(enc.encode_ordinary(s)):
+                    more = [(at, at + len(s))]      # too short alone, but a secret goes on in it
+                out += more
+            a = max(a, y)
     return out
 
 
 def find(text: str | None, enc: tiktoken.Encoding, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets, ascending; kind is a place in KINDS. Random strings that touch a base span are left out."""
+    """(start, kind, end) of all secrets, ascending; kind is a place in KINDS. Random strings lie outside the base spans."""
     if not text:
         return []
     spans = []
@@ -71,10 +136,7 @@ def find(text: str | None, enc: tiktoken.Encoding, least_ratio: float = LEAST_RA
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(spans)
-    for a, b in random_spans(text, enc, least_ratio):
-        if not any(a < e and s < b for s, _, e in base):
-            spans.append((a, 3, b))
+    spans += [(a, 3, b) for a, b in random_spans(text, enc, least_ratio, sorted(spans))]
     return sorted(spans)
 
 
