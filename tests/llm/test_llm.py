@@ -216,6 +216,38 @@ def test_warc_round_trip(spark, tmp_path, split):
     assert W.read_archives(spark, path + "-none").count() == 0
 
 
+@pytest.mark.parametrize("first, second", [("128m", "400"), ("700", "500")])
+def test_warc_read_again_in_other_splits(spark, tmp_path, first, second):
+    trap = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, "u", "z" * (i % 5) * 90 + trap * (i % 4) + str(i % 6)) for i in range(14)]
+    path = str(tmp_path / "w")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+        read = W.read_archives(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+        got = {r["page"]: (r["digest"], r["payload_bytes"]) for r in read.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {f"<urn:page:{i}>": (hashlib.sha1(h.encode()).hexdigest(), len(h)) for i, _, h in rows}
+
+
+def test_warc_ends_inside_a_record_or_loses_pieces(spark, tmp_path):
+    trap = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    one = lambda i, payload, more=0: (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(payload) + 4 + more}\r\n\r\n\r\n\r\n{payload}\r\n\r\n")
+    path = tmp_path / "a.warc"
+    path.write_bytes((one(1, trap) + one(2, "x") + one(3, trap, more=50)).encode())
+    read = W.read_archives(spark, str(path))
+    assert sorted(r["page"] for r in read.collect()) == ["<urn:page:1>", "<urn:page:2>"]
+    read = W.read_archives(spark, str(path))
+    path.write_bytes(one(2, "x").encode())      # what was read first is gone
+    with pytest.raises(Exception, match="archives changed"):
+        read.collect()
+
+
 # 5
 
 def test_secrets(spark, docs, none):

@@ -10,7 +10,8 @@ its successor. A version line inside a payload makes a false candidate, which ma
 look like a whole record. Only what the chain from the start of the file reaches is a
 record. Inside a split the chain is followed by pointer jumping in the task; between
 splits by pointer jumping over a table of (candidate, exit), doubling the reach each round.
-Payloads that hold version lines are put together again from their pieces.
+Payloads that hold version lines are put together again from their pieces, which a second
+reading finds by their contents: it may be split in another way than the first.
 """
 
 from __future__ import annotations
@@ -107,16 +108,16 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-CANDIDATE = ("file long, block long, seq long, size long, span long, whole boolean, page string, kind string, refers string, "
+CANDIDATE = ("file long, block long, seq long, key binary, size long, span long, whole boolean, page string, kind string, refers string, "
              "told string, told_bytes long, uri string, digest string, payload_bytes long")
 
 
 def _candidates(batches):
     for batch in batches:
         out = []
-        for piece, file, block, seq in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block", "seq"))):
+        for piece, file, block, seq, key in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "block", "seq", "key"))):
             size = len(piece) + len(VERSION)
-            row = dict.fromkeys(x.split()[0] for x in CANDIDATE.split(", ")) | {"file": file, "block": block, "seq": seq, "size": size}
+            row = dict.fromkeys(x.split()[0] for x in CANDIDATE.split(", ")) | {"file": file, "block": block, "seq": seq, "key": key, "size": size}
             if found := parse(piece):
                 f, head = found
                 body = int(f["content-length"])
@@ -130,7 +131,7 @@ def _candidates(batches):
         yield pa.RecordBatch.from_pylist(out, schema=_CANDIDATE)
 
 
-_CANDIDATE = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in CANDIDATE.split(", "))])
+_CANDIDATE = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in CANDIDATE.split(", "))])
 
 
 def _exits(rows: pd.DataFrame) -> pd.DataFrame:
@@ -176,9 +177,12 @@ def _reached(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The bytes between version lines, with their place: value, file (hash of the path), block (start of the split), seq."""
+    """The bytes between version lines, with their place: value, key (SHA-256 of value), file (hash of the path), block (start of the split), seq.
+
+    block and seq order the pieces of one reading; another one may be split differently.
+    """
     return spark.read.option("lineSep", VERSION).text(path).select(
-        F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("value").cast("binary").alias("value"), F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("key"), F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().alias("seq"))
 
 
@@ -204,7 +208,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     entries = cut(_entries(exits, blocks), "entries")
     reached = placed.select("file", "block", "seq", "at", "goal").join(entries, ["file", "block"]) \
         .groupBy("file", "block").applyInPandas(_reached, "file long, block long, seq long, at long, goal long")
-    records = cut(placed.drop("goal", "shift", "start", "end", "bytes", "size", "span").join(reached.select("file", "block", "seq", "goal"), ["file", "block", "seq"]), "records")
+    records = cut(placed.drop("key", "goal", "shift", "start", "end", "bytes", "size", "span").join(reached.select("file", "block", "seq", "goal"), ["file", "block", "seq"]), "records")
     done = records.where("whole").select(*RECORD)
     torn = records.where("not whole")
     if torn.isEmpty():
@@ -238,20 +242,34 @@ def _entries(exits: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _joined(spark: SparkSession, path: str, placed: DataFrame, torn: DataFrame) -> DataFrame:
-    """Records whose payload holds version lines: their pieces, found by offset, put together."""
+    """Records whose payload holds version lines: their pieces, found by offset, put together.
+
+    A record that leads past the end of its file is none. Of the others a second reading must find all pieces.
+    """
+    files = placed.groupBy("file").agg(F.max(F.col("at") + F.col("size")).alias("file_end"))
+    torn = torn.join(files, "file").where("goal <= file_end").drop("file_end")
     # a record's pieces are those from its own to its successor; candidates on the way point back to the record
     ends = torn.select("file", F.col("at").alias("owner"), F.col("goal").alias("until"))
-    marks = placed.select("file", "block", "seq", "at").join(ends, (placed["file"] == ends["file"]) & (placed["at"] == ends["owner"]), "left") \
-        .select(placed["file"], "block", "seq", "at", "owner", "until")
+    marks = placed.select("file", "block", "key", "at").join(ends, (placed["file"] == ends["file"]) & (placed["at"] == ends["owner"]), "left") \
+        .select(placed["file"], "block", "key", "at", "owner", "until")
     own = Window.partitionBy("file", "block").orderBy("at")
     last = F.last(F.when(F.col("owner").isNotNull(), F.struct("owner", "until")), ignorenulls=True)
     inside = marks.withColumn("o", last.over(own))
     # an owner of an earlier split: the last one before this split
     carried = inside.groupBy("file", "block").agg(F.max_by("o", "at").alias("tail"))
     carried = carried.withColumn("head", F.last("tail", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("tail")
-    owned = inside.join(carried, ["file", "block"]).withColumn("o", F.coalesce("o", "head")) \
-        .where("o is not null and at < o.until").select("file", "block", "seq", "at", F.col("o.owner").alias("owner"))
-    text = pieces(spark, path).join(owned, ["file", "block", "seq"])
+    owned = cut(inside.join(carried, ["file", "block"]).withColumn("o", F.coalesce("o", "head"))
+                .where("o is not null and at < o.until").select("file", "key", "at", F.col("o.owner").alias("owner")), "owned")
+    # equal keys have equal values, wherever they are read; a bitmap of fixed size keeps the other pieces out of the shuffle
+    slot = F.conv(F.substring(F.hex("key"), 1, BITMAP_BITS // 4), 16, 10).cast("long")
+    bits = spark.sparkContext.broadcast(bitmap_of(owned.select(slot.alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_owned(slots: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, slots.to_numpy()))
+
+    values = pieces(spark, path).select("key", "value").where(may_be_owned(slot)).dropDuplicates(["key"])
+    text = owned.join(values, "key", "left")
     whole = text.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts")) \
         .join(torn.select("file", F.col("at").alias("owner"), "goal", "kind", "page", "refers", "uri", "told", "told_bytes"), ["file", "owner"])
 
@@ -259,13 +277,13 @@ def _joined(spark: SparkSession, path: str, placed: DataFrame, torn: DataFrame)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                data = VERSION.encode().join(p["value"] for p in r["parts"])
-                head = parse(data)
+                values = [p["value"] for p in r["parts"]]
                 size = r["goal"] - r["owner"] - len(VERSION)
-                if head and len(data) >= size:
-                    payload = payload_of(data[head[1]:size - len(GAP)])
-                    out.append({k: r[k] for k in ("file", "kind", "page", "refers", "uri", "told", "told_bytes")}
-                               | {"at": r["owner"], "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
+                if None in values or len(data := VERSION.encode().join(values)) < size or not (head := parse(data)):
+                    raise RuntimeError(f"the archives changed while they were read: pieces of record {r['page']} at {r['owner']} are missing")
+                payload = payload_of(data[head[1]:size - len(GAP)])
+                out.append({k: r[k] for k in ("file", "kind", "page", "refers", "uri", "told", "told_bytes")}
+                           | {"at": r["owner"], "digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([_CANDIDATE.field(c) if c != "at" else pa.field("at", pa.int64()) for c in RECORD]))
 
     return whole.mapInArrow(digest, ", ".join(f"{c} {'long' if c in ('file', 'at', 'told_bytes', 'payload_bytes') else 'string'}" for c in RECORD))
