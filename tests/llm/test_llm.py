@@ -458,6 +458,21 @@ def test_near_groups_equal_all_pairs(spark, none, monkeypatch):
     assert N.near_dedup(none).count() == 0 and N.deduplicated(none).count() == 0
 
 
+def test_the_stage_takes_shingles_of_five_words(spark):
+    import corpus_pipeline
+
+    w = [f"u{i}" for i in range(120)]
+    changed = [f"n{i}" if i in (30, 60, 90) else x for i, x in enumerate(w)]
+    near = [f"n{i}" if i == 60 else x for i, x in enumerate(w)]
+    a, b, c = (" ".join(x) for x in (w, changed, near))
+    like = lambda x, y, n: len(sets(x, n) & sets(y, n)) / len(sets(x, n) | sets(y, n))
+    assert like(a, b, 4) >= 0.8 > like(a, b, 5) and like(a, c, 5) >= 0.8
+    far, copies = table(spark, [(1, a), (2, b)]), table(spark, [(1, a), (3, c)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.minhash_near_dedup(spark, far, "").collect()) == [1, 2]
+    assert [r["doc_id"] for r in corpus_pipeline.minhash_near_dedup(spark, copies, "").collect()] == [1]
+    assert [r["doc_id"] for r in N.near_dedup(far).where("kept").collect()] == [1]
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(a, a + 1) for a in range(40)] + [(100, b) for b in range(101, 160)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]

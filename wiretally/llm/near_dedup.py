@@ -27,7 +27,7 @@ from wiretally.llm import setsketch
 from wiretally.llm.components import components
 from wiretally.llm.shared import TokenHash, cut, mix, rolling, slices
 
-WIDTH = 4                # words of a shingle
+WIDTH = 4                # words of a shingle, unless a caller says otherwise
 LIKE = 80                # per cent of the union that linked documents share
 HOPELESS = 0.55          # likelihood estimate below which a pair is not confirmed; five deviations below LIKE
 PARITY_BITS = 1024       # bits of a set's parity bitmap
@@ -40,12 +40,12 @@ def token_hash(token: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
 
 
-def shingles(text: str | None, known: TokenHash) -> np.ndarray:
+def shingles(text: str | None, known: TokenHash, width: int = WIDTH) -> np.ndarray:
     """Distinct hashes of a text's shingles, ascending."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(mix(rolling(known.array(words), min(WIDTH, len(words))) + np.uint64(min(WIDTH, len(words)))))
+    return np.unique(mix(rolling(known.array(words), min(width, len(words))) + np.uint64(min(width, len(words)))))
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -71,7 +71,7 @@ def apart(distance: np.ndarray, both: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, text_key binary, n long, key binary, registers binary, parity binary, bands array<long>"
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: hash of the text, set size, key of the set (null without words), registers, band keys."""
 
     def run(batches):
@@ -79,7 +79,7 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                sets = [shingles(x, known) for x in texts]
+                sets = [shingles(x, known, width) for x in texts]
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 every = np.concatenate([sets[i] for i in full]) if len(full) else np.empty(0, np.uint64)
@@ -179,7 +179,7 @@ def met(rows: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
     return tiles.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Pairs (a, b) whose full sets share LIKE per cent of their union.
 
     A head's members are dealt into parts of about FAN with a copy of its text each; a task
@@ -196,7 +196,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for a, part, b, x in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "text"))):
-                s = shingles(x, known)
+                s = shingles(x, known, width)
                 if b is None:
                     if set_key(s) == a:      # another text under the same id is not the class's
                         at, head = (a, part), s
@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links_of(rows: DataFrame, docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Classes (key, id: smallest doc_id, n, registers, parity, bands) and links (a, b) that connect every component."""
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "registers", "parity", "bands"))), "classes")
@@ -242,21 +242,21 @@ def links_of(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # `heads_each` a bucket; a hash of the key draws the same ones in all buckets of a group
         is_head = ~F.col("is_main") if last else F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) / (1 << 30) < heads_each / F.col("all")
         pairs = met(open_.withColumn("is_head", is_head), slim, last)
-        found = confirmed(pairs, texts)
+        found = confirmed(pairs, texts, width)
         links = cut(links.unionByName(found) if links is not None else found, "links")
         if last:
             return classes, links
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id.
 
-    Shingles: WIDTH words, ASCII-lower-cased, between ASCII white space; fewer words are one
+    Shingles: `width` words, ASCII-lower-cased, between ASCII white space; fewer words are one
     shingle. A null or empty text, or one without words, is in no group but its own, as is a
     row with a null id (component null). Rows with equal sets are linked, repeated rows too.
     """
-    rows = cut(sketched(docs), "sketches")
-    classes, links = links_of(rows, docs)
+    rows = cut(sketched(docs, width), "sketches")
+    classes, links = links_of(rows, docs, width)
     roots = components(links)
     lone = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = lone.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -270,12 +270,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One document of each group, that with the smallest id; repeated rows of it appear once.
 
     Rows without words and rows without an id all stay.
     """
-    groups = cut(grouped(docs), "groups")
+    groups = cut(grouped(docs, width), "groups")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     chosen = groups.where(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     own = docs.withColumn("__key", F.unhex(F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
