@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wiretally.llm.decontaminate import op6_decontamination
 from wiretally.llm.fingerprints import op3_fingerprints
+from wiretally.llm.hard_negatives import op13_hard_negatives
 from wiretally.llm.hmm import op2_lm_scoring
 from wiretally.llm.near_dedup import op9_near_dedup
 from wiretally.llm.packing import op10_packing
@@ -44,11 +45,33 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w
 FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+HARD_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_fingerprints, op4_warc, op5_secret_scans,
-                                    op6_decontamination, op7_url_filters, op8_quality, op9_near_dedup, op10_packing)}
+                                    op6_decontamination, op7_url_filters, op8_quality, op9_near_dedup, op10_packing,
+                                    op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op9_near_dedup": NEAR_SQL}
+    return {"op4_warc": WARC_SQL, "op9_near_dedup": NEAR_SQL, "op13_hard_negatives": HARD_SQL}
