@@ -11,6 +11,7 @@ from wiretally.llm.decontaminate import op6_decontamination
 from wiretally.llm.fingerprints import op3_fingerprints
 from wiretally.llm.hard_negatives import op13_hard_negatives
 from wiretally.llm.hmm import op2_lm_scoring
+from wiretally.llm.jaccard_join import op12_jaccard_join
 from wiretally.llm.near_dedup import op9_near_dedup
 from wiretally.llm.packing import op10_packing
 from wiretally.llm.quality import op8_quality
@@ -29,23 +30,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p LEFT JOIN d USING (payload_digest)
 """
 
-NEAR_SQL = r"""
+_LINKED_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END) AS shingle
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' '))) END) AS shingle
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
 least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id{more}
 FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+NEAR_SQL = _LINKED_SQL.replace("{width}", "4").replace("{more}", ", w.doc_id = component_id AS kept")
+JOIN_SQL = _LINKED_SQL.replace("{width}", "5").replace("{more}", "")
+
 REPAIR_SQL = r"""
 WITH RECURSIVE s AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -146,8 +150,8 @@ QUALIFY row_number() OVER w <= 10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_fingerprints, op4_warc, op5_secret_scans,
                                     op6_decontamination, op7_url_filters, op8_quality, op9_near_dedup, op10_packing,
-                                    op11_conversation_repair, op13_hard_negatives)}
+                                    op11_conversation_repair, op12_jaccard_join, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op9_near_dedup": NEAR_SQL, "op11_conversation_repair": REPAIR_SQL, "op13_hard_negatives": HARD_SQL}
+    return {"op4_warc": WARC_SQL, "op9_near_dedup": NEAR_SQL, "op11_conversation_repair": REPAIR_SQL, "op12_jaccard_join": JOIN_SQL, "op13_hard_negatives": HARD_SQL}
