@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from wiretally.llm import conversation_repair, hard_negatives
+from wiretally.llm import conversation_repair, hard_negatives, jaccard_join
 from pyspark.sql import functions as F
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -146,3 +146,71 @@ def test_products_beyond_floats_wrap():
     keys = hard_negatives.packed(np.array([-5, 7]), np.array([-2**63, 2**63 - 1]), 1, np.array([3, -4]))
     import pyarrow as pa
     assert [x.tolist() for x in hard_negatives.unpacked(pa.array([k.tobytes() for k in keys], pa.binary()))] == [[-5, 7], [-2**63, 2**63 - 1], [1, 1], [3, -4]]
+
+
+def plain_components(rows, width):
+    import itertools
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & b) >= 80 * len(a | b):
+            root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[find(i)].append(d)
+    return sorted(((d, len(sets[i]), d if d is None or not sets[i] else min(least[find(i)])) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("heads,tile,width", [(64, 512, 5), (2, 3, 5), (3, 512, 4)])
+def test_join_equals_all_pairs(spark, monkeypatch, heads, tile, width):
+    monkeypatch.setattr(jaccard_join, "HEADS", heads)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rnd = random.Random(heads)
+    some = lambda n: [f"w{rnd.randrange(2000)}" for _ in range(n)]
+    common, bases, texts = some(60), [some(n) for n in (12, 40, 80, 300)], []
+    for base in bases:
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, max(2, len(base) // 18))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(["x", f"y{rnd.randrange(9)}"])
+            texts.append(" ".join(copy if rnd.random() < .9 else copy + some(len(copy) // 10)))
+    texts += [" ".join(common + some(rnd.randrange(3, 60))) for _ in range(40)]       # a passage in many texts
+    texts += [" ".join(some(rnd.randrange(1, 9))) for _ in range(20)] + ["one two", "One\tTWO ", "", None, " \n", "ABC " * 50, "abc " * 51, texts[0], texts[0].upper()]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[70]), (None, texts[5]), (None, None)]
+    table = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, key string, n int").repartition(5)
+    got = jaccard_join.joined(table, width).collect()
+    want = plain_components(rows, width)
+    assert len({w[2] for w in want}) < len(rows) - 60
+    # two rows may share an id: both are then found under its component
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_join_of_nothing(spark):
+    assert jaccard_join.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefixes_hold_the_shared_elements_they_promise():
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    often = rnd.integers(0, 40, 400).astype(float)
+    linked = 0
+    for _ in range(300):
+        n = int(rnd.integers(1, 120))
+        x = np.sort(rnd.choice(400, n, replace=False).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rnd.random(n) > .1], rnd.choice(400, int(rnd.integers(0, n // 8 + 1)), replace=False).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if not len(y) or 100 * common < 80 * (len(x) + len(y) - common):
+            continue
+        linked += 1
+        (l, p), (k, q) = jaccard_join.prefix(x, often[x.astype(int)]), jaccard_join.prefix(y, often[y.astype(int)])
+        assert len(np.intersect1d(p, q)) >= min(l, k)
+    assert linked > 100

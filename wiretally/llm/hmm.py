@@ -5,18 +5,21 @@ has the symbol of its ending (a hash of its last bytes); the end of a text is a
 The HMM generates symbols, and a word of a shared symbol is then drawn from the smoothed
 counts of the words that share it, so a text's probability is exact and sums to one.
 
-Training is Baum-Welch: every iteration is one pass over all training texts, each task
-adds up expected counts, and the sums are merged in two steps. Windows of the texts are
-run side by side, so one NumPy step advances hundreds of them. Scoring runs the scaled
-forward recursion over whole texts.
-
-Counts of the words outside the symbol table are never broadcast: they are joined.
+Training is Baum-Welch over whole texts: every iteration is one pass over all training
+texts, each task adds up expected counts, and the sums are merged in two steps. Texts of
+similar length are run side by side, so one NumPy step advances hundreds of them. A long
+text is cut into windows that are run side by side as well: the product of a window's
+matrices says what it does to any state vector, a scan over these products gives every
+window its vector before and behind, and nothing is lost at a border. Iterations end when
+the likelihood gains little. Scoring runs the scaled forward recursion in the same way.
+
+Counts of the KNOWN most frequent words are broadcast, those of all others joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,22 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.shared import cut, fold, slices
+from wiretally.llm.shared import cut, fold, slices, words_of
 
 STATES = 12
 OWN_WORDS = 8192       # words with a symbol of their own
 ENDINGS = 512          # symbols shared by all other words
-ITERATIONS = 4         # passes over all training texts
-WINDOW = 64            # training runs over windows of so many tokens
-TASKS = 512            # tasks of a training pass at most: each sends one table of counts
+KNOWN = 65536          # words whose counts every task knows
+ITERATIONS = 6         # passes over all training texts at most
+GAIN = 0.003           # gain of log10 likelihood a token below which training ends
+LONG = 2048            # tokens of a text that is run window by window
+WINDOW = 256           # tokens of a window
+CELLS = 1 << 17        # tokens, padding included, that are run side by side
 SEED = 11
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """ASCII-lower-cased words between ASCII white space."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
 @dataclass
 class Symbols:
     """own: word -> symbol, most frequent first; then the endings, then the end of text."""
@@ -61,12 +62,9 @@ class Symbols:
         return len(self.own) + crc32(word[-3:]) % self.endings
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        own, out = self.own, np.empty(len(words) + 1, np.int32)
-        out[-1] = self.end
-        out[:-1] = [own[w] if w in own else -1 for w in words]
-        for i in np.flatnonzero(out < 0):
-            out[i] = self.shared(words[i])
-        return out
+        """The symbol of each word."""
+        own = self.own
+        return np.array([own[w] if w in own else self.shared(w) for w in words], np.int32)
 
 
 @dataclass
@@ -86,13 +84,68 @@ def lanes(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, length[order], order
 
 
-def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
-    """Log10 probability of each sequence by the scaled forward recursion."""
+def blocks(codes: list[np.ndarray]) -> tuple[Iterator[list[int]], list[int]]:
+    """Texts that are run side by side, those of similar length together, and the long ones."""
+    size = np.array([len(c) for c in codes])
+    order = np.argsort(size, kind="stable")
+    short = order[size[order] <= LONG]
+
+    def every():
+        end = len(short)
+        while end:
+            start = max(0, end - max(1, CELLS // int(size[short[end - 1]])))
+            yield short[start:end].tolist()
+            end = start
+
+    return every(), order[size[order] > LONG].tolist()
+
+
+def windows(codes: np.ndarray) -> list[np.ndarray]:
+    return [codes[i:i + WINDOW] for i in range(0, len(codes), WINDOW)]
+
+
+def products(model: Model, parts: list[np.ndarray]) -> np.ndarray:
+    """[windows, K, K]: what a window does to the state distribution before its first token, up to a factor."""
+    by_symbol, k, out = np.ascontiguousarray(model.emit.T), len(model.start), []
+    for first in range(0, len(parts), 1024):
+        table, length, order = lanes(parts[first:first + 1024])
+        p = np.eye(k) * by_symbol[table[0]][:, None, :]
+        for t in range(1, len(table)):
+            m = np.searchsorted(-length, -t, side="left")
+            p[:m] = (p[:m].reshape(-1, k) @ model.move).reshape(m, k, k) * by_symbol[table[t, :m]][:, None, :]
+            if t % 8 == 0:
+                p[:m] /= p[:m].max((1, 2), keepdims=True)
+        back = np.empty_like(p)
+        back[order] = p / p.max((1, 2), keepdims=True)
+        out.append(back)
+    return np.concatenate(out)
+
+
+def before(model: Model, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of one text: the states' distribution behind the token before it, and before its first token."""
+    came, due = np.zeros((len(product), len(model.start))), np.empty((len(product), len(model.start)))
+    due[0] = model.start
+    for w in range(1, len(product)):
+        a = due[w - 1] @ product[w - 1]
+        came[w] = a / a.sum()
+        due[w] = came[w] @ model.move
+    return came, due
+
+
+def behind(model: Model, product: np.ndarray) -> np.ndarray:
+    """Of each window of one text: how likely what follows it is from each state, up to a factor."""
+    out = np.ones((len(product), len(model.start)))
+    for w in range(len(product) - 1, 0, -1):
+        b = model.move @ (product[w] @ out[w])
+        out[w - 1] = b / b.sum()
+    return out
+
+
+def _forward(model: Model, codes: list[np.ndarray], due: np.ndarray) -> np.ndarray:
+    """Log10 probability of each sequence by the scaled forward recursion, from the distributions before them."""
     table, length, order = lanes(codes)
     by_symbol = np.ascontiguousarray(model.emit.T)
-    total = np.zeros(len(codes))
-    state = np.broadcast_to(model.start, (len(codes), len(model.start)))
-    live = len(codes)
+    total, state, live = np.zeros(len(codes)), due[order], len(codes)
     for t in range(len(table)):
         live = np.searchsorted(-length[:live], -t, side="left")
         state = state[:live] * by_symbol[table[t, :live]] if t == 0 else (state[:live] @ model.move) * by_symbol[table[t, :live]]
@@ -104,50 +157,85 @@ def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, codes: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of sequences; only those marked in `first` begin a text.
+def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of each sequence."""
+    out = np.empty(len(codes))
+    short, long = blocks(codes)
+    for at in short:
+        out[at] = _forward(model, [codes[i] for i in at], np.tile(model.start, (len(at), 1)))
+    for i in long:
+        parts = windows(codes[i])
+        _, due = before(model, products(model, parts))
+        out[i] = sum(_forward(model, parts[j:j + 1024], due[j:j + 1024]).sum() for j in range(0, len(parts), 1024))
+    return out
 
-    Others begin in the state distribution that the model has in the long run.
-    """
-    k, symbols = model.emit.shape
-    table, length, order = lanes(codes)
-    n, steps = len(codes), len(table)
-    by_symbol = np.ascontiguousarray(model.emit.T, np.float32)
-    move = model.move.astype(np.float32)
-    live = np.searchsorted(-length, -np.arange(steps), side="left")     # lanes that are longer than t
-    begins = first[order]
-    seen = by_symbol[table]                                     # [T, n, K]
-    alpha, gamma = np.empty((steps, n, k), np.float32), np.zeros((steps, n, k), np.float32)
-    a = np.where(begins[:, None], model.start, stationary(model.move)).astype(np.float32) * seen[0]
-    for t in range(steps):
-        m = live[t]
-        if t:
-            a = alpha[t - 1, :m] @ move
-            a *= seen[t, :m]
-        scale = a.sum(1, keepdims=True)
-        np.divide(a, scale, out=alpha[t, :m])
-        seen[t, :m] /= scale
-    moves, beta = np.zeros((k, k)), np.ones((n, k), np.float32)
-    for t in range(steps - 1, -1, -1):
-        m = live[t]
-        np.multiply(alpha[t, :m], beta[:m], out=gamma[t, :m])
-        if t:
+
+class Counts:
+    """Expected starts, moves (without the factor of the move itself) and emissions, and the log10 likelihood."""
+
+    def __init__(self, model: Model):
+        self.model, (k, symbols) = model, model.emit.shape
+        self.start, self.moves, self.emit, self.log_p = np.zeros(k), np.zeros((k, k)), np.zeros((k, symbols)), 0.0
+        self.by_symbol, self.move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
+
+    def add(self, codes: list[np.ndarray]) -> None:
+        """Forward and backward over whole sequences."""
+        k = len(self.start)
+        short, long = blocks(codes)
+        for at in short:
+            n = len(at)
+            self._add([codes[i] for i in at], np.zeros((n, k)), np.tile(self.model.start, (n, 1)), np.ones((n, k)), np.ones(n, bool))
+        for i in long:
+            parts = windows(codes[i])
+            product = products(self.model, parts)
+            (came, due), then = before(self.model, product), behind(self.model, product)
+            begins = np.arange(len(parts)) == 0
+            for j in range(0, len(parts), CELLS // WINDOW):
+                own = slice(j, j + CELLS // WINDOW)
+                self._add(parts[own], came[own], due[own], then[own], begins[own])
+
+    def _add(self, codes, came, due, then, begins) -> None:
+        """Sequences given the distributions behind the token before them (zero at a text's start) and before their
+        first token, and the likelihood of what follows from each state."""
+        table, length, order = lanes(codes)
+        n, steps, k = len(codes), len(table), len(self.start)
+        came, begins = came[order].astype(np.float32), begins[order]
+        live = np.searchsorted(-length, -np.arange(steps), side="left")     # lanes that are longer than t
+        seen = self.by_symbol[table]                                # [T, n, K]
+        alpha, gamma = np.empty((steps, n, k), np.float32), np.zeros((steps, n, k), np.float32)
+        a = due[order].astype(np.float32) * seen[0]
+        for t in range(steps):
+            m = live[t]
+            if t:
+                a = alpha[t - 1, :m] @ self.move
+                a *= seen[t, :m]
+            scale = a.sum(1, keepdims=True)
+            self.log_p += float(np.log10(scale).sum(dtype=np.float64))
+            np.divide(a, scale, out=alpha[t, :m])
+            seen[t, :m] /= scale
+        beta = then[order].astype(np.float32)
+        beta /= (alpha[length - 1, np.arange(n)] * beta).sum(1, keepdims=True)
+        for t in range(steps - 1, -1, -1):
+            m = live[t]
+            np.multiply(alpha[t, :m], beta[:m], out=gamma[t, :m])
             back = seen[t, :m] * beta[:m]
-            moves += alpha[t - 1, :m].T @ back
-            beta[:m] = back @ move.T
-    flat = table.ravel()
-    by = np.argsort(flat, kind="stable")
-    edges = np.flatnonzero(np.diff(flat[by], prepend=-1))
-    emit = np.zeros((k, symbols))
-    emit[:, flat[by][edges]] = np.add.reduceat(gamma.reshape(-1, k)[by], edges, axis=0).T
-    return (gamma[0] * begins[:, None]).sum(0), moves * model.move, emit
+            if t:
+                self.moves += alpha[t - 1, :m].T @ back
+                beta[:m] = back @ self.move.T
+            else:
+                self.moves += came.T @ back
+        flat = table.ravel()
+        by = np.argsort(flat, kind="stable")
+        edges = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        self.emit[:, flat[by][edges]] += np.add.reduceat(gamma.reshape(-1, k)[by], edges, axis=0).T
+        self.start += gamma[0][begins].sum(0)
 
 
-def stationary(move: np.ndarray) -> np.ndarray:
-    p = np.full(len(move), 1 / len(move))
-    for _ in range(60):
-        p = p @ move
-    return p
+def expected(model: Model, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of whole sequences."""
+    counts = Counts(model)
+    counts.add(codes)
+    return counts.start, counts.moves * model.move, counts.emit
 
 
 def first_model(weight: np.ndarray, states: int = STATES) -> Model:
@@ -166,37 +254,22 @@ def updated(start, moves, emit, weight) -> Model:
                  (emit + 20 * weight) / (emit.sum(1, keepdims=True) + 20))
 
 
-def windows(codes: np.ndarray) -> list[np.ndarray]:
-    return [codes[i:i + WINDOW] for i in range(0, len(codes), WINDOW)]
-
-
 def _counts_in(batches, model: Model, parts: int):
-    """One row per state from each task: its expected counts as one vector."""
-    k, symbols = model.emit.shape
-    start, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, symbols))
-    part = 0
-    held, first = [], []
-
-    def run():
-        nonlocal start, moves, emit
-        s, m, e = expected(model, held, np.array(first))
-        start, moves, emit = start + s, moves + m, emit + e
-        held.clear(), first.clear()
-
+    """One row per state from each task: its expected counts as one vector, the likelihood and the tokens."""
+    k, counts, part, tokens = len(model.start), Counts(model), 0, 0
+    held, size = [], 0
     for batch in batches:
         for raw, p in zip(batch.column("codes").to_pylist(), batch.column("row").to_pylist()):
             part = p % parts
-            w = windows(np.frombuffer(raw, np.int32))
-            held.extend(w)
-            first.extend([True] + [False] * (len(w) - 1))
-            while len(held) >= 1024:
-                rest, rest_first = held[512:], first[512:]
-                del held[512:], first[512:]
-                run()
-                held.extend(rest), first.extend(rest_first)
+            held.append(np.frombuffer(raw, np.int32))
+            size, tokens = size + len(held[-1]), tokens + len(held[-1])
+            if size >= 4 * CELLS:
+                counts.add(held)
+                held, size = [], 0
     if held:
-        run()
-    vectors = [np.concatenate([[start[i]], moves[i], emit[i]]) for i in range(k)]
+        counts.add(held)
+    moves = counts.moves * model.move
+    vectors = [np.concatenate([[counts.log_p * (i == 0), tokens * (i == 0), counts.start[i]], moves[i], counts.emit[i]]) for i in range(k)]
     yield pa.RecordBatch.from_arrays(
         [pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary())],
         names=["state", "part", "counts"])
@@ -212,40 +285,39 @@ COUNTS = "state int, part int, counts binary"
 
 def train(encoded: DataFrame, weight: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch over all rows of `encoded` (row, codes). The driver sees one vector per state."""
-    model = first_model(weight, states)
-    parts = 24
+    model, reached = first_model(weight, states), None
     narrow = encoded.select("row", "codes")
-    if narrow.rdd.getNumPartitions() > TASKS:
-        narrow = narrow.coalesce(TASKS)
+    parts = max(24, math.isqrt(narrow.rdd.getNumPartitions()))      # sums of a first step, each of as many tasks
     for _ in range(iterations):
-        held = model
-        rows = (narrow.mapInArrow(lambda batches, m=held: _counts_in(batches, m, parts), COUNTS)
+        rows = (narrow.mapInArrow(lambda batches, m=model: _counts_in(batches, m, parts), COUNTS)
                 .groupBy("state", "part").applyInPandas(_sum, COUNTS)
                 .withColumn("part", F.lit(0)).groupBy("state", "part").applyInPandas(_sum, COUNTS).collect())
         if not rows:
             return model
         table = np.stack([np.frombuffer(r["counts"], np.float64) for r in sorted(rows, key=lambda r: r["state"])])
-        if not table[:, 0].sum():
+        (log_p, tokens), table = table[0, :2], table[:, 2:]
+        if not tokens:
             return model
         model = updated(table[:, 0], table[:, 1:1 + states], table[:, 1 + states:], weight)
+        if reached is not None and log_p / tokens - reached < GAIN:
+            return model
+        reached = log_p / tokens
     return model
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c): all words of `text`; each task counts before the shuffle."""
+    """(word, c): all words of `text`, and the number of texts beside a null; each task counts before the shuffle."""
 
     def count(batches):
         for batch in batches:
             for part in slices(batch):
-                found = Counter()
-                for x in part.column("text").to_pylist():
-                    found.update(tokens_of(x))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+                words, at, n = words_of(part.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.binary()), pa.array(np.append(np.bincount(at, minlength=len(words)), len(n)), pa.int64())], names=["word", "c"])
 
     return texts.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, extra double, codes binary, rare array<struct<word: binary, n: long>>"
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, extra double, codes binary, words array<binary>, times array<int>"
 SCORES = "row long, log_p double"
 
 
@@ -277,10 +349,12 @@ def score(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORDS, ite
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .withColumn("held_out", fold("doc_id") == 1)
     training = texts.where(~F.col("held_out"))
-    vocabulary = cut(word_counts(training), "vocabulary")
-    n_ends = training.count()
-    frequent = most_frequent(vocabulary, own_words).collect()
-    counts = {bytes(r["word"]): r["c"] for r in frequent}
+    counted = cut(word_counts(training), "vocabulary")
+    vocabulary = counted.where(F.col("word").isNotNull())
+    n_ends = counted.where(F.col("word").isNull()).agg(F.sum("c")).first()[0] or 0
+    frequent = most_frequent(vocabulary, max(own_words, KNOWN)).collect()
+    known = {bytes(r["word"]): r["c"] for r in frequent}
+    counts = dict(list(known.items())[:own_words])
     symbols = Symbols({w: i for i, w in enumerate(counts)})
 
     def shared_symbol(batches):
@@ -303,48 +377,56 @@ def score(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORDS, ite
     weight[-1] += n_ends
     weight /= weight.sum()
     within = np.array([share.get(s, (0, 0))[0] + 0.5 * (share.get(s, (0, 0))[1] + 1) for s in range(len(counts), symbols.end)])
-    own_base = np.array([math.log10((c + 0.5) / below) for c in [*counts.values()]])
     end_base = math.log10((n_ends + 0.5) / below)
     first_shared = len(counts)
+    told = spark.sparkContext.broadcast(known)                 # KNOWN words at most
 
     def encode(batches):
+        known = told.value
         for batch in batches:
             for part in slices(batch):
-                cols = {k: [] for k in ("n_tokens", "known", "base", "extra", "codes", "rare")}
-                for x in part.column("text").to_pylist():
-                    words = tokens_of(x)
-                    codes = symbols.encode(words)
-                    own = codes < first_shared
-                    rare = Counter(words[i] for i in np.flatnonzero(~own[:-1]))
-                    cols["n_tokens"].append(len(codes))
-                    cols["known"].append(int(own.sum()) + (n_ends > 0))
-                    cols["base"].append(float(own_base[codes[own]].sum()) + end_base)
-                    cols["extra"].append(-float(np.log10(within[codes[:-1][~own[:-1]] - first_shared]).sum()))
-                    cols["codes"].append(codes.tobytes())
-                    cols["rare"].append([{"word": w, "n": n} for w, n in rare.items()])
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "doc_id", "held_out")] + [pa.array(v, t) for v, t in zip(cols.values(), kinds)],
-                                                 names=["row", "doc_id", "held_out", *cols])
+                words, at, n = words_of(part.column("text"))
+                symbol = symbols.encode(words)
+                c = np.array([known.get(w, -1) for w in words], np.float64)
+                met, shared = c >= 0, symbol >= first_shared
+                base = np.where(met, np.log10((np.abs(c) + 0.5) / below), 0.0)
+                extra = np.zeros(len(words))
+                extra[shared] = -np.log10(within[symbol[shared] - first_shared])
+                extra += np.where(met & shared, np.log10(np.abs(c) + 0.5), 0.0)
+                of = np.repeat(np.arange(len(n)), n)
+                total = lambda x: np.bincount(of, x[at], len(n))
+                codes = np.full(len(at) + len(n), symbols.end, np.int32)
+                codes[np.arange(len(at)) + of] = symbol[at]
+                edges = np.concatenate([[0], np.cumsum(n + 1)])
+                # words whose counts are joined: each text's, with how often they occur in it
+                rest = np.flatnonzero(~met[at])
+                pair, times = np.unique(of[rest] * np.int64(max(1, len(words))) + at[rest], return_counts=True)
+                bounds = np.searchsorted(pair, np.arange(len(n) + 1) * np.int64(max(1, len(words)))).astype(np.int32)
+                table = pa.array(words, pa.binary()).take(pa.array(pair % max(1, len(words))))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n + 1, pa.int64()), pa.array(total(met.astype(float)) + (n_ends > 0)).cast(pa.int64()),
+                     pa.array(total(base) + end_base), pa.array(total(extra)), pa.array([codes[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(bounds), table), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times, pa.int32()))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "extra", "codes", "words", "times"])
 
     encoded = cut(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(encode, ENCODED), "encoded")
     model = train(encoded.where(~F.col("held_out")), weight, states, iterations)
 
     def run(batches):
         for batch in batches:
-            rows, raw = batch.column("row").to_pylist(), batch.column("codes").to_pylist()
-            for i in range(0, len(raw), 1024):
-                out = forward(model, [np.frombuffer(x, np.int32) for x in raw[i:i + 1024]])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i:i + 1024], pa.int64()), pa.array(out)], names=["row", "log_p"])
+            out = forward(model, [np.frombuffer(x, np.int32) for x in batch.column("codes").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "log_p"])
 
     log_p = encoded.select("row", "codes").mapInArrow(run, SCORES)
-    # words without a symbol of their own: their counts are joined; none of them is frequent, so no key is hot
-    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(vocabulary, "word", "left") \
+    # words beyond the KNOWN ones: their counts are joined; none of them is frequent, so no key is hot
+    rare = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("n")) \
+        .join(vocabulary, "word", "left") \
         .withColumn("c", F.coalesce("c", F.lit(0))) \
         .groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(below)))).alias("rare_base"),
                             F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_own"),
                             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return encoded.drop("codes", "rare").join(log_p, "row").join(rare, "row", "left").select(
+    return encoded.drop("codes", "words", "times").join(log_p, "row").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"),
         (F.col("log_p") + F.col("extra") + zero("rare_own")).alias("score"), F.lit(states).alias("n_states"))

@@ -9,7 +9,7 @@ lengths over l); a pair is verified if it shares the smaller l of its two sides.
 The order is by estimated frequency, then hash: elements repeated within a slice of text are counted, and the counts
 added up. The estimate decides costs, never results: any order is right as long as it is one for all.
 
-Rows with equal sets are one class. Lists that many classes share are not turned into all their pairs: a first round
+Rows with equal sets are one class, and lists with equal members one list that counts for as many. Lists that many classes share are not turned into all their pairs: a first round
 pairs every class with the nearest of some heads of each long list, and all classes of a short one; further rounds
 consider pairs that are not connected yet, and the last one all of those, with their full counts of shared elements.
 Pairs arise in tiles of heads and members inside tasks, where sizes and parity bitmaps (a bound from above on the
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm.components import components
-from wiretally.llm.near_dedup import apart, parities, set_key, shingles, token_hash
-from wiretally.llm.shared import TokenHash, cut, slices
+from wiretally.llm.near_dedup import apart, parities, set_key, token_hash
+from wiretally.llm.shared import TokenHash, cut, mix, rolling, slices, words_of
 
 WIDTH = 5                # words of a shingle
 LIKE = 80                # per cent of the union that linked documents share
 LONGEST = 16             # greatest l
 VERIFY = 0.3             # cost of comparing one element of a candidate, in list entries read
 SELDOM = 0.1             # list entries expected behind an element that was never seen twice in a slice
-COMMON = 1 << 20         # at most so many elements have their frequency estimated in the order, the most frequent
+COMMON = 1 << 19         # at most so many elements have their frequency estimated in the order, the most frequent
 HEADS = 64               # heads of a long list in the first round; each further round has so many times more
 TILE = 512               # heads of a tile, and members of a tile
 FAN = 256                # members that are verified against one copy of a head's text
@@ -50,6 +50,21 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("mark"), text.alias("text"))
 
 
+def sets_of(texts: pa.Array, width: int, known: TokenHash) -> list[np.ndarray]:
+    """Distinct hashes of each text's shingles, ascending; distinct words are hashed once for all texts."""
+    words, at, n = words_of(texts)
+    h = known.array(words)[at]
+    ends, out = np.cumsum(n), []
+    full = mix(rolling(h, width) + np.uint64(width)) if len(h) >= width else np.empty(0, np.uint64)
+    for end, k in zip(ends.tolist(), n.tolist()):
+        if k >= width:
+            s = np.sort(full[end - k:end - width + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        else:
+            out.append(mix(rolling(h[end - k:end], k) + np.uint64(k)) if k else np.empty(0, np.uint64))
+    return out
+
+
 def read(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, mark, size and key of its set (null without words), parity bitmap; besides, rows
     (element, seen): elements that occur in several sets of a slice."""
@@ -58,7 +73,7 @@ def read(docs: DataFrame, width: int) -> DataFrame:
         known = TokenHash(token_hash)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(x, known, width) for x in part.column("text").to_pylist()]
+                sets = sets_of(part.column("text"), width, known)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 every = np.concatenate([*(sets[i] for i in full), np.empty(0, np.uint64)])
@@ -108,13 +123,13 @@ def prefix(s: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray]:
 
 def prefixes(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, mark, l, elements) of every row with words."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)     # at most 16 MB
+    shared = docs.sparkSession.sparkContext.broadcast(common)     # at most 8 MB
 
     def run(batches):
         known, (element, often) = TokenHash(token_hash), shared.value
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(x, known, width) for x in part.column("text").to_pylist()]
+                sets = sets_of(part.column("text"), width, known)
                 every = np.concatenate([*sets, np.empty(0, np.uint64)])
                 at = np.searchsorted(element, every)
                 at[at == len(element)] = 0
@@ -163,14 +178,14 @@ def _meeting(a: _Rows, b: _Rows, every: bool) -> tuple[np.ndarray, np.ndarray]:
 def met(open_: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, weight): pairs of the lists' heads and members that may be linked, and how many matches they count for.
 
-    open_: element, c, root, is_main, is_head, whole (the list gives all its pairs). Heads and members are dealt into tiles.
+    open_: element, c, root, lists (how many the list stands for), is_main, is_head, whole (the list gives all its pairs). Heads and members are dealt into tiles.
     """
     dealt = open_.groupBy("element").agg(F.count_if("is_head").alias("h"), F.count("*").alias("m")).where("h > 0").select(
         "element", F.ceil(F.col("h") / TILE).cast("int").alias("h_parts"), F.ceil(F.col("m") / TILE).cast("int").alias("m_parts"))
     placed = open_.join(dealt, "element").join(classes.select("c", "n", "parity"), "c")
     own = lambda n: F.pmod(F.xxhash64("c", "element"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["element", "c", "root", "is_main", "whole", "n", "parity"]
+    cols = ["element", "c", "root", "lists", "is_main", "whole", "n", "parity"]
     heads = placed.where("is_head").select(*cols, F.lit(0).alias("role"), own("h_parts").alias("h"), all_("m_parts").alias("m"))
     members = placed.select(*cols, F.lit(1).alias("role"), all_("h_parts").alias("h"), own("m_parts").alias("m"))
 
@@ -192,7 +207,7 @@ def met(open_: DataFrame, classes: DataFrame) -> DataFrame:
                     whole = part.column("whole")[0].as_py()
                     a, b = a or _Rows(pa.Table.from_batches(parts)), _Rows(part)
                     i, j = _meeting(a, b, whole)
-                    for x, y in zip(out, (a.c[i], b.c[j], np.full(len(i), 1 if whole else SURE))):
+                    for x, y in zip(out, (a.c[i], b.c[j], np.full(len(i), part.column("lists")[0].as_py() if whole else SURE))):
                         x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "weight"])
 
@@ -223,8 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             out = [], []
             for part in slices(batch):
-                for a, b, x in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text"))):
-                    s = shingles(x, known, width)
+                for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), sets_of(part.column("text"), width, known)):
                     if b is None:
                         head = s
                         continue
@@ -245,9 +259,12 @@ def linked(docs: DataFrame, rows: DataFrame, seen: DataFrame, width: int) -> tup
     named = cut(least.select("key", F.col("least.doc_id").alias("id"), F.col("least.mark").alias("mark"), "n", "parity", F.monotonically_increasing_id().alias("c")), "named")
     at = named.select(F.col("id").alias("doc_id"), "mark", "c")
     own = cut(prefixes(docs, width, frequencies(seen)).join(at, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("c", "l", "elements"), "prefixes")
-    postings = own.select("c", F.explode("elements").alias("element"))
-    shared = postings.groupBy("element").agg(F.count("*").alias("k")).where("k > 1").select("element")
-    members = cut(postings.join(shared, "element"), "members")
+    # dealt by element once, for the lists' signatures and for their members
+    postings = own.select("c", F.explode("elements").alias("element")).repartition("element")
+    lists = postings.groupBy("element").agg(F.count("*").alias("k"), *(F.sum(F.xxhash64("c", F.lit(i)) % (1 << 40)).alias(f"s{i}") for i in (0, 1, 2))).where("k > 1")
+    # near copies share many elements, whose lists have the same members: one of them stands for all, with their number
+    alike = lists.groupBy("k", "s0", "s1", "s2").agg(F.min("element").alias("element"), F.count("*").alias("lists")).select("element", "lists")
+    members = cut(postings.join(alike, "element"), "members")
     wanted = members.select("c").distinct()
     classes = cut(named.join(wanted, "c").join(own.select("c", "l"), "c").select("c", "id", "mark", "n", "parity", "l"), "classes")
     texts = cut(texts_of(docs).join(classes.select(F.col("id").alias("doc_id"), "mark", "c"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("c", "text"), "texts")
@@ -262,7 +279,7 @@ def linked(docs: DataFrame, rows: DataFrame, seen: DataFrame, width: int) -> tup
             placed = members.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         sizes = placed.groupBy("element", "root").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("element").agg(F.count("*").alias("roots"), F.sum("k").alias("all"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1")
-        open_ = cut(placed.join(mixed, "element").select("element", "c", "root", "all", (F.col("root") == F.col("main")).alias("is_main")), "open")
+        open_ = cut(placed.join(mixed, "element").select("element", "c", "root", "lists", "all", (F.col("root") == F.col("main")).alias("is_main")), "open")
         left, held = open_.agg(F.sum(F.when(~F.col("is_main"), F.col("all")).otherwise(0)), F.count("*")).first()
         if not left:
             return named, links if links is not None else named.sparkSession.createDataFrame([], "a long, b long")

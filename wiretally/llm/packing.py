@@ -39,6 +39,8 @@ ROWS_PER_SALT = 1_000_000   # documents, for each salt of a length's ranks
 MOST_SALTS = 1024
 # Letters that both tokenizer libraries certainly class alike; other texts go to the slower one.
 LATIN = re.compile("[^\x00-ɏ]")
+# White space on which the faster library's pattern matcher runs out of stack.
+LONG_BLANK = re.compile(r"\s{1000}")
 
 
 # ---- ids ----
@@ -64,7 +66,7 @@ def ids_of(text: str | None, spec: str, pattern: str) -> np.ndarray:
     """A text's ids and the end id. Special tokens' strings in a text are ordinary text."""
     if not text:
         return np.array([END_ID], np.uint32)
-    if LATIN.search(text):
+    if LATIN.search(text) or LONG_BLANK.search(text):
         ids = _exact(spec).encode(text, add_special_tokens=False).ids
     else:
         ids = _fast(spec, pattern).encode_ordinary(text)

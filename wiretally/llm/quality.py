@@ -1,14 +1,20 @@
 """Quality classifier: multiple-instance learning with gated attention.
 
-A document is a bag of passages of PASSAGE words. Every passage is encoded from its bytes:
-how often one class of characters follows another, how many of its words are new, how
-long they are. A small network maps a passage to a hidden vector and, by two gates, to a
-weight; the document's score is that of the weighted mean of its passages. All of it is
-learned from document labels alone: no passage has a label.
+A document is a bag of passages of PASSAGE words (fewer where these take more than PIECE
+bytes). Every passage is encoded from its bytes: how often one class of characters follows
+another, how many of its words are new, how long they are. A small network maps a passage
+to a hidden vector and, by two gates, to a weight; the document's score is that of the
+weighted mean of its passages. All of it is learned from document labels alone: no passage
+has a label.
+
+Texts are encoded PIECE bytes at a time, longer ones cut between passages. A document's
+weighted mean is carried from piece to piece (greatest raw weight, sum of weights, weighted
+sum of hidden vectors), so memory does not grow with the length of a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.shared import fold, slices
+from wiretally.llm.shared import cut, fold, slices
 
 PASSAGE = 64            # words of a passage
-SAMPLE = 4000           # labelled documents that training reads at most
-TRAIN_PASSAGES = 64     # passages of a training document at most, evenly spaced; scoring reads all
+PIECE = 1 << 18         # bytes of text that are encoded at a time
+SAMPLE = 4000           # labelled documents that training reads at most, each with all its passages
+PASSAGES = 1 << 16      # passages of all training documents at most (39 MB)
 CUTOFF = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED = 24, 12, 24, 64, 0.01, 5
 
@@ -40,17 +47,58 @@ _by_byte = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _by_place = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[bytes], list[int], list[bool], list[int]]]:
+    """Parts of texts of about PIECE bytes in all: the bytes, the byte before each (-1 at a text's start), whether
+    the text ends there, and which text it is. A text that is too long is cut before the first word of a passage."""
+    part, held = ([], [], [], []), 0
+
+    def add(raw, before, ends, of):
+        for x, v in zip(part, (raw, before, ends, of)):
+            x.append(v)
+
+    for i, x in enumerate(texts):
+        raw = (x or "").encode("utf-8", "replace")
+        if held and held + len(raw) > PIECE:
+            yield part
+            part, held = ([], [], [], []), 0
+        at = 0
+        while len(raw) - at > PIECE:
+            window = np.frombuffer(raw, np.uint8, PIECE, at)
+            space = _space[window]
+            starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            step = int(starts[(len(starts) - 1) // PASSAGE * PASSAGE]) if len(starts) > PASSAGE else PIECE
+            add(raw[at:at + step], raw[at - 1] if at else -1, False, i)
+            yield part
+            part, at = ([], [], [], []), at + step
+        add(raw[at:], raw[at - 1] if at else -1, True, i)
+        held += len(raw) - at + 1
+    if part[0]:
+        yield part
+
+
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features [passages, FEATURES] and the text that each passage is of. A text without words has one passage."""
-    raw = [(x or "").encode("utf-8", "replace") for x in texts]
-    size = np.array([len(r) + 1 for r in raw])
-    b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    blocks = list(encoded(texts))
+    return np.concatenate([x for x, _ in blocks]), np.concatenate([bag for _, bag in blocks])
+
+
+def encoded(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`encode` a piece at a time."""
+    for raw, before, ends, of in pieces(texts):
+        x, bag = _encode(raw, np.array(before), np.array(ends))
+        yield x, np.array(of)[bag]
+
+
+def _encode(raw: list[bytes], came: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) + e for r, e in zip(raw, ends)])         # an end is a line's end
+    b = np.frombuffer(b"".join(r + b"\n" if e else r for r, e in zip(raw, ends)), np.uint8)
     space = _space[b]
     before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
+    before[1:] = space[:-1]
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])         # first bytes of the parts
+    before[first] = True
     start = ~space & before                                     # first bytes of words
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])         # first bytes of texts
-    word = np.cumsum(start)                                     # words up to a byte, over all texts
+    word = np.cumsum(start)                                     # words up to a byte, over all parts
     words_before = word[first] - start[first]
     n_words = np.diff(np.append(words_before, word[-1]))
     n_passages = np.maximum(1, -(-n_words // PASSAGE))
@@ -61,9 +109,9 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     cls = _class_of[b].astype(np.int64)
     pair = cls.copy()
     pair[1:] += N_CLASSES * cls[:-1]
-    pair[0] += N_CLASSES * 4
+    pair[first] = cls[first] + N_CLASSES * _class_of[came].astype(np.int64)
     keep = np.ones(len(b), bool)
-    keep[first] = False                                         # no pair reaches over texts
+    keep[first[came < 0]] = False                               # no pair reaches over texts
     counts = np.bincount(passage[keep] * N_CLASSES**2 + pair[keep], minlength=total * N_CLASSES**2).reshape(total, -1)
     x = np.zeros((total, FEATURES), np.float32)
     length = np.maximum(1, counts.sum(1, keepdims=True))
@@ -93,22 +141,43 @@ class Network:
     p: dict[str, np.ndarray]
     constant: float | None = None
 
-    def forward(self, x: np.ndarray, bag: np.ndarray, bags: int) -> dict[str, np.ndarray]:
+    def passages(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden vectors, both gates and raw weights of passages."""
         p = self.p
         hidden = np.tanh((x - p["mean"]) / p["spread"] @ p["w"] + p["b"])
         a, g = np.tanh(hidden @ p["v"]), 1 / (1 + np.exp(-(hidden @ p["u"])))
-        raw = (a * g) @ p["q"]
+        return hidden, a, g, (a * g) @ p["q"]
+
+    def outcome(self, mean: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(mean @ self.p["o"] + self.p["c"])))
+
+    def forward(self, x: np.ndarray, bag: np.ndarray, bags: int) -> dict[str, np.ndarray]:
+        hidden, a, g, raw = self.passages(x)
         top = np.full(bags, -np.inf)
         np.maximum.at(top, bag, raw)
         e = np.exp(raw - top[bag])
         weight = e / np.bincount(bag, e, bags)[bag]
         mean = np.zeros((bags, hidden.shape[1]))
         np.add.at(mean, bag, weight[:, None] * hidden)
-        score = 1 / (1 + np.exp(-(mean @ p["o"] + p["c"])))
-        return {"hidden": hidden, "a": a, "g": g, "weight": weight, "mean": mean, "score": score}
-
-    def score(self, x: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
-        return np.full(bags, self.constant) if self.constant is not None else self.forward(x, bag, bags)["score"]
+        return {"hidden": hidden, "a": a, "g": g, "weight": weight, "mean": mean, "score": self.outcome(mean)}
+
+    def score(self, blocks: Iterable[tuple[np.ndarray, np.ndarray]], bags: int) -> np.ndarray:
+        """Scores of bags whose passages come in blocks (features, bag): the softmax runs along."""
+        if self.constant is not None:
+            return np.full(bags, self.constant)
+        top, weights, sums = np.full(bags, -np.inf), np.zeros(bags), np.zeros((bags, HIDDEN))
+        for x, bag in blocks:
+            hidden, _, _, raw = self.passages(x)
+            here = np.unique(bag)
+            higher = top.copy()
+            np.maximum.at(higher, bag, raw)
+            shrink = np.exp(top[here] - higher[here])
+            weights[here] *= shrink
+            sums[here] *= shrink[:, None]
+            e, top = np.exp(raw - higher[bag]), higher
+            weights += np.bincount(bag, e, bags)
+            np.add.at(sums, bag, e[:, None] * hidden)
+        return self.outcome(sums / weights[:, None])
 
     def gradients(self, x, bag, bags, y, penalty: float = 1e-4) -> dict[str, np.ndarray]:
         p, f = self.p, self.forward(x, bag, bags)
@@ -153,8 +222,9 @@ def fit(bags: list[np.ndarray], labels: list[int]) -> Network:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Learn from at most `sample` labelled documents whose crc32(id) mod 5 is not 0, drawn by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES) -> Network:
+    """Learn from labelled documents whose crc32(id) mod 5 is not 0, in the order of a hash of the id: at most
+    `sample`, and no more than have `passages` passages together. Each is read whole.
 
     The labels that are drawn are broadcast, so no text is shuffled; of rows with one id any
     one is read, labels that contradict each other count as the smaller.
@@ -167,20 +237,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     def bags(batches):
         for batch in batches:
             for part in slices(batch):
-                x, bag = encode(part.column("text").to_pylist())
-                rows = []
-                for own in np.split(x, np.flatnonzero(np.diff(bag)) + 1):
-                    rows.append(own[np.unique(np.linspace(0, len(own) - 1, min(len(own), TRAIN_PASSAGES)).astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("quality"), pa.array(rows, pa.binary())], names=["id", "quality", "bag"])
-
-    rows = texts.select("id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(bags, "id long, quality int, bag binary") \
-        .groupBy("id").agg(F.min(F.struct("quality", "bag")).alias("r")).orderBy("id").collect()
-    return fit([np.frombuffer(r["r"]["bag"], np.float32).reshape(-1, FEATURES) for r in rows], [int(r["r"]["quality"] > 0) for r in rows])
+                for i, x in enumerate(part.column("text").to_pylist()):
+                    blocks, n = [], 0
+                    for features, _ in encoded([x]):
+                        n += len(features)
+                        blocks = [*blocks, features.tobytes()] if n <= passages else []
+                    row = part.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([row.column("id"), row.column("quality"), pa.array([n], pa.int64()), pa.array([b"".join(blocks) if n <= passages else None], pa.binary())], names=["id", "quality", "n", "bag"])
+
+    rows = cut(texts.select("id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(bags, "id long, quality int, n long, bag binary")
+               .groupBy("id").agg(F.min(F.struct("quality", "n", "bag")).alias("r")).select("id", "r.*"), "bags")
+    # at most `sample` rows of one number each, then the bags that fit
+    drawn, room = [], passages
+    for _, i, n in sorted((r["h"], r["id"], r["n"]) for r in rows.select(F.xxhash64("id").alias("h"), "id", "n").collect()):
+        if n <= room:
+            drawn, room = [*drawn, i], room - n
+    held = rows.where(F.col("id").isin(drawn)).orderBy("id").collect()
+    return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in held], [int(r["quality"] > 0) for r in held])
 
 
 def scores_of(texts: list[str | None], net: Network) -> np.ndarray:
-    x, bag = encode(texts)
-    return net.score(x, bag, len(texts))
+    return net.score(encoded(texts), len(texts))
 
 
 def score(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, sample: int = SAMPLE) -> DataFrame:

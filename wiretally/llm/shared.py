@@ -39,6 +39,17 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         yield batch.slice(a, b - a)
 
 
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct ASCII-lower-cased words between ASCII white space, the place of each token's word among them, and the
+    number of tokens of each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = parts.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0      # blanks at either end leave empty parts
+    of = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    words = flat.filter(pa.array(full)).dictionary_encode()
+    return [w.encode() for w in words.dictionary.to_pylist()], words.indices.to_numpy(zero_copy_only=False), np.bincount(of[full], minlength=len(parts))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers so that all bits depend on all bits."""
     x = x.astype(np.uint64, copy=True)

@@ -100,7 +100,12 @@ def parse(piece: bytes) -> tuple[dict[str, str], int] | None:
         name = name.strip().lower().decode("latin-1")
         if name in HEADER_FIELDS and name not in fields:
             fields[name] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
+    return (fields, end + 4) if is_length(fields.get("content-length")) else None
+
+
+def is_length(value: str | None) -> bool:
+    """Digits of a number of bytes; more than 18 of them are none that a file can hold."""
+    return value is not None and value.isascii() and value.isdigit() and len(value) <= 18
 
 
 def payload_of(block: bytes) -> bytes:
@@ -123,7 +128,7 @@ def _candidates(batches):
                 body = int(f["content-length"])
                 row |= {"span": len(VERSION) + head + body + len(GAP), "whole": head + body + len(GAP) == len(piece), "page": f.get("warc-record-id"),
                         "kind": f.get("warc-type"), "refers": f.get("warc-refers-to"), "told": f.get("warc-payload-digest"),
-                        "told_bytes": int(f["warc-payload-length"]) if f.get("warc-payload-length", "").isdigit() else None, "uri": f.get("warc-target-uri")}
+                        "told_bytes": int(f["warc-payload-length"]) if is_length(f.get("warc-payload-length")) else None, "uri": f.get("warc-target-uri")}
                 if row["whole"]:
                     payload = payload_of(piece[head:head + body])
                     row |= {"digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)}
