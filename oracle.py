@@ -164,20 +164,32 @@ def num_ip(n: str) -> str:
     return " || '.' || ".join(f"CAST((({n}) >> {s}) & 255 AS VARCHAR)" for s in (24, 16, 8, 0))
 
 
-def on_packets(select: str) -> str:
-    return f"WITH {packets()}\n{select}"
+def on_packets(select: str, with_more: bool = False) -> str:
+    return f"WITH {packets()}{',' * with_more}\n{select}"
+
+
+def slices(n: int) -> str:
+    """CTE `sliced`: packets with the number of their slice of the time range."""
+    width = f"((SELECT max(ts_us) - min(ts_us) FROM packets) // {n} + 1)"
+    return f"sliced AS MATERIALIZED (SELECT *, (ts_us - (SELECT min(ts_us) FROM packets)) // {width} AS slice FROM packets)"
 
 
 def on_raw(select: str, only=None, rules=RULES) -> str:
     return f"WITH {packets()},\n{raw(rules=rules, only=only)}\n{select}"
 
 
-def on_alerts(select: str, ever: bool = False) -> str:
-    return f"WITH {packets()},\n{alerts(ever=ever)}\n{select}"
+def on_alerts(select: str, more: dict | None = None, ever: bool = False) -> str:
+    extra = "".join(f",\n{name} AS ({body})" for name, body in (more or {}).items())
+    return f"WITH {packets()},\n{alerts(ever=ever)}{extra}\n{select}"
+
+
+# A log in which each alert is followed by a line without severity, of a rule nobody knows.
+TWICE = ("SELECT ts_us, rule, severity, src_ip, category FROM alerts "
+         "UNION ALL SELECT ts_us, '?' || rule, 'LOW', src_ip, 'Other' FROM alerts")
 
 
-def on_live(select: str, extra: str = "") -> str:
-    return f"WITH RECURSIVE {packets()},\n{KEPT},\n{alerts('kept')},\n{passed()}{extra}\n{select}"
+def on_live(select: str, extra: str = "", kept: str = KEPT) -> str:
+    return f"WITH RECURSIVE {packets()},\n{kept},\n{alerts('kept')},\n{passed()}{extra}\n{select}"
 
 
 def entries(where: str = "") -> str:
@@ -275,6 +287,8 @@ def oracle_sql() -> dict[str, str]:
         "a3_skipped_frames": on_packets("SELECT count(*) AS total, count(*) FILTER (protocol <> 41) AS ip, "
                                         "count(*) FILTER (protocol = 41) AS skipped FROM packets"),
         "a4_read_alerts": on_alerts(f"{log} UNION ALL {bare}"),
+        "a4_log_cooldown": f"WITH RECURSIVE {packets()},\n{alerts()},\n{passed()}\nSELECT ts_us, rule, src_ip FROM passed",
+        "a4_rejected_lines": on_alerts(f"SELECT count(*) AS rejected, min('{{bad ' || {LINE}) AS example FROM alerts WHERE packet_id % 2 = 1"),
         "a5_write_alerts": on_alerts(f"SELECT CAST(substr({iso('ts_us')}, 1, 10) AS DATE) AS date, {LINE} AS value FROM alerts"),
         "a6_export_csv": on_alerts(
             f"SELECT a.id, {iso('ts_us')} AS timestamp, severity, rule, category, 'pattern' AS type, protocol, src_ip, "
@@ -347,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {ALERT_COLS} FROM alerts WHERE severity = 'HIGH' AND contains(src_ip, '10.0.') AND contains(lower(rule), 'scan') "
             "AND ts_us > 5000000 ORDER BY ts_us DESC, packet_id DESC LIMIT 100"),
         "f2_totals": on_alerts(f"SELECT {total}, count(*) FILTER (ts_us * 200 < 86400000000) AS today, {levels()} FROM alerts"),
+        "f2_log_totals": on_alerts(f"SELECT count(*) AS total, count(*) FILTER (ts_us < 86400000000) AS today, {levels()} FROM logged", {"logged": TWICE}),
         "f3_top_sources": on_alerts(ranked_top.format("src_ip", AT, "alerts")),
         "f4_top_rules": on_alerts(ranked_top.format("rule", AT, "alerts")),
         "f5_investigate": on_alerts(
@@ -361,6 +376,12 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT src_ip, string_agg(CAST(packet_id AS VARCHAR), '|' ORDER BY place) AS recent FROM (
               SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us DESC, packet_id DESC) AS place FROM alerts)
               WHERE place <= 20 GROUP BY src_ip) USING (src_ip)"""),
+        "f5_log_investigation": on_alerts(f"""SELECT src_ip, total, critical, high, medium, low, {RISK} AS risk_score, first_seen, last_seen, top_counts
+FROM (SELECT src_ip, count(*) AS total, {levels()}, {iso('min(ts_us)')} AS first_seen, {iso('max(ts_us)')} AS last_seen FROM logged GROUP BY src_ip)
+JOIN (SELECT src_ip, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n DESC) AS top_counts FROM (
+  SELECT * FROM (SELECT src_ip, rule, count(*) AS n FROM logged GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY n DESC) <= 10)
+  GROUP BY src_ip) USING (src_ip)""",
+                                          {"logged": TWICE}),
         "f6_risk_score": on_live(
             f"""SELECT *, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 20 THEN 'ELEVATED'
               ELSE 'LOW' END AS risk_label FROM (SELECT *, {RISK} AS risk_score FROM (SELECT src_ip, {total}, {levels()},
@@ -376,6 +397,8 @@ def oracle_sql() -> dict[str, str]:
             f"AS position FROM (SELECT src_ip, rule, count(*) AS n, max({AT}) AS latest FROM alerts GROUP BY src_ip, rule)) WHERE position <= 6"),
         "f9_by_severity": on_alerts(f"SELECT v.severity, count(a.packet_id) AS count FROM {sev} LEFT JOIN alerts a ON a.severity = v.severity GROUP BY v.severity"),
         "f9_by_category": on_alerts("SELECT category, count(*) AS count FROM alerts GROUP BY category"),
+        "f9_log_by_severity": on_alerts(f"SELECT v.severity, count(logged.severity) AS count FROM {sev} LEFT JOIN logged ON logged.severity = v.severity GROUP BY ALL", {"logged": TWICE}),
+        "f9_log_by_category": on_alerts("SELECT category, count(*) AS count FROM logged GROUP BY category", {"logged": TWICE}),
         "f10_top_rules_first_severity": on_alerts(
             f"SELECT rule, n AS count, severity, category FROM (SELECT rule, category, count(*) AS n, min({AT}) AS first, "
             f"arg_min(severity, {AT}) AS severity FROM alerts GROUP BY rule, category) ORDER BY n DESC, first LIMIT 15"),
@@ -424,6 +447,20 @@ def oracle_sql() -> dict[str, str]:
         "g1_late_packets": on_packets(f"SELECT packet_id, ts_us FROM packets WHERE ts_us < {half}"),
         "g2_stream_alerts": on_live(f"SELECT {ALERT_COLS} FROM passed"),
         "g6_lateness_and_drain": on_alerts(f"SELECT {ALERT_COLS} FROM alerts"),
-        "g7_counters": on_live(f"SELECT (SELECT count(*) FROM kept) AS captured, CAST(0 AS BIGINT) AS late, CAST(0 AS DOUBLE) AS late_pct, "
-                               f"count(*) AS alerts{COOL} FROM alerts"),
+        "g3_window_state": on_packets(f"""{slices(5)},
+marks AS (SELECT r.slice, max(ts_us) // 1000 * 1000 AS mark FROM (SELECT unnest(range(5)) AS slice) r JOIN sliced p ON p.slice <= r.slice GROUP BY r.slice),
+counted AS (
+  SELECT 0 AS set, 7000000 AS span, src_ip, ts_us FROM packets WHERE length >= 60 AND length < 100 AND coalesce(dst_port NOT IN (80, 443), true)
+  UNION ALL SELECT 1, 2000000, src_ip, ts_us FROM packets
+  UNION ALL SELECT 2, 3000000, src_ip, ts_us FROM packets WHERE protocol = 17 AND dst_port <> 53)
+SELECT slice, CAST(set AS BIGINT) AS set, count(DISTINCT (src_ip, ts_us // 1000000)) AS entries
+FROM marks JOIN counted ON ts_us < mark AND (ts_us // 1000000 + 1) * 1000000 + span > mark GROUP BY ALL""".lstrip(), with_more=True),
+        "g4_allowlist_refresh": on_live(f"SELECT {ALERT_COLS} FROM passed", kept=f"""{slices(2)},
+kept AS MATERIALIZED (SELECT * FROM sliced WHERE src_ip NOT IN ('127.0.0.1', '::1', '192.168.1.10')
+  AND CASE slice WHEN 0 THEN src_ip NOT LIKE '10.0.1.%' ELSE src_ip NOT LIKE '10.0.2.%' AND src_ip NOT LIKE '172.16.%' END)"""),
+        "g5_log_lines": on_live(f"SELECT substr({iso('ts_us')}, 1, 10) AS date, {LINE} AS value FROM passed"),
+        "g5_digests": on_live(f"SELECT batch_id, n AS n_alerts, {SUBJECT}, {ICON} FROM tops", f",\n{NOTIFY},\n{batched('notify')},\n{TOP}"),
+        "g7_counters": on_live(f"""SELECT (SELECT count(*) FROM packets) AS captured, CAST(0 AS BIGINT) AS unreadable,
+  (SELECT count(*) FROM packets WHERE src_ip = '192.168.1.10') AS own, (SELECT count(*) FROM packets WHERE src_ip LIKE '172.16.5.%') AS allowlisted,
+  CAST(0 AS BIGINT) AS late, CAST(0 AS DOUBLE) AS late_pct, count(*) AS alerts{COOL} FROM alerts"""),
     }

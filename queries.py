@@ -7,6 +7,7 @@ comparison: integers to BIGINT, booleans to 0/1, string arrays joined with `|`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from wiretally.session import shared_dir
 from wiretally.sources import alert_log, allowlist, frames
 from wiretally.sources import packets as S
 from wiretally.sources.lineitem import packets_from_lineitem
-from wiretally.streaming.stream import Detector, run_stream
+from wiretally.streaming.stream import Detector
 
 SENSOR = "192.168.1.10"
 ALLOWED = ["172.16.5.0/24"]
@@ -137,6 +138,33 @@ def a4_read_alerts(spark, d):
                        "also_triggered", "count", "threat_score", "category", "id")
 
 
+def _from_log(spark, alerts: DataFrame, plain: bool = False) -> DataFrame:
+    """Alerts written to a log and read back; unless `plain` with damaged lines and lines that lack fields."""
+    path = shared_dir(spark, "log")
+    if plain:
+        alert_log.write_alerts(alerts, path)
+    else:
+        log_lines(alerts).write.text(path)
+    return alert_log.read_alerts(spark, path)
+
+
+def a4_rejected_lines(spark, d):
+    path = shared_dir(spark, "log")
+    log_lines(offline(spark, d)).write.text(path)
+    return alert_log.rejected_lines(spark, path).agg(F.sum("rejected").alias("rejected"), F.min("example").alias("example"))
+
+
+def a4_log_cooldown(spark, d):
+    """The cooldown of a log that has been read back is that of the alerts."""
+    return A.passed(P.cut(_from_log(spark, offline(spark, d), plain=True), "alerts")).select("ts_us", "rule", "src_ip")
+
+
+def f5_log_investigation(spark, d):
+    out = R.investigate(P.cut(_from_log(spark, offline(spark, d)), "alerts"))
+    return out.select("src_ip", "total", "critical", "high", "medium", "low", "risk_score", "first_seen", "last_seen",
+                      F.transform("top_rules", lambda x: x["count"].cast("string")).alias("top_counts"))
+
+
 def a5_write_alerts(spark, d):
     path = shared_dir(spark, "log")
     alert_log.write_alerts(offline(spark, d), path)
@@ -172,21 +200,27 @@ def a9_allowlist_remove(spark, d):
     return allowlist.allowlist_remove(current, entries_of(p.filter("protocol = 6")))
 
 
-def _stream(spark, d, mode="live", slices=2, lateness_s=0, reorder=False, rules=None):
-    """Packets arriving in time slices; each arrival is one run of the stream."""
+def _stream(spark, d, mode="live", slices=2, lateness_s=0, reorder=False, rules=None, allowed=None, after=None):
+    """Packets arriving in time slices; each arrival is one run of the stream. `allowed(i)` are the entries that hold
+    for a slice, `after(detector, i)` sees the stream behind it."""
     base = shared_dir(spark, "stream")
-    det = Detector(spark, f"{base}/sink", f"{base}/state", mode=mode, rules=rules, lateness_s=lateness_s,
-                   allow=lambda: allow(spark), local_ips=(SENSOR,))
+    allowlist.save_allowlist(literal_table(spark, [(e,) for e in ALLOWED], "entry string"), f"{base}/allow")
+    det = Detector(spark, base, mode=mode, rules=rules, lateness_s=lateness_s, allow=lambda: allowlist.latest(spark, f"{base}/allow"), local_ips=(SENSOR,))
     p = P.cut(packets(spark, d), "packets")
     # Equal slices of the time range; reading its two ends is all the driver sees.
     lo, hi = p.agg(F.min("ts_us"), F.max("ts_us")).first()
     width = (hi - lo) // slices + 1
     order = range(slices)
+    source = lambda: S.read_packet_stream(spark, f"{base}/in")
     for i in (reversed(order) if reorder else order):
+        if allowed is not None:
+            allowlist.save_allowlist(literal_table(spark, [(e,) for e in allowed(i)], "entry string"), f"{base}/allow")
         part = p.filter((F.col("ts_us") >= lo + i * width) & (F.col("ts_us") < lo + (i + 1) * width))
         S.write_packets(part, f"{base}/in")
-        run_stream(S.read_packet_stream(spark, f"{base}/in"), det, f"{base}/checkpoint").awaitTermination()
-    det.drain()
+        det.run(source())
+        if after is not None:
+            after(det, i)
+    det.drain(source())
     return det
 
 
@@ -364,14 +398,44 @@ def _spread(a: DataFrame) -> DataFrame:
     return a.withColumn("ts_us", F.col("ts_us") * 200)
 
 
+def g1_late_packets(spark, d):
+    """Slices arriving newest first: all but the first to arrive are late."""
+    return _stream(spark, d, mode="offline", reorder=True).late().select("packet_id", "ts_us")
+
+
 def g2_stream_alerts(spark, d):
     return _stream(spark, d).alerts()
 
 
-def g1_late_packets(spark, d):
-    """Slices arriving newest first: all but the first to arrive are late."""
-    return _stream(spark, d, mode="offline", reorder=True, rules=[r for r in RULES if r.type == "pattern"]) \
-        .late().select("packet_id", "ts_us")
+def g3_window_state(spark, d):
+    """The entries of window state behind each of five slices of the stream: what windows can still reach, however
+    long the stream has run."""
+    seen = []
+
+    def look(det, i):
+        batch = det.by_batch().agg(F.max("batch")).first()[0]
+        seen.append(det.window_entries(batch).groupBy("set").agg(F.count("*").alias("entries")).select(F.lit(i).alias("slice"), "set", "entries"))
+
+    _stream(spark, d, mode="offline", slices=5, rules=CUSTOM_RULES, after=look)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def g4_allowlist_refresh(spark, d):
+    """An allowlist that changes between two arrivals holds from the next one on."""
+    return _stream(spark, d, allowed=lambda i: [["10.0.1.0/24"], ["10.0.2.0/24", "172.16.0.0/16"]][i]).alerts()
+
+
+def g5_log_lines(spark, d):
+    det = _stream(spark, d, after=lambda det, i: det.publish())
+    det.publish()
+    return det.log().select("date", "value")
+
+
+def g5_digests(spark, d):
+    """Digests of a stream in three arrivals: batches go on over them."""
+    det = _stream(spark, d, slices=3, after=lambda det, i: det.publish())
+    det.publish()
+    return det.digests()
 
 
 def g6_lateness_and_drain(spark, d):
@@ -389,6 +453,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a2_decode_frames": a2_decode_frames,
         "a3_skipped_frames": a3_skipped_frames,
         "a4_read_alerts": a4_read_alerts,
+        "a4_log_cooldown": a4_log_cooldown,
+        "a4_rejected_lines": a4_rejected_lines,
         "a5_write_alerts": a5_write_alerts,
         "a6_export_csv": a6_export_csv,
         "a7_rule_listing": a7_rule_listing,
@@ -432,15 +498,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f1_recent_filtered": lambda s, d: R.recent(offline(s, d), 100, severity="HIGH", ip="10.0.", rule="SCAN",
                                                     since="1970-01-01T00:00:05+00:00"),
         "f2_totals": lambda s, d: R.severity_totals(_spread(offline(s, d)), "1970-01-01"),
+        "f2_log_totals": lambda s, d: R.severity_totals(_from_log(s, offline(s, d)), "1970-01-01"),
         "f3_top_sources": lambda s, d: R.top_sources(offline(s, d)),
         "f4_top_rules": lambda s, d: R.top_rules(offline(s, d)),
         "f5_investigate": f5_investigate,
+        "f5_log_investigation": f5_log_investigation,
         "f6_risk_score": lambda s, d: R.risk_score(live(s, d)),
         "f7_risk_label": lambda s, d: R.risk_score(offline(s, d)).select("src_ip", "risk_score", "risk_label"),
         "f8_techniques": f8_techniques,
         "f8_ip_top_rules": lambda s, d: R.ip_top_rules(offline(s, d)),
         "f9_by_severity": lambda s, d: R.by_severity(offline(s, d)),
         "f9_by_category": lambda s, d: R.by_category(offline(s, d)),
+        "f9_log_by_severity": lambda s, d: R.by_severity(_from_log(s, offline(s, d))),
+        "f9_log_by_category": lambda s, d: R.by_category(_from_log(s, offline(s, d))),
         "f10_top_rules_first_severity": lambda s, d: R.top_rules_first_severity(offline(s, d)),
         "f11_top_attackers": lambda s, d: R.top_attackers(offline(s, d)),
         "f12_minute_timeline": lambda s, d: R.minute_timeline(offline(s, d)),
@@ -464,6 +534,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f24_coverage_category": lambda s, d: R.attack_coverage_seen(offline(s, d), by="category"),
         "g1_late_packets": g1_late_packets,
         "g2_stream_alerts": g2_stream_alerts,
+        "g3_window_state": g3_window_state,
+        "g4_allowlist_refresh": g4_allowlist_refresh,
+        "g5_log_lines": g5_log_lines,
+        "g5_digests": g5_digests,
         "g6_lateness_and_drain": g6_lateness_and_drain,
         "g7_counters": g7_counters,
     }

@@ -1,13 +1,19 @@
+import random
+import re
+from functools import reduce
+
 import pytest
+from pyspark.sql import functions as F
 from model import FIELDS, US, correlate as model_correlate, detect as model_detect, packet, scaled, traffic
 
 from queries import CUSTOM_RULES
 from wiretally.functions.families import exclusive, families
-from wiretally.functions.predicates import compile_conditions, implies
-from wiretally.operators.correlate import correlate, lead
+from wiretally.functions.predicates import MOST_TERMS, compile_conditions, cover, matches_any
+from wiretally.operators.correlate import correlate, lead, threat_score
 from wiretally.operators.detect import detect, detect_distinct, detect_pattern, detect_rate
 from wiretally.rules import RULES, as_rules
 from wiretally.schema import PACKETS
+from wiretally.session import shared_dir
 
 
 def frame(spark, packets):
@@ -118,7 +124,36 @@ def test_families_are_exclusive():
     groups = families(sets)
     assert sorted(i for g in groups for i in g) == list(range(len(sets)))
     assert all(exclusive(sets[a], sets[b]) for g in groups for a in g for b in g if a != b)
-    assert implies({"protocol": 6, "flags": "S"}, {"protocol": [6, 1]}) and not implies({"protocol": [6, 17]}, {"protocol": 6})
+
+
+def test_scan_filter_holds_every_match_and_is_bounded(spark):
+    rnd = random.Random(1)
+    own = [{"dst_port": rnd.choice([rnd.randrange(65536), [1, rnd.randrange(9999), None], {">": rnd.randrange(60000)}, {"<": 30, ">=": 5}, {"!=": 80}]),
+            "protocol": rnd.choice([6, 17, [1, 6], {"not_in": [1]}]), **({"flags": rnd.choice(["S", ["A", "PA"], None])} if rnd.random() < .5 else {})} for _ in range(200)]
+    p = frame(spark, traffic(1500, 3)).persist()
+    for sets in ([r.conditions for r in RULES], own, own[:3], [{"length": {">": 10, "<": 5}}], [{}], [{"ttl": {"mask": 3}}]):
+        assert len(cover(sets)) <= MOST_TERMS
+        exact = reduce(lambda a, b: a | b, [compile_conditions(c) for c in sets])
+        assert p.filter(exact & ~F.coalesce(matches_any(sets), F.lit(False))).isEmpty()
+
+
+@pytest.mark.parametrize("rules", [[r for r in RULES if r.type == "pattern"],
+                                   as_rules([{"name": f"r{i}", "type": "pattern", "severity": "LOW", "conditions": {"dst_port": 300 * i, "protocol": 6 + 11 * (i % 2)}} for i in range(200)])])
+def test_scan_filter_reaches_the_files(spark, rules):
+    path = shared_dir(spark, "packets")
+    frame(spark, traffic(50, 3)).write.parquet(path)
+    plan = detect_pattern(spark.read.parquet(path), rules)._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan, re.S)[1]
+    assert "protocol" in pushed and "dst_port" in pushed
+
+
+def test_capture_score_detects_once(spark):
+    path = shared_dir(spark, "packets")
+    frame(spark, traffic(50, 3)).write.parquet(path)
+    plan = threat_score(detect(spark.read.parquet(path), RULES), None)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("ReusedExchange") >= 1
 
 
 @pytest.mark.parametrize("window_s,slab_s", [(300, 600), (20, 10), (None, 600)])

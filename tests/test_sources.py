@@ -1,9 +1,12 @@
+import ipaddress
 import json
+import random
 
 from model import packet
 from test_detect import frame
 
-from wiretally.functions.net import flag_letters, is_ip, num_to_ip
+from wiretally.functions.net import flag_letters, is_ip, networks_v6, num_to_ip
+from wiretally.operators import report
 from wiretally.operators.alerts import cooldown
 from wiretally.operators.enrich import drop_allowlisted, drop_local, enrich, geo_df
 from wiretally.schema import iso, micros
@@ -34,6 +37,24 @@ def test_allowlist_maintenance(spark):
     assert [r.entry for r in left.collect()] == ["1.1.1.1/32"]
 
 
+def test_ipv6_networks_equal_the_standard_library(spark):
+    rnd, cases = random.Random(3), ["::", "::/0", "::1", "1::", "1::/16", "0:0:1::", "1:0:0:2:0:0:0:3", "1:0:0:0:2:0:0:3", "1:0:2:0:3:0:4:0", "2001:DB8::1/32", "::ffff:1.2.3.4", "::ffff:1.2.3.4/97",
+                                    "::ffff:1.2.3.4/90", "::1.2.3.4", "::1.2.3.400", "1.2.3.4::", "1:2:3:4:5:6:7:8/129", "1:2:3:4:5:6:7:8/-1", "1:2:3:4:5:6:7:8/064", "1:2/3/4", "12345::", "1::2::3", ":1", "1:", ":::", "::/", "g::", "1:2:3:4:5:6:7::/20"]
+    for _ in range(300):
+        groups = [rnd.choice(["0", "0", f"{rnd.randrange(65536):x}", f"{rnd.randrange(256):04X}"]) for _ in range(8)]
+        cut, n = rnd.randrange(8), rnd.randrange(1, 5)
+        text = ":".join(groups) if rnd.random() < .5 else ":".join(groups[:cut]) + "::" + ":".join(groups[cut + n:])
+        cases.append(text + rnd.choice(["", f"/{rnd.randrange(140)}"]))
+
+    def canonical(e):
+        try:
+            return str(ipaddress.ip_network(e, strict=False))
+        except ValueError:
+            return None
+    got = {r.entry: r.canonical for r in networks_v6(column(spark, sorted(set(cases)))).collect()}
+    assert got == {e: canonical(e) for e in set(cases)}
+
+
 def test_allowlist_file_and_filters(spark, tmp_path):
     path = tmp_path / "allow.json"
     path.write_text(json.dumps({"entries": ["10.0.0.0/8", "bad", "::/0"]}, indent=2))
@@ -116,6 +137,38 @@ def test_csv_export(spark):
     a = enrich(alerts(spark, [(1, 0, "a, b", "HIGH")]))
     path = shared_dir(spark, "csv")
     alert_log.export_csv(a, path)
-    lines = [r.value for r in spark.read.text(path).collect()]
-    assert lines[0] == "id,timestamp,severity,rule,category,type,protocol,src_ip,src_country,dst_ip,dst_port,count,ttl,length,mitre"
-    assert lines[1] == '"1970-01-01T00:00:00+00:00|a, b",1970-01-01T00:00:00+00:00,HIGH,"a, b",Other,pattern,TCP,1.1.1.1,Unknown,2.2.2.2,,,,,'
+    header = "id,timestamp,severity,rule,category,type,protocol,src_ip,src_country,dst_ip,dst_port,count,ttl,length,mitre"
+    files = spark.read.text(path, wholetext=True).collect()
+    assert files and all(f.value.startswith(header + "\n") for f in files)
+    assert [x for f in files for x in f.value.splitlines()[1:]] == [
+        '"1970-01-01T00:00:00+00:00|a, b",1970-01-01T00:00:00+00:00,HIGH,"a, b",Other,pattern,TCP,1.1.1.1,Unknown,2.2.2.2,,,,,']
+    assert spark.read.option("header", True).csv(path).count() == 1
+
+
+def test_log_rows_can_be_told_apart(spark, tmp_path):
+    """Equal lines, files read in other splits, lines without severity or rule, unreadable ones."""
+    day = tmp_path / "log" / "date=1970-01-01"
+    day.mkdir(parents=True)
+    line = lambda s, **more: json.dumps({"timestamp": f"1970-01-01T00:00:{s:02d}+00:00", "src_ip": "1.1.1.1", **more})
+    six = [line(s, rule="r", severity="HIGH") for s in (0, 0, 1, 3, 5, 7)]
+    (day / "a.log").write_text("\n".join([*six, line(8), line(9), "{oops", "", '{"rule": 7}']) + "\n")
+    (day / "b.log").write_text(line(50, rule="r", severity="HIGH") + "\n")
+    path = str(tmp_path / "log")
+    got = alert_log.read_alerts(spark, path).persist()
+    ids = {r.packet_id for r in got.collect()}
+    assert len(ids) == got.count() == 9
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        assert {r.packet_id for r in alert_log.read_alerts(spark, path).collect()} == ids
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    cooled = cooldown(got).collect()
+    assert [(r.ts_us, r.rule) for r in sorted(cooled, key=lambda r: r.ts_us) if r.passed] == [(0, "r"), (8000000, None), (50000000, "r")] and len(cooled) == 9
+    assert [(r.rejected, r.file.endswith("a.log")) for r in alert_log.rejected_lines(spark, path).collect()] == [(2, True)]
+    totals = report.severity_totals(got, "1970-01-01").first()
+    assert (totals.total, totals.today, totals.high, totals.low) == (9, 9, 7, 2)
+    assert {r.rule: r["count"] for r in report.top_rules(got).collect()} == {"r": 7, "Unknown": 2}
+    assert {r.severity: r["count"] for r in report.by_severity(got).collect()} == {"CRITICAL": 0, "HIGH": 7, "MEDIUM": 0, "LOW": 2}
+    one = report.investigate(got).first()
+    assert (one.total, one.high, one.low, [(x.rule, x["count"]) for x in one.top_rules]) == (9, 7, 2, [("r", 7), ("Unknown", 2)])

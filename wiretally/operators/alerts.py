@@ -14,16 +14,27 @@ COOLDOWN_S = 30
 BATCH_S = 3
 
 
+def _winners(alerts: DataFrame, keys, span_s: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The alerts with their key as text (a missing part is empty), the openers, and the columns that join them."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = alerts.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in zip(names, keys)})
+    return keyed, openers(keyed, names, span_s * US), [*names, "ts_us", "packet_id"]
+
+
 def cooldown(alerts: DataFrame, keys=("rule", "src_ip"), span_s: int = COOLDOWN_S) -> DataFrame:
-    """Add `passed`: false while less than `span_s` after the key's last passed alert."""
-    winners = openers(alerts, list(keys), span_s * US).select("packet_id", F.lit(True).alias("passed"))
-    return (alerts.join(winners, "packet_id", "left")
-            .withColumn("passed", F.coalesce("passed", F.lit(False))))
+    """Add `passed`: false while less than `span_s` after the key's last passed alert.
+
+    packet_id need only tell alerts of one key and time apart.
+    """
+    keyed, winners, on = _winners(alerts, keys, span_s)
+    return (keyed.join(winners.select(*on, F.lit(True).alias("passed")), on, "left")
+            .select(*alerts.columns, F.coalesce("passed", F.lit(False)).alias("passed")))
 
 
 def passed(alerts: DataFrame, keys=("rule", "src_ip"), span_s: int = COOLDOWN_S) -> DataFrame:
     """Only the alerts that the cooldown lets through."""
-    return alerts.join(openers(alerts, list(keys), span_s * US).select("packet_id"), "packet_id", "left_semi")
+    keyed, winners, on = _winners(alerts, keys, span_s)
+    return keyed.join(winners.select(*on), on, "left_semi").select(*alerts.columns)
 
 
 def suppressed(cooled: DataFrame, keys=("rule", "src_ip")) -> DataFrame:
@@ -72,10 +83,14 @@ def digest(batched: DataFrame, keys=(), prefix: str = "") -> DataFrame:
     batch is collected; `digest_lines` has the body.
     """
     top = F.min(F.struct((-severity_rank()).alias("r"), "ts_us", "packet_id", "rule", "severity")).alias("top")
-    out = batched.groupBy(*keys, "batch_id").agg(F.count(F.lit(1)).alias("n"), top)
+    return digest_of(batched.groupBy(*keys, "batch_id").agg(F.count(F.lit(1)).alias("n"), top), keys, prefix)
+
+
+def digest_of(batches: DataFrame, keys=(), prefix: str = "") -> DataFrame:
+    """The notifications of batches given by their number of alerts `n` and their leading alert `top`."""
     severity, rule, n = F.col("top.severity"), F.col("top.rule"), F.col("n")
     # The wording of a notification.
-    return out.select(
+    return batches.select(
         *keys, "batch_id", n.cast("bigint").alias("n_alerts"),
         F.when(n == 1, F.concat(F.lit(prefix), severity, F.lit(" — "), rule))
          .otherwise(F.concat(F.lit(prefix), n.cast("string"), F.lit(" alerts — highest: "), severity, F.lit(" "), rule))

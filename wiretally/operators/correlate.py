@@ -20,19 +20,23 @@ SLAB_S = 600
 BITS = 62           # rule bits per mask
 COUNT_SPACE = 2**44  # a packed leader is place * COUNT_SPACE + count + 1, or + 0 without a count
 _PACKET = ["packet_id", "ts_us", "src_ip", "dst_ip", "dst_port", "protocol"]
-_SCORE = "CAST(least(100, active * 10) AS INT)"
 
 # Raise the severity of a source that has fired many distinct rules.
 _ESCALATED = f"""CASE WHEN threat_score >= 80 AND {RANK} < 3 THEN 'CRITICAL' WHEN threat_score >= 50 AND {RANK} < 2 THEN 'HIGH'
     WHEN threat_score >= 30 AND {RANK} < 1 THEN 'MEDIUM' ELSE severity END"""
 
 
+def score_sql(active: str = "active") -> str:
+    """SQL text of the threat score for a number of active rules."""
+    return f"CAST(least(100, {active} * 10) AS INT) AS threat_score"
+
+
 def escalate(severity: str = "severity", score: str = "threat_score") -> Column:
     """The severity column raised by the threat score column."""
     return F.expr(_ESCALATED.replace("severity", severity).replace("threat_score", score))
 
 
-def _places(rules) -> list[int]:
+def places(rules) -> list[int]:
     """Rule positions, best leader first: highest severity, then first in the list."""
     return sorted(range(len(rules)), key=lambda i: (-rules[i].rank, i))
 
@@ -43,14 +47,14 @@ def _masks(rules) -> range:
 
 def _fired(rules) -> list[Column]:
     """Aggregates over the raw alerts of a packet: rule masks and the packed leader."""
-    order = _places(rules)
+    order = places(rules)
     place = literal_array([order.index(i) for i in range(len(rules))], "bigint")
     masks = [F.expr(f"bit_or(CASE WHEN ord div {BITS} = {m} THEN shiftleft(1L, ord % {BITS}) ELSE 0L END) AS m{m}")
              for m in _masks(rules)]
     return [*masks, F.expr(f"min(element_at({place}, ord + 1) * {COUNT_SPACE}L + coalesce(cnt + 1, 0L)) AS packed")]
 
 
-def _lead(packets: DataFrame, rules, *keep: str) -> DataFrame:
+def lead_of(packets: DataFrame, rules, *keep: str) -> DataFrame:
     """Unpack the leader and the names of the other rules."""
     fired = "+".join(f"bit_count(m{m})" for m in _masks(rules))
     names = literal_array([r.name for r in rules], "string")
@@ -68,7 +72,7 @@ def _lead(packets: DataFrame, rules, *keep: str) -> DataFrame:
         return f"element_at({literal_array(values, 'string')}, leader + 1)"
 
     return (packets.selectExpr(
-                "*", f"element_at({literal_array(_places(rules), 'int')}, CAST(packed div {COUNT_SPACE}L AS INT) + 1) AS leader",
+                "*", f"element_at({literal_array(places(rules), 'int')}, CAST(packed div {COUNT_SPACE}L AS INT) + 1) AS leader",
                 f"nullif(packed % {COUNT_SPACE}L, 0L) - 1 AS count", f"{fired} > 1 AS correlated")
             .selectExpr("packet_id", "ts_us", f"{of_leader([r.name for r in rules])} AS rule",
                         f"{of_leader([r.severity for r in rules])} AS severity",
@@ -84,7 +88,7 @@ def _by_packet(raw: DataFrame, rules) -> DataFrame:
 def lead(raw: DataFrame, rules=None) -> DataFrame:
     """One row per packet: the leading alert and the names of the others."""
     rules = as_rules(RULES if rules is None else rules)
-    return _lead(_by_packet(raw, rules), rules)
+    return lead_of(_by_packet(raw, rules), rules)
 
 
 def _scored(raw: DataFrame, rules, window_s: int, slab_s: int) -> DataFrame:
@@ -109,10 +113,18 @@ def _scored(raw: DataFrame, rules, window_s: int, slab_s: int) -> DataFrame:
 
 
 def _scored_ever(raw: DataFrame, rules) -> DataFrame:
-    """As `_scored`, but a rule stays active for good once its source has fired it."""
-    firsts = (raw.groupBy("src_ip", "ord").agg(F.expr(f"min({ARRIVAL}) AS at"))
+    """As `_scored`, but a rule stays active for good once its source has fired it.
+
+    Both sides come from the packets' masks, so detection and its shuffle by packet happen once; the first firings
+    are at most one row per source and rule, and a source with very many packets is a skewed join that Spark splits.
+    """
+    packets = _by_packet(raw, rules)
+    bits = ", ".join(f"transform(filter(sequence(0, {BITS - 1}), i -> (shiftright(m{m}, i) & 1L) = 1L), i -> i + {m * BITS})" for m in _masks(rules))
+    # packed is read here too, so that both sides aggregate alike and share their exchange
+    firsts = (packets.filter("packed >= 0").selectExpr("src_ip", f"{ARRIVAL} AS at", f"explode(concat({bits})) AS ord")
+              .groupBy("src_ip", "ord").agg(F.min("at").alias("at"))
               .groupBy("src_ip").agg(F.collect_list("at").alias("firsts")))  # at most one per rule
-    return (_by_packet(raw, rules).join(firsts, "src_ip")
+    return (packets.join(firsts, "src_ip")
             .selectExpr("*", f"CAST(size(filter(firsts, a -> a <= {ARRIVAL})) AS BIGINT) AS active"))
 
 
@@ -123,7 +135,7 @@ def _score(raw: DataFrame, rules, window_s: int | None, slab_s: int) -> DataFram
 def threat_score(raw: DataFrame, window_s: int | None = THREAT_WINDOW_S, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     """(packet_id, ts_us, src_ip, threat_score) for every packet that fired a rule."""
     rules = as_rules(RULES if rules is None else rules)
-    return _score(raw, rules, window_s, slab_s).selectExpr("packet_id", "ts_us", "src_ip", f"{_SCORE} AS threat_score")
+    return _score(raw, rules, window_s, slab_s).selectExpr("packet_id", "ts_us", "src_ip", score_sql())
 
 
 def correlate(raw: DataFrame, threat_window_s: int | None = THREAT_WINDOW_S, rules=None, slab_s: int = SLAB_S) -> DataFrame:
@@ -133,5 +145,5 @@ def correlate(raw: DataFrame, threat_window_s: int | None = THREAT_WINDOW_S, rul
     the rules a source has fired in the whole capture.
     """
     rules = as_rules(RULES if rules is None else rules)
-    return (_lead(_score(raw, rules, threat_window_s, slab_s), rules, f"{_SCORE} AS threat_score")
+    return (lead_of(_score(raw, rules, threat_window_s, slab_s), rules, score_sql())
             .withColumn("severity", escalate()))

@@ -53,9 +53,9 @@ def hits(packets: DataFrame, rules=None, slab_s: int = SLAB_S) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _windowed(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us: int) -> DataFrame:
-    # A set is what rows are counted by: rate rules with equal conditions share one, a
-    # distinct rule has its own. by_set[s] lists the (ord, rule) decided on its rows.
+def condition_sets(rules: list[tuple[int, Rule]]) -> tuple[list[dict], list[list[tuple[int, Rule]]]]:
+    """What rows are counted by, and the (ord, rule) decided on the rows of each: rate rules with
+    equal conditions share a set, a distinct rule has its own."""
     sets, by_set, slot = [], [], {}
     for i, r in rules:
         key = (_key(r.conditions), r.track, None if r.type == "rate" else r.window_s)
@@ -64,6 +64,11 @@ def _windowed(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us: int) -
             sets.append(r.conditions)
             by_set.append([])
         by_set[slot[key]].append((i, r))
+    return sets, by_set
+
+
+def _windowed(packets: DataFrame, rules: list[tuple[int, Rule]], slab_us: int) -> DataFrame:
+    sets, by_set = condition_sets(rules)
     is_rate = [rs[0][1].type == "rate" for rs in by_set]
     distinct = [(s, rs[0][1]) for s, rs in enumerate(by_set) if not is_rate[s]]
 

@@ -31,7 +31,13 @@ def _of(level: str) -> Column:
 
 
 def _by_level() -> list[Column]:
-    return [F.expr(f"count_if(severity = '{s}') AS {s.lower()}") for s in reversed(SEVERITIES)]
+    return [F.expr(f"count_if(coalesce(severity, 'LOW') = '{s}') AS {s.lower()}") for s in reversed(SEVERITIES)]
+
+
+def _told(alerts: DataFrame) -> DataFrame:
+    """Rows of a log may lack fields: such an alert counts as LOW, its rule as Unknown, its category as Other."""
+    missing = {"severity": "LOW", "rule": "Unknown", "category": "Other"}
+    return alerts.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in missing.items() if c in alerts.columns})
 
 
 def recent(alerts: DataFrame, limit: int = 500, severity: str | None = None, ip: str | None = None,
@@ -64,7 +70,7 @@ def top_sources(alerts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_rules(alerts: DataFrame, n: int = 10) -> DataFrame:
-    return _top(alerts.withColumn("rule", F.coalesce("rule", F.lit("Unknown"))), "rule", n)
+    return _top(_told(alerts), "rule", n)
 
 
 def risk_label(score: Column) -> Column:
@@ -82,7 +88,7 @@ def risk_score(alerts: DataFrame) -> DataFrame:
 def ip_top_rules(alerts: DataFrame, n: int = 6) -> DataFrame:
     """The n most frequent rules of each source, with their position."""
     order = Window.partitionBy("src_ip").orderBy(F.desc("count"), F.desc("_at"), "rule")
-    return (alerts.groupBy("src_ip", "rule").agg(_n().alias("count"), F.max(_at()).alias("_at"))
+    return (_told(alerts).groupBy("src_ip", "rule").agg(_n().alias("count"), F.max(_at()).alias("_at"))
             .withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n).drop("_at"))
 
 
@@ -119,7 +125,7 @@ def by_severity(alerts: DataFrame) -> DataFrame:
     """Count per severity, CRITICAL first, absent levels as zero."""
     dim = literal_table(alerts.sparkSession, [(s, i) for i, s in enumerate(reversed(SEVERITIES))],
                         "severity string, position int")
-    counts = alerts.groupBy("severity").agg(_n().alias("n"))
+    counts = _told(alerts).groupBy("severity").agg(_n().alias("n"))
     return (F.broadcast(dim).join(counts, "severity", "left")
             .select("severity", F.coalesce("n", F.lit(0)).alias("count"), "position").orderBy("position").drop("position"))
 
@@ -130,12 +136,12 @@ def by_category(alerts: DataFrame, rules=None) -> DataFrame:
 
 
 def _categorised(alerts: DataFrame, rules=None) -> DataFrame:
-    return alerts if "category" in alerts.columns else with_category(alerts, rules)
+    return _told(alerts if "category" in alerts.columns else with_category(alerts, rules))
 
 
 def top_rules_first_severity(alerts: DataFrame, n: int = 15, rules=None) -> DataFrame:
     """Top rules with category and the severity of the rule's first alert."""
-    grouped = alerts.groupBy("rule").agg(
+    grouped = _told(alerts).groupBy("rule").agg(
         _n().alias("count"), F.min(_at()).alias("_at"), F.min_by(severity_rank(), _at()).alias("_r"))
     top = grouped.orderBy(F.desc("count"), "_at").limit(n)
     return (with_category(top, rules).withColumn("severity", severity_name("_r"))
@@ -144,7 +150,7 @@ def top_rules_first_severity(alerts: DataFrame, n: int = 15, rules=None) -> Data
 
 def top_attackers(alerts: DataFrame, n: int = 20, rules=None) -> DataFrame:
     """Sources by worst severity, then threat score, then count; with category and rule lists."""
-    per_rule = alerts.groupBy("src_ip", "rule").agg(
+    per_rule = _told(alerts).groupBy("src_ip", "rule").agg(
         _n().alias("n"), F.max(severity_rank()).alias("r"),
         F.max("threat_score").alias("s"), F.min(_at()).alias("at"))
     return (with_category(per_rule, rules).groupBy("src_ip").agg(
@@ -172,12 +178,12 @@ def ip_drilldown(alerts: DataFrame, ip: str) -> DataFrame:
 
 
 def ip_by_rule(alerts: DataFrame, ip: str) -> DataFrame:
-    return (alerts.filter(F.col("src_ip") == ip).groupBy("rule").agg(_n().alias("count"), F.min(_at()).alias("_at"))
+    return (_told(alerts).filter(F.col("src_ip") == ip).groupBy("rule").agg(_n().alias("count"), F.min(_at()).alias("_at"))
             .orderBy(F.desc("count"), "_at").drop("_at"))
 
 
 def ip_by_severity(alerts: DataFrame, ip: str) -> DataFrame:
-    return alerts.filter(F.col("src_ip") == ip).groupBy("severity").agg(_n().alias("count"))
+    return _told(alerts).filter(F.col("src_ip") == ip).groupBy("severity").agg(_n().alias("count"))
 
 
 def capture_overview(packets: DataFrame, alerts: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,24 +16,29 @@ CSV_COLUMNS = ["id", "timestamp", "severity", "rule", "category", "type", "proto
 _CORRUPT = "_corrupt_record"
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """`lines(value)` that are not blank, with the record `a`; an unreadable line is its own _corrupt_record."""
+    schema = T.StructType([*ALERT_LOG.fields, T.StructField(_CORRUPT, T.StringType())])
+    a = F.from_json(F.trim("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return lines.filter(F.trim("value") != "").withColumn("a", a)
+
+
 def parse_alert_lines(lines: DataFrame, keep_category: bool = False, rules=None) -> DataFrame:
     """Alerts from `lines(value)`; blank and unreadable lines are skipped.
 
     Missing fields get their defaults and `id` becomes `timestamp|rule`. The category
     is looked up from the rule, unless `keep_category` leaves a recorded one in place.
+    Columns `date` and `packet_id` of the lines are kept.
     """
-    schema = T.StructType([*ALERT_LOG.fields, T.StructField(_CORRUPT, T.StringType())])
-    a = F.from_json(F.trim("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    folder = [c for c in lines.columns if c == "date"]
-    rows = (lines.filter(F.trim("value") != "").select(a.alias("a"), *folder).select("a.*", *folder)
-            .filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT))
+    extra = [c for c in lines.columns if c in ("date", "packet_id")]
+    rows = _parsed(lines).filter(F.col(f"a.{_CORRUPT}").isNull()).select("a.*", *extra).drop(_CORRUPT)
     rows = rows.withColumns({
         "also_triggered": F.coalesce("also_triggered", F.array().cast("array<string>")),
         "correlated": F.coalesce("correlated", F.lit(False)),
         "threat_score": F.coalesce("threat_score", F.lit(0)),
         "id": F.concat(F.coalesce("timestamp", F.lit("")), F.lit("|"), F.coalesce("rule", F.lit(""))),
         "ts_us": micros(F.col("timestamp")),
-        "packet_id": F.expr("0L"),
+        "packet_id": F.col("packet_id") if "packet_id" in extra else F.expr("0L"),
         "recorded": F.col("category"),
     })
     rows = with_category(rows, rules)
@@ -42,11 +47,27 @@ def parse_alert_lines(lines: DataFrame, keep_category: bool = False, rules=None)
     return rows.drop("recorded")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, packet_id, and `date` where folders have it) of the log below `path`.
+
+    packet_id tells the lines apart: a hash of file, text and, of equal lines in one file, their number. It
+    does not depend on how the file is split, so every reading gives a line the same one.
+    """
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
+    nth = F.row_number().over(Window.partitionBy("_file", F.xxhash64("value"), "value").orderBy(F.lit(0)))
+    return lines.withColumn("packet_id", F.xxhash64("_file", "value", nth)).drop("_file")
+
+
 def read_alerts(spark: SparkSession, path: str, keep_category: bool = False) -> DataFrame:
     """The alert log below `path`. A filter on the folder column `date` prunes folders."""
-    lines = spark.read.text(path)
-    parsed = parse_alert_lines(lines, keep_category)
-    return parsed
+    return parse_alert_lines(read_lines(spark, path), keep_category)
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rejected, example): how many lines of each file of the log are unreadable; files without such are left out."""
+    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    bad = _parsed(lines).filter(F.col(f"a.{_CORRUPT}").isNotNull())
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"), F.min("value").alias("example"))
 
 
 def alert_lines(alerts: DataFrame, offline: bool = False) -> Column:
@@ -71,7 +92,8 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append", offline: bo
 
 
 def export_csv(alerts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Enriched alerts as CSV with a header; null becomes empty."""
+    """Enriched alerts as CSV; null becomes empty. Every part file begins with the header, as Spark reads and writes
+    them, so each is a table of its own and `header=True` reads the folder back."""
     have = set(alerts.columns)
     stamp = {"timestamp": iso()} if "timestamp" not in have else {}
     cols = [stamp.get(c, F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS]

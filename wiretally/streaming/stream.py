@@ -1,190 +1,214 @@
-"""Packet streams to alerts, with the batch operators.
-
-Every micro-batch runs the batch operators over the new packets plus the little that
-still matters from before: packets within the longest rule window, the last firing of
-each (source, rule) within the threat window and the last passed alert of each key
-within the cooldown. That state is a versioned table per micro-batch in a shared
-folder, written once per batch and dropped once no window reaches it, so a replayed
-batch reads the same state and overwrites the same output.
-
-Packets are final once they are `lateness_s` older than the newest one; younger ones
-wait. Hence the alerts are those of a batch run over all packets in time order. A
-packet older than what is already final goes to the late table and is counted.
+"""Packet streams to alerts on Structured Streaming's own mechanisms.
+
+The packet stream has a watermark; one stateful operator keyed by source (`source_state.SourceState`) holds packets
+until the watermark has passed them, counts windows, scores, holds back repeated alerts and forgets what no window
+reaches, by event-time timers. Its file sink is exactly-once; the JSON log and the notification digests are streams
+over that sink, the digests with the open batch of each channel as keyed state. Nothing here keeps state of its own:
+a batch that is run again starts from the state Spark has for it and commits the same files.
+
+Packets older than the watermark on arrival are late: they come out in the late table and raise no alert. Counters
+are observed metrics, taken on arrival before any filter and again behind the stateful operator.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from wiretally.functions.predicates import matches_any
-from wiretally.operators.alerts import COOLDOWN_S, batch, digest, notify_filter, openers
-from wiretally.operators.correlate import THREAT_WINDOW_S, correlate
-from wiretally.operators.detect import detect
-from wiretally.operators.enrich import drop_allowlisted, drop_local, with_category
+from pyspark.sql import types as T
+
+from wiretally.functions.families import matched
+from wiretally.functions.net import protocol_name
+from wiretally.operators.alerts import BATCH_S, COOLDOWN_S, digest_of
+from wiretally.operators.correlate import COUNT_SPACE, THREAT_WINDOW_S, escalate, lead_of, places, score_sql
+from wiretally.operators.detect import condition_sets
+from wiretally.operators.enrich import LOOPBACK, drop_allowlisted, with_category
 from wiretally.operators.slabs import US
-from wiretally.rules import RULES, as_rules
-from wiretally.schema import PACKETS
-from wiretally.sources.alert_log import write_alerts
-
-_META = "version bigint, watermark bigint, captured bigint, late bigint, alerts bigint, logged bigint, suppressed bigint"
-_RAW = ("packet_id bigint, ts_us bigint, ord int, src_ip string, dst_ip string, dst_port int, protocol string, cnt bigint")
-_RAW_COLUMNS = [c.split()[0] for c in _RAW.split(", ")]
-_PACKETS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKETS.fields)
-_END = 2**62
+from wiretally.rules import RULES, SEVERITIES, as_rules
+from wiretally.schema import PACKETS, iso, severity_rank
+from wiretally.sources.alert_log import alert_lines
+from wiretally.streaming.source_state import CLOSING, DIGEST, OUT, OpenBatch, SourceState
+
+BITS = 62
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALERT = ("packet_id bigint, ts_us bigint, rule string, severity string, src_ip string, dst_ip string, dst_port int, "
          "protocol string, correlated boolean, also_triggered array<string>, count bigint, id string, "
          "threat_score int, category string")
+LATE = "packet_id bigint, ts_us bigint, src_ip string, dst_ip string, dst_port int, protocol string"
+COUNTERS = ("batch bigint, captured bigint, unreadable bigint, own bigint, allowlisted bigint, late bigint, alerts bigint, "
+            "logged bigint, suppressed bigint, newest bigint, allow_version bigint, watermark_ms bigint, state_rows bigint")
+
+
+def plan_of(rules: list, live: bool, cooldown_s: int, threat_s: int) -> tuple[dict, list[dict]]:
+    """What the stateful operator needs to know of the rules, and the conditions its bits stand for."""
+    stateless = [(i, r) for i, r in enumerate(rules) if r.type == "pattern"]
+    sets, by_set = condition_sets([(i, r) for i, r in enumerate(rules) if r.type != "pattern"])
+    conditions = [r.conditions for _, r in stateless] + sets
+    names = {r.name: i for i, r in reversed(list(enumerate(rules)))}
+    order = places(rules)
+    return {
+        "masks": [f"b{m}" for m in range(-(-len(conditions) // BITS))], "rule_masks": -(-len(rules) // BITS), "count_space": COUNT_SPACE,
+        "stateless": [(k, i) for k, (i, _) in enumerate(stateless)],
+        "sets": [(len(stateless) + s, rs[0][1].track, [(i, r.threshold, r.window_us) for i, r in rs]) for s, rs in enumerate(by_set)],
+        "reach": [max(r.window_us for _, r in rs) for rs in by_set],
+        "order": order, "place": [order.index(i) for i in range(len(rules))], "names": [names[r.name] for r in rules],
+        "live": live, "cooldown_us": cooldown_s * US, "threat_us": threat_s * US}, conditions
 
 
 @dataclass
 class Detector:
-    """The running state and settings of one stream. `sink` and `state` are shared folders."""
+    """The settings of one stream and the folder, shared by the cluster, that holds its checkpoints and results.
+
+    `allow` gives the allowlist (lo, hi, len) and its version; it is asked again for every run of the stream.
+    """
 
     spark: SparkSession
-    sink: str
-    state: str
+    base: str
     mode: str = "live"
     rules: list | None = None
-    allow: Callable[[], DataFrame] | None = None  # read again for every micro-batch
+    allow: Callable[[], tuple[DataFrame, int]] | None = None
     local_ips: tuple = ()
     lateness_s: int = 0
     min_severity: str = "HIGH"
-    keep_versions: int = 2
+    cooldown_s: int = COOLDOWN_S
+    threat_s: int = THREAT_WINDOW_S
+    batch_s: int = BATCH_S
     _rules: list = field(init=False)
 
     def __post_init__(self):
         self._rules = as_rules(RULES if self.rules is None else self.rules)
-        windowed = [r for r in self._rules if r.type != "pattern"]
-        self._reach = max((r.window_us for r in windowed), default=0)
-        self._relevant = matches_any([r.conditions for r in windowed])
-
-    # State versions: 2n after micro-batch n, 2n+1 after draining behind it.
-
-    def _table(self, name: str, version: int) -> str:
-        return f"{self.state}/{name}/version={version}"
-
-    def _previous(self, version: int):
-        try:
-            meta = self.spark.read.schema(_META).option("recursiveFileLookup", True).json(f"{self.state}/meta")
-            return meta.filter(F.col("version") < version).orderBy(F.desc("version")).first()
-        except AnalysisException:  # nothing written yet
-            return None
-
-    def _load(self, name: str, previous, ddl: str) -> DataFrame:
-        if previous is None:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(self._table(name, previous["version"]))
-
-    def _save(self, df: DataFrame, name: str, version: int) -> DataFrame:
-        path = self._table(name, version)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)  # a version's folder has no partition column
-
-    def _evict(self, version: int) -> None:
-        """Drop state versions that no later micro-batch can read."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in ("packets", "fired", "passed", "alerts"):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
-            fs = folder.getFileSystem(conf)
-            if not fs.exists(folder):
-                continue
-            versions = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(folder)
-                              if s.getPath().getName().startswith("version="))
-            for v, path in [x for x in versions if x[0] <= version][:-self.keep_versions]:
-                fs.delete(path, True)
-
-    def on_batch(self, packets: DataFrame, batch_id: int) -> None:
-        self._step(packets, 2 * batch_id, final=False)
-
-    def drain(self) -> None:
-        """Process the packets that still wait for the watermark; for the end of a stream."""
-        last = self._previous(_END)
-        if last is not None:
-            self._step(self.spark.createDataFrame([], PACKETS), last["version"] | 1, final=True)
-
-    def _step(self, packets: DataFrame, version: int, final: bool) -> None:
-        previous = self._previous(version)
-        done = previous["watermark"] if previous else -_END
-        if self.mode == "live":
-            packets = drop_local(packets, self.local_ips)
-            if self.allow is not None:
-                packets = drop_allowlisted(packets, self.allow())
-        packets = packets.select(*PACKETS.fieldNames()).persist()
-        t = F.col("ts_us")
-        held = self._load("packets", previous, _PACKETS)
-        seen = (packets.agg(F.count(F.lit(1)).alias("n"), F.count_if(t < done).alias("late"), F.max(t).alias("newest"))
-                .first())
-        newest = max(x for x in (seen["newest"], held.agg(F.max(t)).first()[0], done) if x is not None)
-        mark = newest + 1 if final else max(done, newest - self.lateness_s * US)
-
-        late = packets.filter(t < done)
-        late.write.mode("overwrite").parquet(f"{self.sink}/late/version={version}")
-        known = held.unionByName(packets.filter(t >= done))
-        raw = detect(known.filter(t < mark), self._rules).filter(t >= done).select(*_RAW_COLUMNS)
-        old_fired = self._load("fired", previous, _RAW)
-        # Only a rule's latest firing matters to later threat scores, so the state keeps that.
-        raw = self._save(raw, "alerts", version)
-        alerts = with_category(correlate(old_fired.unionByName(raw), rules=self._rules), self._rules).filter(t >= done)
-        if self.mode == "live":
-            key = ["rule", "src_ip"]
-            old_passed = self._load("passed", previous, "rule string, src_ip string, ts_us bigint, packet_id bigint")
-            alerts = alerts.persist()
-            winners = openers(old_passed.unionByName(alerts.select(*old_passed.columns)), key, COOLDOWN_S * US) \
-                .filter(t >= done).select("packet_id")
-            logged = alerts.join(winners, "packet_id", "left_semi")
-        else:
-            logged = alerts
-        logged = self._log(logged, version)
-        counts = [alerts.count(), logged.count()]
-
-        self._save(known.filter((t >= mark) | ((t >= mark - self._reach) & self._relevant)), "packets", version)
-        latest = old_fired.unionByName(raw).groupBy("src_ip", "ord").agg(F.max("ts_us").alias("ts_us"))
-        self._save(latest.filter(t >= mark - THREAT_WINDOW_S * US).selectExpr(
-            "-1L AS packet_id", "ts_us", "ord", "src_ip", "'' AS dst_ip", "CAST(NULL AS INT) AS dst_port", "'' AS protocol",
-            "CAST(NULL AS BIGINT) AS cnt"), "fired", version)
-        if self.mode == "live":
-            self._save(old_passed.unionByName(logged.select(*old_passed.columns))
-                       .filter(t > mark - COOLDOWN_S * US), "passed", version)
-            alerts.unpersist()
-        meta = (version, mark, seen["n"], seen["late"], counts[0], counts[1], counts[0] - counts[1])
-        self.spark.createDataFrame([meta], _META).coalesce(1).write.mode("overwrite").json(f"{self.state}/meta/v{version}")
-        packets.unpersist()
-        self._evict(version)
-
-    def _log(self, logged: DataFrame, version: int) -> DataFrame:
-        """Write the alerts, their JSON log lines and the notification digests."""
-        path = f"{self.sink}/alerts/version={version}"
-        logged.write.mode("overwrite").parquet(path)
-        logged = self.spark.read.schema(logged.schema).parquet(path)
-        write_alerts(logged, f"{self.sink}/log/version={version}", mode="overwrite", offline=self.mode != "live")
-        (digest(batch(notify_filter(logged, self.min_severity)))
-         .write.mode("overwrite").parquet(f"{self.sink}/digests/version={version}"))
-        return logged
+        self.spark.createDataFrame([], PACKETS).write.mode("append").parquet(f"{self.base}/control")
+
+    # the plans
+
+    def decided(self, packets: DataFrame) -> DataFrame:
+        """Alerts that pass, late packets and closing rows of a packet stream, told apart by `kind`."""
+        live = self.mode == "live"
+        plan, conditions = plan_of(self._rules, live, self.cooldown_s, self.threat_s)
+        allow, version = self.allow() if live and self.allow else (None, None)
+        closing = F.col("packet_id").eqNullSafe(F.lit(CLOSING))
+        needed = [f.name for f in PACKETS.fields if not f.nullable]
+        broken = F.greatest(*[F.col(c).isNull().cast("int") for c in needed]) == 1
+        own = F.col("src_ip").isin(sorted({*LOOPBACK, *filter(None, self.local_ips)})) if live else F.lit(False)
+        fine = ~broken & (closing | ~F.coalesce(own, F.lit(False)))
+        control = self.spark.readStream.schema(PACKETS).parquet(f"{self.base}/control")
+        arrived = (packets.select(*PACKETS.fieldNames()).unionByName(control)
+                   .withColumn("at", F.timestamp_micros(F.col("ts_us") + F.when(closing, self.lateness_s * US + 1000).otherwise(0))).withWatermark("at", f"{self.lateness_s} seconds")
+                   .observe("arrived", F.count_if(~closing).alias("captured"), F.count_if(~closing & broken).alias("unreadable"),
+                            F.count_if(~closing & ~broken & own).alias("own"), F.max(F.when(~closing, F.col("ts_us"))).alias("newest"),
+                            F.max(F.lit(version).cast("bigint")).alias("allow_version")))
+        kept = arrived.filter(fine).drop("at")        # without the event time Spark would drop late packets unseen
+        if allow is not None:
+            kept = drop_allowlisted(kept, allow)
+        kept = kept.observe("kept", F.count_if(~closing).alias("n"))
+        bits = kept.withColumn("hit", matched(conditions)).selectExpr(
+            "src_ip", "packet_id", "ts_us", "dst_ip", "dst_port", "protocol",
+            *[f"aggregate(hit, 0L, (a, x) -> CASE WHEN x div {BITS} = {m} THEN a | shiftleft(1L, x % {BITS}) ELSE a END) AS {b}" for m, b in enumerate(plan["masks"])])
+        schema = T.StructType.fromDDL(OUT)
+        for m in range(plan["rule_masks"]):
+            schema = schema.add(f"m{m}", T.LongType())
+        out = bits.groupBy("src_ip").transformWithStateInPandas(SourceState(plan), schema, "Append", "eventTime")
+        alert = F.col("kind") == "alert"
+        out = out.observe("decided", F.count_if(F.col("kind") == "late").alias("late"), F.count_if(alert).alias("alerts"),
+                          F.count_if(alert & F.col("passed")).alias("logged")).filter(~alert | F.col("passed"))
+        named = lead_of(out.withColumn("protocol", protocol_name(F.col("protocol"))), self._rules, "kind", score_sql("active"))
+        return with_category(named.withColumn("severity", escalate()), self._rules)
+
+    def _sink(self, kind: str, ddl: str) -> DataFrame:
+        return self.spark.read.schema(ddl + ", kind string").parquet(f"{self.base}/decided").filter(F.col("kind") == kind).drop("kind")
+
+    def _decided_stream(self) -> DataFrame:
+        return self.spark.readStream.schema(ALERT + ", kind string").parquet(f"{self.base}/decided")
+
+    def log_lines(self) -> DataFrame:
+        """The alert log as a stream: text and UTC date."""
+        logged = self._decided_stream().filter("kind = 'alert'")
+        return logged.select(alert_lines(logged, offline=self.mode != "live").alias("value"), F.substring(iso(), 1, 10).alias("date"))
+
+    def digested(self) -> DataFrame:
+        """The notification digests as a stream; one channel."""
+        rows = self._decided_stream().withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", "0 seconds")
+        told = rows.filter((F.col("kind") == "end") | ((F.col("kind") == "alert") & (severity_rank() >= SEVERITIES.index(self.min_severity))))
+        told = told.select(F.lit("all").alias("channel"), "kind", "ts_us", "packet_id", "rule", "severity", severity_rank().alias("rank"))
+        out = told.groupBy("channel").transformWithStateInPandas(OpenBatch(self.batch_s * US), "channel string, " + DIGEST, "Append", "eventTime")
+        return digest_of(out.drop("channel"))
+
+    # running them
+
+    def run(self, packets: DataFrame) -> None:
+        """Process the packets that have arrived, into alerts and late packets."""
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        self._count(self._start(self.decided(packets), "decided", "parquet", "kind"))
+
+    def publish(self) -> None:
+        """Bring the log and the digests up to the alerts."""
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        self._start(self.log_lines(), "log", "text", "date")
+        self._start(self.digested(), "digests", "parquet")
+
+    def _start(self, stream: DataFrame, name: str, fmt: str, *by: str):
+        writer = stream.writeStream.queryName(name).format(fmt).option("path", f"{self.base}/{name}") \
+            .option("checkpointLocation", f"{self.base}/checkpoint/{name}").outputMode("append").trigger(availableNow=True)
+        query = (writer.partitionBy(*by) if by else writer).start()
+        query.awaitTermination()
+        return query
+
+    def _count(self, query) -> None:
+        """Keep the counters of each micro-batch of a finished run; a batch that is run again replaces its own."""
+        rows = []
+        for p in map(json.loads, (q.json if hasattr(q, "json") else json.dumps(q) for q in query.recentProgress)):
+            seen = p.get("observedMetrics") or {}
+            arrived, kept, decided = (seen.get(k) or {} for k in ("arrived", "kept", "decided"))
+            n = lambda d, k: d.get(k) or 0
+            passed_on = n(arrived, "captured") - n(arrived, "unreadable") - n(arrived, "own")
+            mark = (p.get("eventTime") or {}).get("watermark")
+            rows.append((p["batchId"], n(arrived, "captured"), n(arrived, "unreadable"), n(arrived, "own"), passed_on - n(kept, "n"), n(decided, "late"),
+                         n(decided, "alerts"), n(decided, "logged"), n(decided, "alerts") - n(decided, "logged"), arrived.get("newest"), arrived.get("allow_version"),
+                         mark and round(datetime.fromisoformat(mark).timestamp() * 1000), sum(s["numRowsTotal"] for s in p["stateOperators"])))
+        if rows:
+            self.spark.createDataFrame(rows, COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/counters/from={rows[0][0]}")
+
+    def drain(self, packets: DataFrame) -> None:
+        """End the stream: a closing row moves the watermark past the newest packet, so that all waiting ones become final."""
+        newest = self.by_batch().agg(F.max("newest")).first()[0]
+        if newest is None:
+            return
+        at = (newest // 1000 + 1) * 1000
+        row = [{**dict.fromkeys(PACKETS.fieldNames()), "packet_id": CLOSING, "ts_us": at, "src_ip": "", "dst_ip": "", "protocol": -1, "length": 0, "ttl": 0, "flags_int": 0}]
+        self.spark.createDataFrame(row, PACKETS).coalesce(1).write.mode("append").parquet(f"{self.base}/control")
+        self.run(packets)
+
+    # results
+
+    def by_batch(self) -> DataFrame:
+        """The counters of each micro-batch."""
+        return self.spark.read.schema(COUNTERS).option("recursiveFileLookup", True).parquet(f"{self.base}/counters")
 
     def counters(self) -> DataFrame:
-        """Packets captured and late with their percentage, alerts logged and suppressed."""
-        meta = self.spark.read.schema(_META).option("recursiveFileLookup", True).json(f"{self.state}/meta")
-        return (meta.agg(*[F.sum(c).alias(c) for c in ("captured", "late", "alerts", "logged", "suppressed")])
+        """Packets captured, unreadable, of the sensor itself, allowlisted and late, with the share of late ones in per
+        cent, then alerts raised, logged and suppressed."""
+        names = ("captured", "unreadable", "own", "allowlisted", "late", "alerts", "logged", "suppressed")
+        return (self.by_batch().agg(*[F.sum(c).alias(c) for c in names])
                 .withColumn("late_pct", F.round(F.coalesce(F.try_divide(F.col("late") * 100, F.col("captured")), F.lit(0.0)), 4)))
 
     def alerts(self) -> DataFrame:
         """All alerts logged so far."""
-        return self.spark.read.schema(ALERT).parquet(f"{self.sink}/alerts").drop("version")
+        return self._sink("alert", ALERT)
 
     def late(self) -> DataFrame:
-        return self.spark.read.schema(PACKETS).parquet(f"{self.sink}/late").drop("version")
+        return self._sink("late", LATE)
 
-    def digests(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sink}/digests").drop("version")
+    def log(self) -> DataFrame:
+        return self.spark.read.text(f"{self.base}/log")
 
+    def digests(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/digests")
 
-def run_stream(source: DataFrame, detector: Detector, checkpoint: str, trigger: dict | None = None):
-    """Start the stream of packets into the detector; returns the StreamingQuery."""
-    return (source.writeStream.foreachBatch(detector.on_batch)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    def window_entries(self, batch: int) -> DataFrame:
+        """The windows' state entries (set, second) per source as of a micro-batch."""
+        state = self.spark.read.format("statestore").option("stateVarName", "windows").option("batchId", batch).load(f"{self.base}/checkpoint/decided")
+        return state.select(F.col("key.src_ip").alias("src_ip"), F.col("user_map_key.set").alias("set"), F.col("user_map_key.second").alias("second"))
