@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -35,11 +36,11 @@ STATES = 12
 OWN_WORDS = 8192       # words with a symbol of their own
 ENDINGS = 512          # symbols shared by all other words
 KNOWN = 65536          # words whose counts every task knows
-ITERATIONS = 6         # passes over all training texts at most
+ITERATIONS = 4         # passes over all training texts at most
 GAIN = 0.003           # gain of log10 likelihood a token below which training ends
-LONG = 2048            # tokens of a text that is run window by window
-WINDOW = 256           # tokens of a window
+WINDOW = 64            # tokens of a window
 CELLS = 1 << 17        # tokens, padding included, that are run side by side
+SETTLED = 1e-6         # change of a window's given vector that still makes it run again
 SEED = 11
 
 
@@ -73,6 +74,14 @@ class Model:
     move: np.ndarray       # [K, K]
     emit: np.ndarray       # [K, symbols]
 
+    @cached_property
+    def by_symbol(self) -> np.ndarray:
+        return np.ascontiguousarray(self.emit.T)
+
+    def fast(self) -> "Model":
+        """The same in single precision, for training."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def lanes(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences as columns, longest first, padded with zeros; lengths and the order."""
@@ -84,89 +93,101 @@ def lanes(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, length[order], order
 
 
-def blocks(codes: list[np.ndarray]) -> tuple[Iterator[list[int]], list[int]]:
-    """Texts that are run side by side, those of similar length together, and the long ones."""
-    size = np.array([len(c) for c in codes])
-    order = np.argsort(size, kind="stable")
-    short = order[size[order] <= LONG]
-
-    def every():
-        end = len(short)
-        while end:
-            start = max(0, end - max(1, CELLS // int(size[short[end - 1]])))
-            yield short[start:end].tolist()
-            end = start
-
-    return every(), order[size[order] > LONG].tolist()
-
-
 def windows(codes: np.ndarray) -> list[np.ndarray]:
     return [codes[i:i + WINDOW] for i in range(0, len(codes), WINDOW)]
 
 
-def products(model: Model, parts: list[np.ndarray]) -> np.ndarray:
-    """[windows, K, K]: what a window does to the state distribution before its first token, up to a factor."""
-    by_symbol, k, out = np.ascontiguousarray(model.emit.T), len(model.start), []
-    for first in range(0, len(parts), 1024):
-        table, length, order = lanes(parts[first:first + 1024])
-        p = np.eye(k) * by_symbol[table[0]][:, None, :]
-        for t in range(1, len(table)):
-            m = np.searchsorted(-length, -t, side="left")
-            p[:m] = (p[:m].reshape(-1, k) @ model.move).reshape(m, k, k) * by_symbol[table[t, :m]][:, None, :]
-            if t % 8 == 0:
-                p[:m] /= p[:m].max((1, 2), keepdims=True)
-        back = np.empty_like(p)
-        back[order] = p / p.max((1, 2), keepdims=True)
-        out.append(back)
-    return np.concatenate(out)
-
-
-def before(model: Model, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window of one text: the states' distribution behind the token before it, and before its first token."""
-    came, due = np.zeros((len(product), len(model.start))), np.empty((len(product), len(model.start)))
-    due[0] = model.start
-    for w in range(1, len(product)):
-        a = due[w - 1] @ product[w - 1]
-        came[w] = a / a.sum()
-        due[w] = came[w] @ model.move
-    return came, due
-
-
-def behind(model: Model, product: np.ndarray) -> np.ndarray:
-    """Of each window of one text: how likely what follows it is from each state, up to a factor."""
-    out = np.ones((len(product), len(model.start)))
-    for w in range(len(product) - 1, 0, -1):
-        b = model.move @ (product[w] @ out[w])
-        out[w - 1] = b / b.sum()
-    return out
-
-
-def _forward(model: Model, codes: list[np.ndarray], due: np.ndarray) -> np.ndarray:
-    """Log10 probability of each sequence by the scaled forward recursion, from the distributions before them."""
+def stationary(move: np.ndarray) -> np.ndarray:
+    p = np.full(len(move), 1 / len(move))
+    for _ in range(60):
+        p = p @ move
+    return p
+
+
+def buffers(codes: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, list[int]]]:
+    """Windows of whole texts, some CELLS of tokens at a time (a longer text is alone), whether each begins its text,
+    and which texts they are of."""
+    parts, first, of = [], [], []
+    for i, c in enumerate(codes):
+        w = windows(c)
+        if parts and (len(parts) + len(w)) * WINDOW > CELLS:
+            yield parts, np.array(first), of
+            parts, first, of = [], [], []
+        parts += w
+        first += [True] + [False] * (len(w) - 1)
+        of += [i] * len(w)
+    if parts:
+        yield parts, np.array(first), of
+
+
+def _ends(model: Model, codes: list[np.ndarray], due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State distribution behind each window's last token and log10 probability of its tokens, from the distributions
+    before them, by the scaled forward recursion."""
     table, length, order = lanes(codes)
-    by_symbol = np.ascontiguousarray(model.emit.T)
-    total, state, live = np.zeros(len(codes)), due[order], len(codes)
+    by_symbol = model.by_symbol
+    total, state, live = np.zeros(len(codes)), due[order].copy(), len(codes)
     for t in range(len(table)):
         live = np.searchsorted(-length[:live], -t, side="left")
-        state = state[:live] * by_symbol[table[t, :live]] if t == 0 else (state[:live] @ model.move) * by_symbol[table[t, :live]]
-        scale = state.sum(1)
+        a = state[:live] if t == 0 else state[:live] @ model.move
+        a = a * by_symbol[table[t, :live]]
+        scale = a.sum(1)
         total[:live] += np.log10(scale)
-        state = state / scale[:, None]
-    out = np.empty(len(codes))
-    out[order] = total
+        state[:live] = a / scale[:, None]
+    came, log_p = np.empty_like(state), np.empty(len(codes))
+    came[order], log_p[order] = state, total
+    return came, log_p
+
+
+def _starts(model: Model, codes: list[np.ndarray], then: np.ndarray) -> np.ndarray:
+    """How likely each window's tokens and what follows are from each state before them, up to a factor."""
+    table, length, order = lanes(codes)
+    by_symbol = model.by_symbol
+    back, out = then[order].copy(), np.empty_like(then)
+    for t in range(len(table) - 1, -1, -1):
+        m = np.searchsorted(-length, -t, side="left")
+        b = by_symbol[table[t, :m]] * back[:m]
+        b = b @ model.move.T
+        back[:m] = b / b.sum(1, keepdims=True)
+    out[order] = back
     return out
 
 
+def before(model: Model, parts: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: the states' distributions behind the token before it (zero at a text's start) and before its
+    first token, and the log10 probability of its tokens given all before them."""
+    due = np.where(first[:, None], model.start, stationary(model.move).astype(model.start.dtype))
+    came, log_p, again = np.zeros_like(due), np.zeros(len(parts)), np.arange(len(parts))
+    inner = np.flatnonzero(~first)
+    while len(again):
+        came[again], log_p[again] = _ends(model, [parts[i] for i in again], due[again])
+        given = came[inner - 1] @ model.move
+        moved = np.abs(given - due[inner]).max(1, initial=0) > SETTLED
+        again = inner[moved]
+        due[again] = given[moved]
+    behind_last = np.zeros_like(came)
+    behind_last[inner] = came[inner - 1]
+    return behind_last, due, log_p
+
+
+def behind(model: Model, parts: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Of each window: how likely what follows it is from each state at its last token, up to a factor."""
+    k = len(model.start)
+    then, head, again = np.full((len(parts), k), 1 / k, model.start.dtype), np.empty((len(parts), k), model.start.dtype), np.arange(len(parts))
+    inner = np.flatnonzero(~first)
+    while len(again):
+        head[again] = _starts(model, [parts[i] for i in again], then[again])
+        given = head[inner]
+        moved = np.abs(given - then[inner - 1]).max(1, initial=0) > SETTLED
+        again = inner[moved] - 1
+        then[again] = given[moved]
+    return then
+
+
 def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each sequence."""
-    out = np.empty(len(codes))
-    short, long = blocks(codes)
-    for at in short:
-        out[at] = _forward(model, [codes[i] for i in at], np.tile(model.start, (len(at), 1)))
-    for i in long:
-        parts = windows(codes[i])
-        _, due = before(model, products(model, parts))
-        out[i] = sum(_forward(model, parts[j:j + 1024], due[j:j + 1024]).sum() for j in range(0, len(parts), 1024))
+    out = np.zeros(len(codes))
+    for parts, first, of in buffers(codes):
+        np.add.at(out, of, before(model, parts, first)[2])
     return out
 
 
@@ -176,23 +197,17 @@ class Counts:
     def __init__(self, model: Model):
         self.model, (k, symbols) = model, model.emit.shape
         self.start, self.moves, self.emit, self.log_p = np.zeros(k), np.zeros((k, k)), np.zeros((k, symbols)), 0.0
-        self.by_symbol, self.move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
+        self.fast = model.fast()
+        self.by_symbol, self.move = self.fast.by_symbol, self.fast.move
 
     def add(self, codes: list[np.ndarray]) -> None:
         """Forward and backward over whole sequences."""
-        k = len(self.start)
-        short, long = blocks(codes)
-        for at in short:
-            n = len(at)
-            self._add([codes[i] for i in at], np.zeros((n, k)), np.tile(self.model.start, (n, 1)), np.ones((n, k)), np.ones(n, bool))
-        for i in long:
-            parts = windows(codes[i])
-            product = products(self.model, parts)
-            (came, due), then = before(self.model, product), behind(self.model, product)
-            begins = np.arange(len(parts)) == 0
+        for parts, first, _ in buffers(codes):
+            (came, due, log_p), then = before(self.fast, parts, first), behind(self.fast, parts, first)
+            self.log_p += log_p.sum()
             for j in range(0, len(parts), CELLS // WINDOW):
                 own = slice(j, j + CELLS // WINDOW)
-                self._add(parts[own], came[own], due[own], then[own], begins[own])
+                self._add(parts[own], came[own], due[own], then[own], first[own])
 
     def _add(self, codes, came, due, then, begins) -> None:
         """Sequences given the distributions behind the token before them (zero at a text's start) and before their
@@ -210,7 +225,6 @@ class Counts:
                 a = alpha[t - 1, :m] @ self.move
                 a *= seen[t, :m]
             scale = a.sum(1, keepdims=True)
-            self.log_p += float(np.log10(scale).sum(dtype=np.float64))
             np.divide(a, scale, out=alpha[t, :m])
             seen[t, :m] /= scale
         beta = then[order].astype(np.float32)
@@ -263,7 +277,7 @@ def _counts_in(batches, model: Model, parts: int):
             part = p % parts
             held.append(np.frombuffer(raw, np.int32))
             size, tokens = size + len(held[-1]), tokens + len(held[-1])
-            if size >= 4 * CELLS:
+            if size >= CELLS:
                 counts.add(held)
                 held, size = [], 0
     if held:

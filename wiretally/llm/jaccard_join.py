@@ -33,7 +33,7 @@ LONGEST = 16             # greatest l
 VERIFY = 0.3             # cost of comparing one element of a candidate, in list entries read
 SELDOM = 0.1             # list entries expected behind an element that was never seen twice in a slice
 COMMON = 1 << 19         # at most so many elements have their frequency estimated in the order, the most frequent
-HEADS = 64               # heads of a long list in the first round; each further round has so many times more
+HEADS = 4                # heads of a long list in the first round; each further round has 16 times more
 TILE = 512               # heads of a tile, and members of a tile
 FAN = 256                # members that are verified against one copy of a head's text
 SURE = 1 << 20           # weight of a match that needs no other
@@ -283,7 +283,7 @@ def linked(docs: DataFrame, rows: DataFrame, seen: DataFrame, width: int) -> tup
         left, held = open_.agg(F.sum(F.when(~F.col("is_main"), F.col("all")).otherwise(0)), F.count("*")).first()
         if not left:
             return named, links if links is not None else named.sparkSession.createDataFrame([], "a long, b long")
-        turn, heads = turn + 1, HEADS ** (turn + 1)
+        turn, heads = turn + 1, HEADS * 16 ** turn
         last = links is not None and (left <= heads * held or 2 * left > before)
         before = left
         # short lists, and in the last round all of them, give all pairs; a hash of the class draws the same heads in all long lists of a group

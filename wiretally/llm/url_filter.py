@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 # The rules, (verdict, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-# The labelled URLs that the filter learns from, 1 for unwanted.
-UNWANTED = ["casino-win", "free-bets", "adult-x", "cheap-pills", "spam-farm", "ads-track", "poker-win", "bets-bonus", "xxx-adult", "pills-shop", "ads-click",
-            "win-money", "casino-slots", "track-ads", "farm-links", "free-casino", "cheap-meds", "adult-cams", "bet-now", "spam-links"]
-WANTED = ["library", "weather", "thether", "tionsh", "therin", "thnews", "school", "museum", "ththan", "recipes", "thering", "theron", "history", "garden", "ththly",
-          "science", "thernd", "travel", "thinor", "music", "ththst", "market", "ontion", "herean", "sports", "thanin", "health", "books", "erthe", "enre"]
-SEED_SITES = ["http://{}.example.com/en/{}", "https://www.{}.example.org/de/{}.html", "http://blog.{}.example.net/fr/{}/", "https://m.{}.example.com/es/{}?page=2&ref=x"]
+# Names of the labelled table's sites, 1 for unwanted: what such sites are commonly called, none taken from a corpus.
+UNWANTED = ["royal-casino", "casinoroom", "poker-night", "jackpot-spins", "roulette-live", "slots-bonus", "sports-bets", "betting-odds", "bet-bonus", "lotto-cash",
+            "adult-dates", "adultvideo", "porn-tube", "sex-chat", "xxx-films", "nude-cams", "diet-pills", "pills-online", "cheap-meds", "viagra-deal",
+            "spam-mailer", "bulk-spam", "link-farm", "backlinks-buy", "popup-ads", "ads-server", "adclick", "click-track", "tracker-pixel", "warez-cracks",
+            "keygen-serials", "payday-loans", "fast-money", "win-prizes", "free-iphone", "crypto-doubler"]
+WANTED = ["school", "museum", "recipes", "history", "garden", "science", "travel", "music", "market", "health", "books", "river-news", "daily-post", "university",
+          "city-council", "open-data", "bird-watching", "orchestra", "bakery", "cycling-club", "theatre", "northern-times", "photo-archive", "weather-station",
+          "mountain-huts", "linux-notes", "chess-league", "railways", "astronomy", "painters", "language-lab", "harbour", "farm-journal", "tracking-birds",
+          "advent-calendar", "winter-sports"]
+SEED_SITES = ["http://{}.com/{}", "https://www.{}.org/articles/{}.html", "https://{}.co.uk/index.php?id={}", "http://shop.{}.info/{}/"]
 
 PAGES_EACH = 6        # pages of each labelled site, so that no number marks a site
 BUCKETS = 1 << 14
@@ -71,14 +75,17 @@ def with_features(urls: DataFrame) -> DataFrame:
     return HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True).transform(grams).drop("grams")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the small labelled table, from the fixed values above."""
-    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(y)).alias("label")) for y, ns in ((1, UNWANTED), (0, WANTED)) for n in ns))
+def labelled_urls(spark: SparkSession, path: str | None = None, names: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(url, label): the small labelled table, read from `path` (Parquet) or made of `names`, by default the fixed values above."""
+    if path is not None:
+        return spark.read.parquet(path).select("url", F.col("label").cast("double").alias("label"))
+    names = [(n, y) for y, ns in ((1, UNWANTED), (0, WANTED)) for n in ns] if names is None else names
     sites = F.array(*map(F.lit, SEED_SITES))
-    rows = spark.range(1).select(F.explode(names).alias("n")).select("n.*", F.explode(sites).alias("site")) \
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(y)).alias("label")) for n, y in names))).alias("n")).select("n.*", F.explode(sites).alias("site")) \
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(PAGES_EACH))).alias("page"))
     number = F.pmod(F.hash("name", "site", "page"), F.lit(1000)).cast("string")
-    return rows.select(F.replace(F.replace(F.col("site"), F.lit("{}.example"), F.concat("name", F.lit(".example"))), F.lit("{}"), number).alias("url"), "label")
+    return rows.select(F.replace(F.regexp_replace("site", r"(.*)\{\}", "$1#"), F.lit("{}"), F.col("name")).alias("url"), number.alias("number"), "label") \
+        .select(F.replace("url", F.lit("#"), F.col("number")).alias("url"), "label")
 
 
 def train(labelled: DataFrame, regularised: float = 0.01):
