@@ -142,7 +142,11 @@ def test_scan_filter_holds_every_match_and_is_bounded(spark):
 def test_scan_filter_reaches_the_files(spark, rules):
     path = shared_dir(spark, "packets")
     frame(spark, traffic(50, 3)).write.parquet(path)
-    plan = detect_pattern(spark.read.parquet(path), rules)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
+    try:
+        plan = detect_pattern(spark.read.parquet(path), rules)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan, re.S)[1]
     assert "protocol" in pushed and "dst_port" in pushed
 
