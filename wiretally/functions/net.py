@@ -85,30 +85,3 @@ def networks(entries: DataFrame, entry: str = "entry") -> DataFrame:
             .selectExpr("*", "CASE WHEN _base IS NOT NULL THEN shiftleft(1L, 32 - _len) END AS _size")
             .selectExpr("* EXCEPT (_p, _base, _suffix, _mask, _len, _size)", "_base - _base % _size AS lo",
                         "_base - _base % _size + _size - 1 AS hi", "CASE WHEN _size IS NOT NULL THEN _len END AS len"))
-
-
-def networks_v6(entries: DataFrame, entry: str = "entry") -> DataFrame:
-    """Add `canonical`, the text of the IPv6 address or network in `entry`: host bits zero, the longest run of zero
-    groups (leftmost, two at least) as `::`, an IPv4-mapped address with a dotted quad; null when invalid."""
-    dotted = "regexp_extract(_a, '(?<=:)[0-9.]+$', 0)"
-    quad = "get(_o, {0}) * 256 + get(_o, {1})"
-    run = "greatest(" + ", ".join(f"CASE WHEN contains(_s, '{':0' * k}:') THEN {k} ELSE 0 END" for k in range(1, 9)) + ")"
-    ends = "CASE WHEN _p <= 1 THEN '' ELSE substring(_s, 2, _p - 2) END"
-    return (entries.selectExpr("*", f"split({entry}, '/', -1) AS _e")
-            .selectExpr("*", "CASE WHEN size(_e) <= 2 THEN _e[0] END AS _a",
-                        "CASE WHEN size(_e) = 1 THEN 128 WHEN _e[1] RLIKE '^[0-9]{1,9}$' THEN CAST(_e[1] AS INT) END AS _l")
-            # a dotted quad at the end stands for two groups
-            .selectExpr("* EXCEPT (_a)", f"CASE WHEN contains(_a, '.') THEN {dotted} END AS _q", "_a")
-            .selectExpr("*", f"CASE WHEN _q RLIKE '{_IPV4}' THEN transform(split(_q, '[.]'), x -> CAST(x AS INT)) END AS _o")
-            .selectExpr("* EXCEPT (_a)", f"""CASE WHEN NOT contains(_a, '.') THEN _a WHEN _o IS NOT NULL THEN concat(substring(_a, 1, length(_a) - length(_q)),
-                lower(hex({quad.format(0, 1)})), ':', lower(hex({quad.format(2, 3)}))) END AS _a""")
-            .withColumn("_a", F.when(is_ipv6(F.col("_a")) & F.col("_l").between(0, 128), F.col("_a")))
-            .selectExpr("*", "filter(split(split(_a, '::')[0], ':'), x -> x <> '') AS _x", "filter(split(coalesce(get(split(_a, '::'), 1), ''), ':'), x -> x <> '') AS _y")
-            .selectExpr("*", "transform(concat(_x, array_repeat('0', 8 - size(_x) - size(_y)), _y), g -> CAST(conv(g, 16, 10) AS INT)) AS _g")
-            .selectExpr("*", "transform(_g, (g, i) -> g & (65535 - (shiftleft(1, 16 - greatest(0, least(16, _l - 16 * i))) - 1))) AS _m")
-            .selectExpr("*", "concat(':', array_join(transform(_m, g -> lower(hex(g))), ':'), ':') AS _s")
-            .selectExpr("*", f"{run} AS _k").selectExpr("*", "CASE WHEN _k > 1 THEN instr(_s, concat(repeat(':0', _k), ':')) ELSE 0 END AS _p")
-            .selectExpr("* EXCEPT (_e, _a, _q, _o, _x, _y, _g, _m, _s, _k, _p, _l)", f"""concat(CASE
-                WHEN array_join(slice(_m, 1, 6), ',') = '0,0,0,0,0,65535' THEN concat('::ffff:', concat_ws('.', shiftright(_m[6], 8), _m[6] & 255, shiftright(_m[7], 8), _m[7] & 255))
-                WHEN _k > 1 THEN concat({ends}, '::', rtrim(':', substring(_s, _p + 2 * _k + 1, 99)))
-                ELSE substring(_s, 2, length(_s) - 2) END, '/', CAST(_l AS STRING)) AS canonical"""))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import ipaddress
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.functions.net import networks, networks_v6, num_ip
+from wiretally.functions.net import networks, num_ip
+
+# Executors need not have this package installed: ship its functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
@@ -28,12 +36,24 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     return parse_entries(read_entries(spark, path))
 
 
+def _ipv6_networks(batches):
+    for pdf in batches:
+        canon = []
+        for e in pdf["entry"]:
+            try:
+                canon.append(str(ipaddress.ip_network(e, strict=False)))
+            except ValueError:
+                canon.append(None)
+        yield pd.DataFrame({"entry": pdf["entry"], "canonical": canon})
+
+
 def canonical(entries: DataFrame) -> DataFrame:
     """(entry, canonical): the network text of each entry, null when invalid."""
     v6 = F.contains(F.col("entry"), F.lit(":"))
     v4 = networks(entries.filter(~v6).select("entry")).selectExpr(
         "entry", f"CASE WHEN len IS NOT NULL THEN concat({num_ip('lo')}, '/', CAST(len AS STRING)) END AS canonical")
-    return v4.unionByName(networks_v6(entries.filter(v6).select("entry")))
+    return v4.unionByName(entries.filter(v6).select("entry")
+                          .mapInPandas(_ipv6_networks, "entry string, canonical string"))
 
 
 def allowlist_add(current: DataFrame, new: DataFrame) -> DataFrame:
