@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 
 from wiretally.llm import conversation_repair, hard_negatives, jaccard_join
+from wiretally.llm.shared import maybe_in
 from pyspark.sql import functions as F
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -214,3 +215,34 @@ def test_prefixes_hold_the_shared_elements_they_promise():
         (l, p), (k, q) = jaccard_join.prefix(x, often[x.astype(int)]), jaccard_join.prefix(y, often[y.astype(int)])
         assert len(np.intersect1d(p, q)) >= min(l, k)
     assert linked > 100
+
+
+def test_join_sends_texts_of_candidates_only_and_deals_elements_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)]
+    rows += [(400, rows[7][1] + " more"), (401, rows[9][1].upper()), (402, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, plans, (texts_of, cut) = [], {}, (jaccard_join.texts_of, jaccard_join.cut)
+    monkeypatch.setattr(jaccard_join, "texts_of", lambda docs: texts.append(docs) or texts_of(docs))
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name: cut(plans.setdefault(name, df), name))
+    got = {r.doc_id: r.component_id for r in jaccard_join.joined(table).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {400: 7, 401: 9}
+    # the sets, the prefixes, then one round's texts
+    assert [t.count() for t in texts[:2]] == [403, 403]
+    assert 2 <= texts[2].count() < 10
+    monkeypatch.setattr(jaccard_join, "cut", cut)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "ReusedExchange" in plans["members"].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_that_may_be_among_wanted_keys_hold_all_of_them(spark):
+    wanted = spark.createDataFrame([(3,), (-8,), (1 << 40,), (None,)], "k long")
+    rows = spark.range(-20, 2000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(1 << 40,), (None,)], "doc_id long"))
+    kept = {r.doc_id for r in maybe_in(rows, "doc_id", wanted).collect()}
+    assert {3, -8, 1 << 40} <= kept and len(kept) < 10
+    assert maybe_in(rows, "doc_id", wanted.where("k > 1 AND k < 3")).count() == 0

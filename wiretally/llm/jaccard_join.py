@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.components import components
 from wiretally.llm.near_dedup import apart, parities, set_key, token_hash
-from wiretally.llm.shared import TokenHash, cut, mix, rolling, slices, words_of
+from wiretally.llm.shared import TokenHash, cut, maybe_in, mix, rolling, slices, words_of
 
 WIDTH = 5                # words of a shingle
 LIKE = 80                # per cent of the union that linked documents share
@@ -223,15 +223,18 @@ def candidates(matches: DataFrame, classes: DataFrame) -> DataFrame:
         "low", "high", "a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) whose full sets share LIKE per cent of their union.
 
-    A head's members are dealt into parts of about FAN with a copy of its text each; a task holds one head's set.
+    A head's members are dealt into parts of about FAN with a copy of its text each; a task holds one head's set. Only
+    texts of the pairs leave the documents, and go straight to their parts.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b")
-    heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == texts["c"]).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    members = dealt.join(texts, F.col("b") == texts["c"]).select("a", "part", "b", "text")
+    heads = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("c"))
+    members = dealt.select("a", "part", "b", F.col("b").alias("c"))
+    sent = cut(heads.unionByName(members).join(classes.select("c", F.col("id").alias("doc_id"), "mark"), "c").drop("c"), "sent")
+    texts = texts_of(maybe_in(docs, "doc_id", sent.select("doc_id"))).dropDuplicates(["doc_id", "mark"])
 
     def run(batches):
         known, head = TokenHash(token_hash), None
@@ -248,7 +251,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                         out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    rows = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    rows = texts.join(sent, ["doc_id", "mark"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -260,14 +263,13 @@ def linked(docs: DataFrame, rows: DataFrame, seen: DataFrame, width: int) -> tup
     at = named.select(F.col("id").alias("doc_id"), "mark", "c")
     own = cut(prefixes(docs, width, frequencies(seen)).join(at, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("c", "l", "elements"), "prefixes")
     # dealt by element once, for the lists' signatures and for their members
-    postings = own.select("c", F.explode("elements").alias("element")).repartition("element")
+    postings = own.select("c", F.explode("elements").alias("element")).where("element IS NOT NULL").repartition("element")     # said here, as the join below would say it of one of the two only
     lists = postings.groupBy("element").agg(F.count("*").alias("k"), *(F.sum(F.xxhash64("c", F.lit(i)) % (1 << 40)).alias(f"s{i}") for i in (0, 1, 2))).where("k > 1")
     # near copies share many elements, whose lists have the same members: one of them stands for all, with their number
     alike = lists.groupBy("k", "s0", "s1", "s2").agg(F.min("element").alias("element"), F.count("*").alias("lists")).select("element", "lists")
     members = cut(postings.join(alike, "element"), "members")
     wanted = members.select("c").distinct()
     classes = cut(named.join(wanted, "c").join(own.select("c", "l"), "c").select("c", "id", "mark", "n", "parity", "l"), "classes")
-    texts = cut(texts_of(docs).join(classes.select(F.col("id").alias("doc_id"), "mark", "c"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("c", "text"), "texts")
 
     links = tested = None
     turn, before = 0, None
@@ -291,7 +293,7 @@ def linked(docs: DataFrame, rows: DataFrame, seen: DataFrame, width: int) -> tup
         drawn = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(1 << 30)) / (1 << 30) < heads / F.col("all")
         pairs = candidates(met(open_.withColumn("whole", whole).withColumn("is_head", F.when(F.col("whole"), ~F.col("is_main")).otherwise(drawn)), classes), classes)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["low", "high"], "left_anti"), "pairs")
-        found = verified(pairs, texts, width)
+        found = verified(pairs, classes, docs, width)
         links = cut(found if links is None else links.unionByName(found), "links")
         if last:
             return named, links

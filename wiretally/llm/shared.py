@@ -87,6 +87,17 @@ def bitmap_of(slots: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key (a whole number) may be among `wanted` (one column): all that are, few others. What is broadcast is
+    a bitmap of the keys' hashes, at most 2 MB, however many keys."""
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << BITMAP_BITS)) + 1
+    own = slot(wanted.columns[0])
+    held = wanted.groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
+    at = F.bitmap_bit_position(slot(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(held), F.bitmap_bucket_number(slot(key)) == F.col("_bucket")).where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1).select(*rows.columns)
+
+
 def in_bitmap(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
