@@ -163,6 +163,18 @@ def test_hmm_counts_whole_sequences(monkeypatch, window, cells):
         assert np.allclose(got, sum(w[i] for w in want).astype(float), rtol=2e-4, atol=2e-4)
 
 
+def test_hmm_windows_run_again_only_until_they_agree(monkeypatch):
+    rows, sums = [], H.sums
+    monkeypatch.setattr(H, "sums", lambda x: rows.append(len(x)) or sums(x))
+    rng, k = np.random.default_rng(5), 4
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = H.Model(norm(rng.random(k)), norm(rng.random((k, k)) + 0.2), norm(rng.random((k, 30)) ** 2))
+    codes = [rng.integers(0, 30, n).astype(np.int32) for n in (3000, 640, 10)]
+    assert np.allclose(H.forward(m, codes), [plain_counts(m, c)[3] for c in codes])
+    # a row a token, and two for each that is run again
+    assert 3650 <= sum(rows) < 2 * 3650
+
+
 def test_hmm_memory_of_a_text_of_a_million_words():
     import tracemalloc
     rng, k = np.random.default_rng(3), H.STATES

@@ -6,12 +6,11 @@ The HMM generates symbols, and a word of a shared symbol is then drawn from the
 counts of the words that share it, so a text's probability is exact and sums to one.
 
 Training is Baum-Welch over whole texts: every iteration is one pass over all training
-texts, each task adds up expected counts, and the sums are merged in two steps. Texts of
-similar length are run side by side, so one NumPy step advances hundreds of them. A long
-text is cut into windows that are run side by side as well: the product of a window's
-matrices says what it does to any state vector, a scan over these products gives every
-window its vector before and behind, and nothing is lost at a border. Iterations end when
-the likelihood gains little. Scoring runs the scaled forward recursion in the same way.
+texts, each task adds up expected counts, and the sums are merged in two steps. Texts are
+cut into windows that are run side by side, so one NumPy step advances thousands of them.
+A window starts from a guess and is run again, from its neighbour's vector, until its states
+agree with those it had, so nothing is lost at a border. Iterations end when the likelihood
+gains little. Scoring runs the scaled forward recursion in the same way.
 
 Counts of the KNOWN most frequent words are broadcast, those of all others joined.
 """
@@ -97,6 +96,11 @@ def windows(codes: np.ndarray) -> list[np.ndarray]:
     return [codes[i:i + WINDOW] for i in range(0, len(codes), WINDOW)]
 
 
+def sums(x: np.ndarray) -> np.ndarray:
+    """Sum of each row; a product is several times quicker than a reduction over few columns."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def stationary(move: np.ndarray) -> np.ndarray:
     p = np.full(len(move), 1 / len(move))
     for _ in range(60):
@@ -183,11 +187,106 @@ def behind(model: Model, parts: list[np.ndarray], first: np.ndarray) -> np.ndarr
     return then
 
 
+class Side:
+    """Windows of whole texts side by side, at most CELLS tokens, with all their state vectors.
+
+    Every window is run once from a guess. Where its neighbour gives another vector it is run again, until its states
+    agree with those there: from then on nothing would change.
+    """
+
+    def __init__(self, model: Model, parts: list[np.ndarray], first: np.ndarray):
+        self.model = model
+        self.table, self.length, self.order = lanes(parts)
+        self.steps, self.n = self.table.shape
+        self.begins = first[self.order]
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.inner = np.flatnonzero(~self.begins)
+        self.prior = place[self.order[self.inner] - 1]           # lanes of the windows before those
+        self.live = np.searchsorted(-self.length, -np.arange(self.steps), side="left")     # lanes that are longer than t
+        self.seen = model.by_symbol.take(self.table, 0)          # [T, n, K]
+
+    @staticmethod
+    def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Relative, as a small part of a vector may grow later."""
+        return sums((np.abs(a - b) > SETTLED * b).astype(a.dtype)) > 0
+
+    def came(self) -> np.ndarray:
+        """Distributions behind the token before each window, zero at a text's start."""
+        out = np.zeros_like(self.alpha[0])
+        out[self.inner] = self.alpha[self.length[self.prior] - 1, self.prior]
+        return out
+
+    def forward(self) -> None:
+        """alpha [T, n, K]: distribution behind each token; scale [T, n]: probability of each token given those before."""
+        move, seen = self.model.move, self.seen
+        alpha, scale = np.zeros_like(seen), np.ones(seen.shape[:2], seen.dtype)
+        self.alpha, self.scale = alpha, scale
+        due = np.where(self.begins[:, None], self.model.start, stationary(move).astype(move.dtype))
+        for t, m in enumerate(self.live):
+            a = (due if t == 0 else alpha[t - 1, :m] @ move) * seen[t, :m]
+            scale[t, :m] = sums(a)
+            np.divide(a, scale[t, :m, None], out=alpha[t, :m])
+        while True:
+            given = self.came()[self.inner] @ move
+            moved = np.abs(given - due[self.inner]).max(1, initial=0) > SETTLED
+            on, state = self.inner[moved], given[moved]
+            if not len(on):
+                return
+            due[on] = state
+            for t in range(self.steps):
+                there = self.length[on] > t
+                on, state = on[there], state[there]
+                if not len(on):
+                    break
+                a = (state if t == 0 else state @ move) * seen[t, on]
+                total = sums(a)
+                a /= total[:, None]
+                differ = self._differ(a, alpha[t, on])
+                alpha[t, on], scale[t, on] = a, total
+                on, state = on[differ], a[differ]
+
+    def backward(self) -> None:
+        """beta [T, n, K]: how likely what follows each token is from each state at it, up to a factor."""
+        back_move, seen, k = self.model.move.T, self.seen, self.seen.shape[2]
+        beta, then = np.zeros_like(seen), np.full((self.n, k), 1 / k, seen.dtype)
+        self.beta, head = beta, then.copy()
+        for t in range(self.steps - 1, -1, -1):
+            m = self.live[t]
+            beta[t, :m] = head[:m]
+            b = (seen[t, :m] * head[:m]) @ back_move
+            np.divide(b, sums(b)[:, None], out=head[:m])
+        while True:
+            given = head[self.inner]
+            moved = np.abs(given - then[self.prior]).max(1, initial=0) > SETTLED
+            on, state = self.prior[moved], given[moved]
+            if not len(on):
+                return
+            then[on] = state
+            for t in range(self.steps - 1, -1, -1):              # a window with one behind it is full
+                differ = self._differ(state, beta[t, on])
+                on, state = on[differ], state[differ]
+                if not len(on):
+                    break
+                beta[t, on] = state
+                b = (seen[t, on] * state) @ back_move
+                state = b / sums(b)[:, None]
+            else:
+                head[on] = state
+
+
 def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each sequence."""
     out = np.zeros(len(codes))
     for parts, first, of in buffers(codes):
-        np.add.at(out, of, before(model, parts, first)[2])
+        if len(parts) * WINDOW <= CELLS:
+            side = Side(model, parts, first)
+            side.forward()
+            log_p = np.empty(len(parts))
+            log_p[side.order] = np.log10(side.scale).sum(0)
+        else:
+            log_p = before(model, parts, first)[2]
+        np.add.at(out, of, log_p)
     return out
 
 
@@ -203,12 +302,37 @@ class Counts:
     def add(self, codes: list[np.ndarray]) -> None:
         """Forward and backward over whole sequences."""
         for parts, first, _ in buffers(codes):
+            if len(parts) * WINDOW <= CELLS:
+                self._add_whole(Side(self.fast, parts, first))
+                continue
+            # a text that is too long for all its vectors
             (came, due, log_p), then = before(self.fast, parts, first), behind(self.fast, parts, first)
             self.log_p += log_p.sum()
             for j in range(0, len(parts), CELLS // WINDOW):
                 own = slice(j, j + CELLS // WINDOW)
                 self._add(parts[own], came[own], due[own], then[own], first[own])
 
+    def _add_whole(self, side: Side) -> None:
+        side.forward()
+        side.backward()
+        k = len(self.start)
+        gamma = side.alpha * side.beta
+        total = sums(gamma.reshape(-1, k)).reshape(gamma.shape[:2])
+        total[total == 0] = 1                                    # padding
+        gamma /= total[..., None]
+        back = side.seen
+        back *= side.beta
+        back /= (side.scale * total)[..., None]
+        self.moves += side.alpha[:-1].reshape(-1, k).T @ back[1:].reshape(-1, k) + side.came().T @ back[0]
+        self._emitted(side.table, gamma)
+        self.start += gamma[0][side.begins].sum(0)
+        self.log_p += np.log10(side.scale).sum(dtype=np.float64)
+
+    def _emitted(self, table: np.ndarray, gamma: np.ndarray) -> None:
+        flat = table.ravel().astype(np.intp)
+        for own, weight in zip(self.emit, gamma.reshape(len(flat), -1).T):
+            own += np.bincount(flat, weight, len(own))
+
     def _add(self, codes, came, due, then, begins) -> None:
         """Sequences given the distributions behind the token before them (zero at a text's start) and before their
         first token, and the likelihood of what follows from each state."""
@@ -238,10 +362,7 @@ class Counts:
                 beta[:m] = back @ self.move.T
             else:
                 self.moves += came.T @ back
-        flat = table.ravel()
-        by = np.argsort(flat, kind="stable")
-        edges = np.flatnonzero(np.diff(flat[by], prepend=-1))
-        self.emit[:, flat[by][edges]] += np.add.reduceat(gamma.reshape(-1, k)[by], edges, axis=0).T
+        self._emitted(table, gamma)
         self.start += gamma[0][begins].sum(0)
 
 
