@@ -11,6 +11,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -665,6 +666,25 @@ def test_packing_long_blanks(blank):
         assert PK.ids_of(text, spec, PATTERN)[:-1].tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_without_a_look_ahead_gives_the_same_ids(monkeypatch):
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    spec = open(path, encoding="utf-8").read()
+    exact, r = Tokenizer.from_str(spec), random.Random(4)
+    some = ["a", "Zoo", "it's", "'s", "'ll", "x9", "12", "--", "é", "ñandú", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2009", "漢", " ", " ", " ", " ", "  ", "q" * 70]
+    texts = [None, "", " ", "  ", " a", "a ", "a\n", "\na b", " a b ", "a  b", "a\tb c", "don't 's", "a\xa0", "a\x85 b", "<|endoftext|>", *("".join(r.choices(some, k=r.randrange(1, 30))) for _ in range(2000))]
+    got = list(PK.ids_of_all(pa.array(texts), spec, PATTERN))
+    for x, ids in zip(texts, got, strict=True):
+        assert ids.dtype == np.uint32 and ids.tolist() == PK.ids_of(x, spec, PATTERN).tolist()
+        assert not x or "<|" in x or ids[:-1].tolist() == exact.encode(x, add_special_tokens=False).ids
+    assert list(PK.ids_of_all(pa.array([], pa.string()), spec, PATTERN)) == []
+    # the slow pattern is for texts with blanks that meet, or other letters
+    slow, ids_of = [], PK.ids_of
+    monkeypatch.setattr(PK, "ids_of", lambda x, *a: slow.append(x) or ids_of(x, *a))
+    list(PK.ids_of_all(pa.array(["one two\n", "à la", "a\n\nb", "漢 a", None]), spec, PATTERN))
+    assert slow == ["a\n\nb", "漢 a", None]
+
+
 def test_least_squares_meets_a_histogram_of_combinations():
     combos = PK.combinations(np.arange(1, 16), 16)
     x = np.zeros(len(combos))
