@@ -1,22 +1,27 @@
+import io
+import re
+from contextlib import redirect_stdout
 from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from model import US, packet, scaled, traffic
 from pyspark.sql import functions as F
 from test_detect import frame
 
 from wiretally.operators.alerts import batch, digest, notify_filter, passed
+from wiretally.functions.predicates import conditions_sql
 from wiretally.operators.enrich import drop_allowlisted, drop_local
 from wiretally.plans import pipeline
-from wiretally.rules import RULES
+from wiretally.rules import RULES, as_rules
 from wiretally.schema import literal_table
 from wiretally.session import shared_dir
 from wiretally.sources import allowlist
 from wiretally.sources import packets as S
 from wiretally.streaming import source_state
-from wiretally.streaming.stream import Detector
+from wiretally.streaming.stream import BITS, Detector, plan_of, with_bits
 
 LOCAL = ("10.0.0.3",)
 COLUMNS = ["packet_id", "ts_us", "rule", "severity", "src_ip", "also_triggered", "count", "threat_score", "category"]
@@ -137,6 +142,61 @@ def test_allowlist_is_read_again_for_every_arrival(spark, tmp_path):
     assert number == 1 and [r.entry for r in first.collect()] == ["10.0.0.1/32"]
 
 
+def test_waiting_packets_take_an_entry_per_piece_not_per_second(spark):
+    """1,000 packets in as many seconds wait for the watermark; with their timer they are a few entries of state."""
+    s = Stream(spark, mode="offline", lateness_s=5000, rules=[r for r in RULES if r.type == "pattern"])
+    s.arrive([packet(i, i * US, **NULL) for i in range(1, 1001)])
+    assert s.det.by_batch().agg(F.max("state_rows")).first()[0] <= 40
+    s.drain()
+    assert sorted(r.packet_id for r in s.det.alerts().collect()) == list(range(1, 1001))
+
+
+def test_stretches_and_pieces_change_no_alert(spark, monkeypatch):
+    """Packets in disorder, in pieces of a few packets evaluated a few at once."""
+    for name, value in (("CHUNK_ROWS", 60), ("PIECE_ROWS", 4), ("STRETCH_ROWS", 10)):
+        monkeypatch.setattr(source_state, name, value)
+    rules = scaled(RULES)
+    packets = traffic(300, 5, sources=2)
+    s = Stream(spark, mode="offline", lateness_s=10_000_000, rules=rules)
+    for part in np.array_split(np.random.default_rng(1).permutation(len(packets)), 2):
+        s.arrive([packets[i] for i in part])
+    s.drain()
+    assert rows(s.det.alerts()) == rows(pipeline.offline(frame(spark, packets), rules))
+
+
+def test_pieces_hold_the_packets():
+    rnd = np.random.default_rng(2)
+    n = 9000
+    t = pa.table({"src_ip": rnd.choice(["a", "b", "c"], n, p=[.9, .09, .01]), "packet_id": np.arange(n), "ts_us": rnd.integers(-50, 9000, n) * US // 3,
+                  "dst_ip": rnd.choice(["x", "y", ""], n), "dst_port": pa.array([None if i % 5 == 0 else i % 70 for i in range(n)], pa.int32()),
+                  "protocol": pa.array(rnd.integers(0, 256, n), pa.int32()), "b0": rnd.integers(0, 3, n), "b1": rnd.integers(0, 2, n) << 61})
+    found = []
+    for b in source_state.pieces(["b0", "b1"])(iter(t.to_batches(1000))):
+        for p in b.to_pylist():
+            own = source_state.Packets.loads(p["rows"])
+            assert (p["first_us"], p["last_us"], p["n"]) == (own.ts_us[0], own.ts_us[-1], len(own)) and (np.diff(own.ts_us) >= 0).all()
+            assert p["hit"] == own.hits().any() == own.hits().all()
+            found += [(p["src_ip"], *x) for x in zip(*(c.tolist() for c in (own.packet_id, own.ts_us, own.dst_ip, own.dst_port, own.protocol, *own.masks)))]
+    assert sorted(found) == sorted((*r.values(),) for r in t.set_column(4, "dst_port", t["dst_port"].cast("int64").fill_null(source_state.NO_PORT)).to_pylist())
+
+
+def test_bits_of_all_conditions_are_in_methods_that_get_compiled(spark):
+    _, conditions = plan_of(as_rules(RULES), True, 30, 300)
+    path = shared_dir(spark, "packets")
+    S.write_packets(frame(spark, traffic(300, 3)), path)
+    packets = S.read_packets(spark, path)
+    out = with_bits(packets, conditions)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        out.explain("codegen")
+    assert max([0, *map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))]) < 8000
+    bits = {r.packet_id: [r.b0, r.b1] for r in out.collect()}
+    want = packets.selectExpr("packet_id", *[f"{conditions_sql(c)} AS c{i}" for i, c in enumerate(conditions)]).collect()
+    assert any(map(any, bits.values()))
+    for r in want:
+        assert [bool(bits[r.packet_id][i // BITS] >> i % BITS & 1) for i in range(len(conditions))] == [bool(r[f"c{i}"]) for i in range(len(conditions))]
+
+
 def test_window_counts_equal_a_loop():
     rnd = np.random.default_rng(4)
     for _ in range(60):

@@ -85,6 +85,8 @@ def literal_array(values: list, type_: str) -> str:
 def literal_table(spark, rows, ddl: str):
     """A small constant DataFrame as a VALUES relation, so Catalyst knows its size."""
     names, types = zip(*[c.strip().split(" ", 1) for c in ddl.split(",")])
+    if not rows:
+        return spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {t}) AS {n}' for n, t in zip(names, types))} WHERE false")
     values = ", ".join("(" + ", ".join(sql_literal(v) for v in r) + ")" for r in rows)
     casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types))
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(names)})")

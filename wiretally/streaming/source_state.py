@@ -1,12 +1,16 @@
 """The stateful operator of the stream: everything remembered about one source.
 
-State is kept in maps, so that Spark reads and writes single entries: packets that wait for the watermark by second,
+Packets travel in pieces (`pieces`): a piece is the packets of one source and a range of time in one row, in columns.
+So the shuffle, the operator's input and its state have a row per piece, not per packet.
+
+State is kept in maps, so that Spark reads and writes single entries: pieces that wait for the watermark,
 window contents by condition set and second (times with counts, or tracked values with their last time), the last
 firing of each rule and the last passed alert of each rule. An entry is dropped by an event-time timer as soon as no
 window can reach it, so a source that falls silent leaves nothing behind.
 
 A packet is final once the watermark has passed it; packets are evaluated in time order when they become final,
-which gives the alerts of a batch run. Packets behind the watermark on arrival come out as late.
+a stretch of time after the other, which gives the alerts of a batch run. Packets behind the watermark on arrival
+come out as late.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +32,115 @@ US = 1_000_000
 CLOSING = -1             # packet_id of a row that closes the stream
 OUT = ("kind string, packet_id bigint, ts_us bigint, src_ip string, dst_ip string, dst_port int, protocol int, "
        "packed bigint, active bigint, passed boolean")
+PIECE = "src_ip string, first_us bigint, last_us bigint, n bigint, hit boolean, rows binary"
+CHUNK_ROWS = 1 << 18     # packets a task gathers before it makes pieces of them
+PIECE_ROWS = 1 << 11     # packets of a piece, about
+STRETCH_ROWS = 1 << 18   # packets evaluated at once, about
+
+
+class Packets:
+    """Packets of one source in columns, in the order of (ts_us, packet_id)."""
+
+    def __init__(self, packet_id, ts_us, dst_ip, dst_port, protocol, masks: list):
+        self.packet_id, self.ts_us, self.dst_ip, self.dst_port, self.protocol, self.masks = packet_id, ts_us, dst_ip, dst_port, protocol, masks
+
+    def __len__(self) -> int:
+        return len(self.ts_us)
+
+    def take(self, at) -> Packets:
+        return Packets(*(c[at] for c in (self.packet_id, self.ts_us, self.dst_ip, self.dst_port, self.protocol)), [m[at] for m in self.masks])
+
+    def sort(self) -> Packets:
+        return self.take(np.lexsort((self.packet_id, self.ts_us)))
+
+    def hits(self) -> np.ndarray:
+        return np.any([m != 0 for m in self.masks], axis=0) | (self.packet_id == CLOSING)
+
+    @staticmethod
+    def concat(parts: list) -> Packets:
+        columns = (np.concatenate([getattr(p, c) for p in parts]) for c in ("packet_id", "ts_us", "dst_ip", "dst_port", "protocol"))
+        return Packets(*columns, [np.concatenate(m) for m in zip(*(p.masks for p in parts))])
+
+    def dumps(self) -> bytes:
+        """Numbers as bytes, `dst_ip` as its values and a number each."""
+        code, values = pd.factorize(self.dst_ip)
+        small = np.uint8 if len(values) < 1 << 8 else np.uint16 if len(values) < 1 << 16 else np.uint32
+        raw = pickle.dumps((self.packet_id.tobytes(), self.ts_us.tobytes(), list(values), code.astype(small).tobytes(), np.dtype(small).str,
+                            self.dst_port.tobytes(), self.protocol.tobytes(), [m.tobytes() for m in self.masks]), 5)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @staticmethod
+    def loads(data: bytes) -> Packets:
+        raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+        i, ts, values, code, kind, port, protocol, masks = pickle.loads(raw)
+        known = np.empty(len(values), object)
+        known[:] = values
+        return Packets(np.frombuffer(i, np.int64), np.frombuffer(ts, np.int64), known[np.frombuffer(code, kind)], np.frombuffer(port, np.int64),
+                       np.frombuffer(protocol, np.int64), [np.frombuffer(m, np.int64) for m in masks])
+
+
+NO_PORT = -(1 << 40)     # a missing dst_port or protocol in a piece
+
+
+def _ends(ts: np.ndarray) -> np.ndarray:
+    """Where pieces of ascending times end: all cut at multiples of the same power of two seconds, the least that gives
+    about PIECE_ROWS a piece, so that pieces made of different packets have mostly the same borders."""
+    width, most = US, -(-len(ts) // PIECE_ROWS)
+    while (int(ts[-1]) - int(ts[0])) // width >= most:
+        width *= 2
+    return np.append(np.flatnonzero(np.diff(ts // width)) + 1, len(ts))
+
+
+def piece(p: Packets, hit: bool) -> tuple:
+    """(first_us, last_us, n, hit, rows)."""
+    return int(p.ts_us[0]), int(p.ts_us[-1]), len(p), hit, p.dumps()
+
+
+def split(p: Packets) -> Iterator[tuple]:
+    """The pieces of the packets of one source; those that meet no condition apart from the others."""
+    hits = p.hits()
+    for hit in (True, False):
+        part = p.take(hits == hit)
+        begin = 0
+        for end in _ends(part.ts_us) if len(part) else ():
+            yield piece(part.take(slice(begin, end)), hit)
+            begin = end
+
+
+def pieces(masks: list[str]):
+    """A function for mapInArrow: packets with condition bits into pieces, per source."""
+    schema = pa.schema([("src_ip", pa.string()), ("first_us", pa.int64()), ("last_us", pa.int64()), ("n", pa.int64()), ("hit", pa.bool_()), ("rows", pa.binary())])
+
+    def number(column) -> np.ndarray:
+        return column.cast(pa.int64()).fill_null(NO_PORT).to_numpy()
+
+    def made(batches: list) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        source = t["src_ip"].combine_chunks().dictionary_encode()
+        if isinstance(source, pa.ChunkedArray):
+            source = source.combine_chunks()
+        code, names = source.indices.to_numpy(zero_copy_only=False), source.dictionary.to_pylist()
+        whole = Packets(*(number(t[c]) for c in ("packet_id", "ts_us")), t["dst_ip"].to_pandas().to_numpy(object),
+                        *(number(t[c]) for c in ("dst_port", "protocol")), [number(t[m]) for m in masks])
+        order = np.lexsort((whole.packet_id, whole.ts_us, code))
+        whole, code = whole.take(order), code[order]
+        borders = np.append(np.flatnonzero(np.diff(code, prepend=code[0] - 1)), len(code))
+        rows = [(names[code[a]], *x) for a, b in zip(borders[:-1], borders[1:]) for x in split(whole.take(slice(a, b)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= CHUNK_ROWS:
+                yield made(held)
+                held, n = [], 0
+        if held:
+            yield made(held)
+
+    return run
 
 
 def times_within(old: np.ndarray, counts: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
@@ -57,8 +171,8 @@ def values_within(old_values: np.ndarray, old: np.ndarray, values: np.ndarray, n
 
 
 def openers(at: np.ndarray, last: int | None, span: int) -> tuple[np.ndarray, int | None]:
-    """Which of the ascending times open: the first that is `span` or more after the last opener."""
-    out = np.zeros(len(at), bool)
+    """Which of the ascending times open: the first that is `span` or more after the last opener, and later than it."""
+    out, span = np.zeros(len(at), bool), max(span, 1)
     i = 0 if last is None else int(np.searchsorted(at, last + span))
     while i < len(at):
         out[i], last = True, int(at[i])
@@ -74,7 +188,7 @@ class SourceState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "second bigint", "rows binary")
+        self.pending = handle.getMapState("pending", "first_us bigint, last_us bigint, n bigint, number int", "rows binary")
         self.windows = handle.getMapState("windows", "set int, second bigint", "content binary")
         self.fired = handle.getMapState("fired", "ord int", "ts_us bigint")
         self.passed = handle.getMapState("passed", "name int", "ts_us bigint")
@@ -86,115 +200,146 @@ class SourceState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        due = []
+        due, numbers = [], {}
         for pdf in rows:
-            pdf = pdf.astype({"dst_port": "Int32", "protocol": "Int32"})
-            late = (pdf["ts_us"].to_numpy() < mark) & (mark > 0)
-            if late.any():
-                yield self._out("late", key[0], pdf[late])
-            masks = pdf[self.plan["masks"]].to_numpy()
-            keep = ~late & ((masks != 0).any(1) | (pdf["packet_id"].to_numpy() == CLOSING))
-            kept = pdf[keep]
-            if len(kept):
-                due.append(int(kept["ts_us"].min()))
-                seconds = kept["ts_us"].to_numpy() // US
-                for s in np.unique(seconds):
-                    held = [pickle.loads(self.pending.getValue((int(s),))[0])] if self.pending.containsKey((int(s),)) else []
-                    self.pending.updateValue((int(s),), (pickle.dumps(pd.concat([*held, kept[seconds == s]])),))
+            for first, last, n, hit, data in zip(*(pdf[c].tolist() for c in ("first_us", "last_us", "n", "hit", "rows"))):
+                if first < mark and mark > 0:
+                    packets = Packets.loads(data)
+                    late = packets.ts_us < mark
+                    yield self._out("late", key[0], packets.take(late))
+                    if late.all():
+                        continue
+                    first, last, n, hit, data = piece(packets.take(~late), hit)
+                if hit:
+                    due.append(first)
+                    self._hold(first, last, n, data, numbers)
         if due:
             self.handle.registerTimer(min(due) // 1000 + 1)
 
+    def _hold(self, first: int, last: int, n: int, data: bytes, numbers: dict) -> None:
+        """Keep a piece; `numbers` counts the pieces of one range and size, which can be there from before."""
+        number = numbers.get((first, last, n), 0)
+        while self.pending.containsKey((first, last, n, number)):
+            number += 1
+        numbers[first, last, n] = number + 1
+        self.pending.updateValue((first, last, n, number), (data,))
+
     # what becomes final, and what is forgotten
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, due = [], []
-        for (second,), (rows,) in list(self.pending.iterator()):
-            if second * US >= mark:
-                due.append(second * US // 1000 + 1)
-                continue
-            held = pickle.loads(rows)
-            final = held["ts_us"] < mark
-            ready.append(held[final])
-            if final.all():
-                self.pending.removeKey((second,))
-            else:
-                rest = held[~final]
-                self.pending.updateValue((second,), (pickle.dumps(rest),))
-                due.append(int(rest["ts_us"].min()) // 1000 + 1)
+        held = sorted(self.pending.keys())
+        ready, due = [k for k in held if k[0] < mark], [k[0] // 1000 + 1 for k in held if k[0] >= mark]
         windows = {k: pickle.loads(v[0]) for k, v in self.windows.iterator()}
         fired = {k[0]: v[0] for k, v in self.fired.iterator()}
         passed = {k[0]: v[0] for k, v in self.passed.iterator()}
-        if ready:
-            rows = pd.concat(ready).sort_values(["ts_us", "packet_id"], kind="stable")
-            closing = rows["packet_id"] == CLOSING
+        before = windows.copy(), fired.copy(), passed.copy()
+        rest = None
+        for rows, rest, cut in self._stretches(ready, mark):
+            closing = rows.packet_id == CLOSING
             if closing.any():
-                yield self._out("end", key[0], rows[closing])
-                rows = rows[~closing]
+                yield self._out("end", key[0], rows.take(closing))
+                rows = rows.take(~closing)
             if len(rows):
-                yield from self._evaluate(key[0], rows, windows, fired, passed)
-        due += self._forget(mark, windows, fired, passed)
+                yield from self._evaluate(key[0], rows, windows, fired, passed, cut)
+            for k in [k for k in windows if self._window_end(k) <= cut]:
+                del windows[k]
+        if rest is not None and len(rest):
+            first, last, n, _, data = piece(rest, True)
+            due.append(first // 1000 + 1)
+            self._hold(first, last, n, data, {})
+        due += self._keep(mark, before, (windows, fired, passed))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if due:
             self.handle.registerTimer(min(due))
 
-    def _forget(self, mark: int, windows: dict, fired: dict, passed: dict) -> list[int]:
-        """Drop what no later packet can reach, and tell when the rest falls due (in ms)."""
+    def _stretches(self, ready: list[tuple], mark: int) -> Iterator[tuple]:
+        """The packets before `mark` in time order, about STRETCH_ROWS at once, as (packets, later ones of the pieces
+        read so far, end of the stretch). Pieces are taken out of the state as they are read."""
+        rest, i = None, 0
+        while i < len(ready):
+            parts, n = [rest] if rest is not None and len(rest) else [], 0
+            while i < len(ready) and (n < STRETCH_ROWS or ready[i][0] == ready[i - 1][0]):
+                parts.append(Packets.loads(self.pending.getValue(ready[i])[0]))
+                self.pending.removeKey(ready[i])
+                n += ready[i][2]
+                i += 1
+            cut = ready[i][0] if i < len(ready) else mark
+            rows = Packets.concat(parts).sort()
+            at = int(np.searchsorted(rows.ts_us, cut))
+            rest = rows.take(slice(at, None))
+            yield rows.take(slice(0, at)), rest, cut
+
+    def _window_end(self, k: tuple) -> int:
+        return (k[1] + 1) * US + self.plan["reach"][k[0]]
+
+    def _keep(self, mark: int, before: tuple, now: tuple) -> list[int]:
+        """Write what has changed, drop what no later packet can reach, and tell when the rest falls due (in ms)."""
         due = []
-        for state, entries, end in ((self.windows, windows, lambda k, v: (k[1] + 1) * US + self.plan["reach"][k[0]]),
-                                    (self.fired, fired, lambda k, v: v + self.plan["threat_us"] + 1),
-                                    (self.passed, passed, lambda k, v: v + self.plan["cooldown_us"])):
-            for k, v in entries.items():
-                at = end(k, v)
-                if at <= mark:
-                    own = k if isinstance(k, tuple) else (k,)
-                    if state.containsKey(own):
-                        state.removeKey(own)
-                else:
-                    due.append(-(-at // 1000))
+        ends = (lambda k, v: self._window_end(k), lambda k, v: v + self.plan["threat_us"] + 1, lambda k, v: v + self.plan["cooldown_us"])
+        for state, old, new, end in zip((self.windows, self.fired, self.passed), before, now, ends):
+            kept = {k: v for k, v in new.items() if end(k, v) > mark}
+            own = (lambda k: k) if state is self.windows else (lambda k: (k,))
+            for k in old.keys() - kept.keys():
+                state.removeKey(own(k))
+            for k, v in kept.items():
+                due.append(-(-end(k, v) // 1000))
+                if k not in old or old[k] is not v and (state is self.windows or old[k] != v):
+                    state.updateValue(own(k), (pickle.dumps(v) if state is self.windows else v,))
         return due
 
-    def _evaluate(self, src: str, rows: pd.DataFrame, windows: dict, fired: dict, passed: dict) -> Iterator[pd.DataFrame]:
-        plan, ts = self.plan, rows["ts_us"].to_numpy()
-        bits = [rows[m].to_numpy() for m in plan["masks"]]
+    def _evaluate(self, src: str, rows: Packets, windows: dict, fired: dict, passed: dict, cut: int) -> Iterator[pd.DataFrame]:
+        """The alerts of the packets, which all lie before `cut`; of the windows only what reaches `cut` is added."""
+        plan, ts = self.plan, rows.ts_us
+        bits = rows.masks
         has = lambda k: (bits[k // 62] >> (k % 62)) & 1 == 1
+        there = [int(np.bitwise_or.reduce(b)) for b in bits]
         at, ords, counts = [], [], []                            # rows that fired, by which rule, with what count
         for k, o in plan["stateless"]:
-            hit = np.flatnonzero(has(k))
-            at.append(hit), ords.append(np.full(len(hit), o)), counts.append(np.full(len(hit), -1))
+            if there[k // 62] >> (k % 62) & 1:
+                hit = np.flatnonzero(has(k))
+                at.append(hit), ords.append(np.full(len(hit), o)), counts.append(np.full(len(hit), -1))
         for s, (k, track, rules) in enumerate(plan["sets"]):
-            hit = np.flatnonzero(has(k) & (rows[track].notna().to_numpy() if track else True))
+            if not there[k // 62] >> (k % 62) & 1:
+                continue
+            values = getattr(rows, track) if track else None
+            hit = np.flatnonzero(has(k) & (values != (NO_PORT if track == "dst_port" else None) if track else True))
             if not len(hit):
                 continue
-            new, seconds = ts[hit], ts[hit] // US
+            new = ts[hit]
             held = [windows[x] for x in sorted(x for x in windows if x[0] == s)]
             old = np.concatenate([*(h[1] for h in held), np.empty(0, np.int64)])
+            from_second = (cut - plan["reach"][s]) // US        # the first second that can reach `cut`
+            tail = int(np.searchsorted(new, from_second * US))
             if track is None:
                 times = np.concatenate([*(h[0] for h in held), np.empty(0, np.int64)])
                 for o, least, span in rules:
                     n = times_within(times, old, new, span)
                     at.append(hit[n >= least]), ords.append(np.full((n >= least).sum(), o)), counts.append(n[n >= least])
-                found, often = np.unique(new, return_counts=True)
-                content = lambda m, a=found, b=often, w=found // US: (a[w == m], b[w == m])
+                first, second = np.unique(new[tail:], return_counts=True)
+                whens = first
             else:
-                values = rows[track].iloc[hit].astype(str).to_numpy(dtype=object)
+                code, names = pd.factorize(values[hit])
+                names = names.astype(str).astype(object)
                 known = np.concatenate([*(h[0] for h in held), np.empty(0, object)])
+                same, _ = pd.factorize(np.concatenate([known, names]))
                 order = np.argsort(old, kind="stable")
                 for o, least, span in rules:
-                    n = values_within(known[order].astype(str), old[order], values.astype(str), new, span)
+                    n = values_within(same[:len(known)][order], old[order], same[len(known):][code], new, span)
                     at.append(hit[n >= least]), ords.append(np.full((n >= least).sum(), o)), counts.append(n[n >= least])
-
-                def content(m, values=values, new=new, seconds=seconds):
-                    last = dict(zip(values[seconds == m], new[seconds == m].tolist()))
-                    return np.array(list(last), object), np.array(list(last.values()), np.int64)
-            for m in np.unique(seconds):
-                entry = content(m)
+                # the last time of each value in each second
+                last = np.lexsort((np.arange(len(new) - tail), code[tail:], new[tail:] // US))
+                ends = np.append((np.diff(code[tail:][last]) != 0) | (np.diff(new[tail:][last] // US) != 0), True) if len(last) else np.empty(0, bool)
+                first, second = names[code[tail:][last][ends]], new[tail:][last][ends]
+                whens = second
+            begin = 0
+            for m, size in zip(*np.unique(whens // US, return_counts=True)):
+                entry = first[begin:begin + size], second[begin:begin + size]
                 if (s, int(m)) in windows:
-                    before = windows[s, int(m)]
-                    entry = tuple(np.concatenate([x, y]) for x, y in zip(before, entry))
+                    entry = tuple(np.concatenate([x, y]) for x, y in zip(windows[s, int(m)], entry))
                 windows[s, int(m)] = entry
-                self.windows.updateValue((s, int(m)), (pickle.dumps(entry),))
+                begin += size
         at, ords, counts = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (at, ords, counts))
         if not len(at):
             return
@@ -204,7 +349,6 @@ class SourceState(StatefulProcessor):
         active = values_within(np.array([o for _, o in old], np.int64), np.array([t for t, _ in old], np.int64), ords, ts[at], plan["threat_us"] + 1)
         for o in np.unique(ords):
             fired[int(o)] = int(ts[at[ords == o]].max())
-            self.fired.updateValue((int(o),), (fired[int(o)],))
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         alert = at[first]
         packed = np.minimum.reduceat(np.array(plan["place"])[ords] * plan["count_space"] + counts + 1, first)
@@ -216,17 +360,21 @@ class SourceState(StatefulProcessor):
                 passes[own], last = openers(ts[alert[own]], passed.get(int(n)), plan["cooldown_us"])
                 if last != passed.get(int(n)):
                     passed[int(n)] = last
-                    self.passed.updateValue((int(n),), (last,))
-        out = self._out("alert", src, rows.iloc[alert], packed=packed, active=np.maximum.reduceat(active, first), passed=passes)
+        active, fires = np.maximum.reduceat(active, first), []
         for m in range(plan["rule_masks"]):
             inside = ords // 62 == m
-            out[f"m{m}"] = np.bitwise_or.reduceat(np.where(inside, np.int64(1) << (ords % 62), 0), first)
+            fires.append(np.bitwise_or.reduceat(np.where(inside, np.int64(1) << (ords % 62), 0), first)[passes])
+        out = self._out("alert", src, rows.take(alert[passes]), packed=packed[passes], active=active[passes], passed=True)
+        for m, fire in enumerate(fires):
+            out[f"m{m}"] = fire
         yield out
+        if not passes.all():            # those held back are only counted, in place of a packet_id
+            yield self._out("held", src, rows.take(slice(0, 1))).assign(packet_id=int((~passes).sum()))
 
-    def _out(self, kind: str, src: str, rows: pd.DataFrame, **columns) -> pd.DataFrame:
-        out = pd.DataFrame({"kind": kind, "packet_id": rows["packet_id"].to_numpy(), "ts_us": rows["ts_us"].to_numpy(), "src_ip": src,
-                            "dst_ip": rows["dst_ip"].to_numpy(), "dst_port": rows["dst_port"].to_numpy(dtype=object, na_value=None),
-                            "protocol": rows["protocol"].to_numpy(dtype=object, na_value=None)})
+    def _out(self, kind: str, src: str, rows: Packets, **columns) -> pd.DataFrame:
+        whole = lambda v: pd.arrays.IntegerArray(v.astype(np.int32), v == NO_PORT)
+        out = pd.DataFrame({"kind": kind, "packet_id": rows.packet_id, "ts_us": rows.ts_us, "src_ip": src,
+                            "dst_ip": rows.dst_ip, "dst_port": whole(rows.dst_port), "protocol": whole(rows.protocol)})
         for name in ("packed", "active", "passed"):
             out[name] = columns.get(name, None)
         for m in range(self.plan["rule_masks"]):

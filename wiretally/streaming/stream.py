@@ -1,7 +1,7 @@
 """Packet streams to alerts on Structured Streaming's own mechanisms.
 
-The packet stream has a watermark; one stateful operator keyed by source (`source_state.SourceState`) holds packets
-until the watermark has passed them, counts windows, scores, holds back repeated alerts and forgets what no window
+The packet stream has a watermark; its packets are packed per source into pieces (`source_state.pieces`), and one
+stateful operator keyed by source (`source_state.SourceState`) holds these until the watermark has passed them, counts windows, scores, holds back repeated alerts and forgets what no window
 reaches, by event-time timers. Its file sink is exactly-once; the JSON log and the notification digests are streams
 over that sink, the digests with the open batch of each channel as keyed state. Nothing here keeps state of its own:
 a batch that is run again starts from the state Spark has for it and commits the same files.
@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiretally.functions.families import matched
+from wiretally.functions.families import families
 from wiretally.functions.net import protocol_name
+from wiretally.functions.predicates import conditions_sql
 from wiretally.operators.alerts import BATCH_S, COOLDOWN_S, digest_of
 from wiretally.operators.correlate import COUNT_SPACE, THREAT_WINDOW_S, escalate, lead_of, places, score_sql
 from wiretally.operators.detect import condition_sets
@@ -31,7 +32,7 @@ from wiretally.operators.slabs import US
 from wiretally.rules import RULES, SEVERITIES, as_rules
 from wiretally.schema import PACKETS, iso, severity_rank
 from wiretally.sources.alert_log import alert_lines
-from wiretally.streaming.source_state import CLOSING, DIGEST, OUT, OpenBatch, SourceState
+from wiretally.streaming.source_state import CLOSING, DIGEST, OUT, PIECE, OpenBatch, SourceState, pieces
 
 BITS = 62
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,6 +60,23 @@ def plan_of(rules: list, live: bool, cooldown_s: int, threat_s: int) -> tuple[di
         "live": live, "cooldown_us": cooldown_s * US, "threat_us": threat_s * US}, conditions
 
 
+def with_bits(packets: DataFrame, conditions: list[dict]) -> DataFrame:
+    """What the stateful operator reads of packets, with the conditions each meets as bits of the columns b0, b1, ...
+
+    In a whole-stage method all conditions would be one method, longer than the JVM compiles (8,000 bytes of code). Spark
+    leaves a projection with a higher-order function out of it and cuts the projection into small methods.
+    """
+    groups = families(conditions)
+
+    def mask(m):
+        own = [[i for i in g if i // BITS == m] for g in groups]
+        cases = ["CASE " + " ".join(f"WHEN {conditions_sql(conditions[i])} THEN {1 << i % BITS}L" for i in g) + " ELSE 0L END" for g in own if g]
+        return f"{' | '.join(cases)} AS b{m}"
+
+    return packets.selectExpr("src_ip", "aggregate(array(packet_id), 0L, (a, x) -> x) AS packet_id", "ts_us", "dst_ip", "dst_port", "protocol",
+                              *[mask(m) for m in range(-(-len(conditions) // BITS))])
+
+
 @dataclass
 class Detector:
     """The settings of one stream and the folder, shared by the cluster, that holds its checkpoints and results.
@@ -105,16 +123,15 @@ class Detector:
         if allow is not None:
             kept = drop_allowlisted(kept, allow)
         kept = kept.observe("kept", F.count_if(~closing).alias("n"))
-        bits = kept.withColumn("hit", matched(conditions)).selectExpr(
-            "src_ip", "packet_id", "ts_us", "dst_ip", "dst_port", "protocol",
-            *[f"aggregate(hit, 0L, (a, x) -> CASE WHEN x div {BITS} = {m} THEN a | shiftleft(1L, x % {BITS}) ELSE a END) AS {b}" for m, b in enumerate(plan["masks"])])
+        bits = with_bits(kept, conditions)
         schema = T.StructType.fromDDL(OUT)
         for m in range(plan["rule_masks"]):
             schema = schema.add(f"m{m}", T.LongType())
-        out = bits.groupBy("src_ip").transformWithStateInPandas(SourceState(plan), schema, "Append", "eventTime")
-        alert = F.col("kind") == "alert"
-        out = out.observe("decided", F.count_if(F.col("kind") == "late").alias("late"), F.count_if(alert).alias("alerts"),
-                          F.count_if(alert & F.col("passed")).alias("logged")).filter(~alert | F.col("passed"))
+        out = (bits.mapInArrow(pieces(plan["masks"]), PIECE).groupBy("src_ip")
+               .transformWithStateInPandas(SourceState(plan), schema, "Append", "eventTime"))
+        alert, held = F.col("kind") == "alert", F.col("kind") == "held"
+        out = out.observe("decided", F.count_if(F.col("kind") == "late").alias("late"), F.count_if(alert).alias("logged"),
+                          F.sum(F.when(held, F.col("packet_id"))).alias("suppressed")).filter(~held)
         named = lead_of(out.withColumn("protocol", protocol_name(F.col("protocol"))), self._rules, "kind", score_sql("active"))
         return with_category(named.withColumn("severity", escalate()), self._rules)
 
@@ -167,7 +184,7 @@ class Detector:
             passed_on = n(arrived, "captured") - n(arrived, "unreadable") - n(arrived, "own")
             mark = (p.get("eventTime") or {}).get("watermark")
             rows.append((p["batchId"], n(arrived, "captured"), n(arrived, "unreadable"), n(arrived, "own"), passed_on - n(kept, "n"), n(decided, "late"),
-                         n(decided, "alerts"), n(decided, "logged"), n(decided, "alerts") - n(decided, "logged"), arrived.get("newest"), arrived.get("allow_version"),
+                         n(decided, "logged") + n(decided, "suppressed"), n(decided, "logged"), n(decided, "suppressed"), arrived.get("newest"), arrived.get("allow_version"),
                          mark and round(datetime.fromisoformat(mark).timestamp() * 1000), sum(s["numRowsTotal"] for s in p["stateOperators"])))
         if rows:
             self.spark.createDataFrame(rows, COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/counters/from={rows[0][0]}")
