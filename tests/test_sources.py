@@ -152,3 +152,18 @@ def test_log_rows_can_be_told_apart(spark, tmp_path):
     assert {r.severity: r["count"] for r in report.by_severity(got).collect()} == {"CRITICAL": 0, "HIGH": 7, "MEDIUM": 0, "LOW": 2}
     one = report.investigate(got).first()
     assert (one.total, one.high, one.low, [(x.rule, x["count"]) for x in one.top_rules]) == (9, 7, 2, [("r", 7), ("Unknown", 2)])
+
+
+def test_log_lines_are_numbered_without_dealing_out_their_text(spark):
+    path = shared_dir(spark, "log")
+    text = '{"timestamp": "1970-01-01T00:00:01+00:00", "rule": "r", "src_ip": "a"}'
+    lines = spark.createDataFrame([(text,), (text,), ("{bad",), (" ",)], "value string").coalesce(1)
+    for _ in range(2):
+        lines.write.mode("append").options(compression="gzip").text(path)
+    alerts = alert_log.read_alerts(spark, path)
+    assert len({r.packet_id for r in alerts.collect()}) == alerts.count() == 4
+    node = alerts.select("packet_id", "rule")._jdf.queryExecution().sparkPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    dealt = node.children().head().output().mkString(",")
+    assert "_line" in dealt and "rule" in dealt and "value" not in dealt and "src_ip" not in dealt
